@@ -108,8 +108,9 @@ def concept_web_url(iri: Column, base: str) -> Column:
     return F.concat(F.lit(base.rstrip("/") + "/web/concept/"), encoded)
 
 
-def concept_scheme(iri: Column, vocabulary_host: str) -> Column:
+def concept_scheme(iri: Column, vocabulary_host: str | Column) -> Column:
     """Scheme of a concept: host and first path segment on the vocabulary host, else the host."""
+    host = F.lit(vocabulary_host) if isinstance(vocabulary_host, str) else vocabulary_host
     parts = F.split(iri, "/")
     n = F.size(parts)
 
@@ -117,7 +118,7 @@ def concept_scheme(iri: Column, vocabulary_host: str) -> Column:
         return F.concat(F.array_join(F.slice(parts, 1, k), "/"), F.lit("/"))
 
     return (
-        F.when((n >= 5) & (F.get(parts, F.lit(2)) == vocabulary_host), head(4))
+        F.when((n >= 5) & (F.get(parts, F.lit(2)) == host), head(4))
         .when(n >= 3, head(3))
         .otherwise(iri)
     )

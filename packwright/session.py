@@ -19,7 +19,8 @@ def build_session(app: str = "packwright", master: str | None = None,
         .config("spark.sql.session.timeZone", "UTC")
     )
     if master:
-        builder = builder.master(master).config("spark.ui.enabled", "false")
+        builder = (builder.master(master).config("spark.ui.enabled", "false")
+                   .config("spark.ui.showConsoleProgress", "false"))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import TimestampNTZType
 
 from packwright.functions.value_types import is_missing, value_type
 
@@ -17,6 +18,11 @@ def stream_quality(stream: DataFrame, time: str, value: str, raw: str | Column,
     per open window and group and is dropped once the watermark has passed.
     """
     types = {f.name: f.dataType for f in stream.schema.fields}
+    zoneless = isinstance(types[time], TimestampNTZType)
+    if zoneless:
+        # A watermark needs an instant; the session's time zone is used both ways.
+        stream = stream.withColumn(time, F.col(time).cast("timestamp"))
+    start = F.col("w.start").cast("timestamp_ntz") if zoneless else F.col("w.start")
     missing = is_missing(value, types[value])
     outside = ~missing & ((F.col(value) < F.lit(minimum)) | (F.col(value) > F.lit(maximum)))
     text = F.col(raw) if isinstance(raw, str) else raw
@@ -26,7 +32,7 @@ def stream_quality(stream: DataFrame, time: str, value: str, raw: str | Column,
         .agg(F.count(F.lit(1)).alias("rows"), F.count_if(missing).alias("nulls"),
              F.count_if(outside).alias("out_of_range"),
              F.count_if(value_type(text) == "int").alias("raw_ints"))
-        .select(F.col("w.start").alias("window_start"), by, "rows", "nulls", "out_of_range",
+        .select(start.alias("window_start"), by, "rows", "nulls", "out_of_range",
                 "raw_ints")
     )
 
