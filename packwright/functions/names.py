@@ -73,8 +73,8 @@ def url_check(url: Column) -> Column:
 
 def clean_query(query: Column) -> Column:
     """Replace all but letters, digits, ``_``, ``-``, ``.`` by single blanks, and trim."""
-    spaced = F.regexp_replace(query, r"(?U)[^\p{L}\p{N}_\s\-.]", " ")
-    return F.trim(F.regexp_replace(spaced, r"(?U)\s+", " "))
+    # White space is among the replaced characters, so one pass also collapses it.
+    return F.trim(F.regexp_replace(query, r"[^\p{L}\p{N}_\-.]+", " "))
 
 
 def first_word(query: Column) -> Column:

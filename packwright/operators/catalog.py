@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from packwright import standard as S
 from packwright.functions.names import check_resource_name
 from packwright.functions.value_types import variant_value_type
+from packwright.session import local_table
 
 UNIT = "struct<name:string,longName:string,path:string>"
 FIELD = (
@@ -332,9 +333,11 @@ def grade(df: DataFrame, findings: str = "findings") -> DataFrame:
 def compliance_level(findings: DataFrame, datasets: DataFrame) -> DataFrame:
     """``dataset, errors, warnings, level`` from findings in rows.
 
-    Counted inside each task first; datasets without findings are strict.
+    Counted inside each task first; datasets without findings are strict. As
+    information does not count, the optimizer leaves out whole branches of
+    ``findings`` that only inform, with their scans.
     """
-    counts = findings.groupBy("dataset").agg(
+    counts = findings.where(F.col("severity") != "info").groupBy("dataset").agg(
         F.count_if(F.col("severity") == "error").alias("errors"),
         F.count_if(F.col("severity") == "warning").alias("warnings"))
     zero = F.lit(0).cast("long")
@@ -354,8 +357,8 @@ def license_check(df: DataFrame, name: str, path: str) -> DataFrame:
     few rows.
     """
     spark = df.sparkSession
-    common = spark.createDataFrame([(n, t) for n, t, _ in S.LICENSES],
-                                   "_license string, known_title string")
+    common = local_table(spark, [(n, t) for n, t, _ in S.LICENSES],
+                         "_license string, known_title string")
     effective = F.when(F.coalesce(F.col(name), F.lit("")) == "", S.DEFAULT_LICENSE[0]).otherwise(
         F.col(name))
     url = F.when(F.coalesce(F.col(name), F.lit("")) == "", S.DEFAULT_LICENSE[2]).otherwise(

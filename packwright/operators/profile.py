@@ -119,8 +119,11 @@ def preview(df: DataFrame, key: str | list[str], n: int = 10) -> DataFrame:
 
 
 def quality_info(dataset: str, columns: int, profile: DataFrame, duplicates: DataFrame,
-                 inconsistencies: DataFrame | None = None, parity: bool = False) -> DataFrame:
-    """Information lines of a dataset: missing values, duplicates, shape, type inconsistencies."""
+                 mixed: DataFrame | None = None, parity: bool = False) -> DataFrame:
+    """Information lines of a dataset: missing values, duplicates, shape, type inconsistencies.
+
+    ``mixed`` is the result of ``mixed_type_columns``.
+    """
     nulls = null_severity(profile, parity).select(
         F.lit("nulls").alias("check"), F.col("column").alias("subject"), "message")
     share = F.col("duplicate_fraction") * 100
@@ -135,8 +138,8 @@ def quality_info(dataset: str, columns: int, profile: DataFrame, duplicates: Dat
         F.lit("shape").alias("check"), F.lit(None).cast("string").alias("subject"),
         F.format_string(f"Dataset has %d rows and {columns} columns", "rows").alias("message"))
     out = nulls.unionByName(dup).unionByName(shape)
-    if inconsistencies is not None:
-        found = inconsistencies.agg(F.count(F.lit(1)).alias("n")).where("n > 0").select(
+    if mixed is not None:
+        found = mixed.agg(F.sum("inconsistent").alias("n")).where("n > 0").select(
             F.lit("inconsistencies").alias("check"), F.lit(None).cast("string").alias("subject"),
             F.format_string("Found %d type inconsistencies", "n").alias("message"))
         out = out.unionByName(found)

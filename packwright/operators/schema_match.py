@@ -16,6 +16,7 @@ from pyspark.sql import Window as W
 
 from packwright import standard as S
 from packwright.functions.value_types import field_type_of, is_numeric_type
+from packwright.session import local_table
 
 COLUMN_SCHEMA = ("dataset string, pos int, column string, field_type string, is_numeric boolean, "
                  "is_raw boolean")
@@ -28,7 +29,7 @@ def infer_fields(df: DataFrame, dataset: str, raw_columns: tuple[str, ...] = ())
          f.name in raw_columns)
         for pos, f in enumerate(df.schema.fields)
     ]
-    return df.sparkSession.createDataFrame(rows, COLUMN_SCHEMA)
+    return local_table(df.sparkSession, rows, COLUMN_SCHEMA)
 
 
 def infer_fields_from_values(tally: DataFrame) -> DataFrame:
@@ -120,14 +121,13 @@ def expected_value_types(declared: Column) -> Column:
     return out
 
 
-def value_type_match(cells: DataFrame, declared: DataFrame) -> DataFrame:
-    """Raw columns whose values never fit: ``column, type, actual_types, matched, cells``.
+def value_type_match(tally: DataFrame, declared: DataFrame) -> DataFrame:
+    """Whether raw columns fit their declared type: ``column, type, actual_types, matched, cells, ok``.
 
-    All values are looked at. ``matched`` counts the fitting ones; the column is
-    an error when there are none (``ok`` is false). ``declared`` holds
+    The tally is that of all values. ``matched`` counts the fitting ones; the
+    column is an error when there are none (``ok`` is false). ``declared`` holds
     ``column, type`` and is bounded by the schema.
     """
-    tally = cells.groupBy("column", "value_type").agg(F.count(F.lit(1)).alias("n"))
     accepted = expected_value_types(F.col("type"))
     fits = F.coalesce(F.array_contains(accepted, F.col("value_type")), F.lit(True))
     return (
@@ -147,4 +147,5 @@ def value_type_match_first(cells: DataFrame, declared: DataFrame, first: int = 1
     """
     order = W.partitionBy("column").orderBy("row")
     head = cells.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= first)
-    return value_type_match(head, declared)
+    return value_type_match(
+        head.groupBy("column", "value_type").agg(F.count(F.lit(1)).alias("n")), declared)

@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from packwright import standard as S
 from packwright.functions.names import clean_query, first_word, iri_tail
 from packwright.operators.joins import attach
+from packwright.session import local_table
 
 FIELD_TEMPLATE_SCHEMA = (
     "column string, type string, description string, unit_name string, unit_long_name string, "
@@ -153,7 +154,7 @@ def build_fields(columns: DataFrame, labels: DataFrame, descriptions: DataFrame,
 
 def field_templates(columns: DataFrame) -> DataFrame:
     """Add the ready definition of columns with a well-known name (a fixed few)."""
-    templates = columns.sparkSession.createDataFrame(S.FIELD_TEMPLATES, FIELD_TEMPLATE_SCHEMA)
+    templates = local_table(columns.sparkSession, S.FIELD_TEMPLATES, FIELD_TEMPLATE_SCHEMA)
     return columns.join(F.broadcast(templates), "column", "left")
 
 

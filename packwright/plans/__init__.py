@@ -2,9 +2,9 @@
 
 from packwright.plans.export import ExportRefused, export_package
 from packwright.plans.report import findings_report, inconsistency_sink
-from packwright.plans.validate import Dataset, data_findings, validate_all
+from packwright.plans.validate import Dataset, data_findings, validate_all, with_level
 
 __all__ = [
     "Dataset", "ExportRefused", "data_findings", "export_package", "findings_report",
-    "inconsistency_sink", "validate_all",
+    "inconsistency_sink", "validate_all", "with_level",
 ]

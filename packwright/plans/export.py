@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from packwright import standard as S
 from packwright.operators import catalog, consistency, descriptors, schema_match, vocab
 from packwright.plans.validate import Dataset, validate_all
+from packwright.session import local_table
 from packwright.sources.package import pack_write
 
 MAPPING_SCHEMA = "dataset string, name string, iri string"
@@ -46,12 +47,12 @@ def build_descriptor(df: DataFrame, mappings: dict[str, str], details: dict, fil
     """
     spark = df.sparkSession
     columns = schema_match.infer_fields(df, "_", raw_columns)
-    mapped = vocab.apply_mappings(columns, spark.createDataFrame(
-        [("_", k, v) for k, v in mappings.items()], MAPPING_SCHEMA))
+    mapped = vocab.apply_mappings(columns, local_table(
+        spark, [("_", k, v) for k, v in mappings.items()], MAPPING_SCHEMA))
     rows = vocab.build_fields(
-        mapped, spark.createDataFrame(list((labels or {}).items()), LABEL_SCHEMA),
-        spark.createDataFrame([("_", k, v) for k, v in (descriptions or {}).items()],
-                              DESCRIPTION_SCHEMA), sheet_name)
+        mapped, local_table(spark, list((labels or {}).items()), LABEL_SCHEMA),
+        local_table(spark, [("_", k, v) for k, v in (descriptions or {}).items()],
+                            DESCRIPTION_SCHEMA), sheet_name)
     fields = []
     for r in sorted(rows.collect(), key=lambda r: r.pos):
         unit = {k: v for k, v in (("name", r.unit_name), ("longName", r.unit_long_name),
@@ -67,8 +68,9 @@ def build_descriptor(df: DataFrame, mappings: dict[str, str], details: dict, fil
         "encoding": S.DEFAULT_ENCODING, "profile": "tabular-data-resource",
         "schema": {"fields": fields},
     }
-    given = spark.createDataFrame(
-        [(json.dumps(details), json.dumps([resource]))], "details_json string, resources_json string"
+    given = local_table(
+        spark, [(json.dumps(details), json.dumps([resource]))],
+        "details_json string, resources_json string"
     ).select(F.from_json("details_json", catalog.DESCRIPTOR).alias("details"),
              F.from_json("resources_json", f"array<{catalog.RESOURCE}>").alias("resources"))
     built = descriptors.descriptor_build(

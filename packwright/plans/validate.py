@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import json
 from dataclasses import dataclass, field
-from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from packwright.operators import catalog, consistency, duplicates, profile, schema_match
 from packwright.operators.constraints import Constraint, constraint_profile, key_profile
+from packwright.session import local_table
 
 FINDING_COLUMNS = ["dataset", "scope", "subject", "check", "severity", "message"]
 
@@ -33,8 +34,11 @@ class Dataset:
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
-    """Rows of all parts, matched by column name."""
-    return reduce(DataFrame.unionByName, parts)
+    """Rows of all parts, matched by column name; joined in pairs, which keeps the plan flat."""
+    while len(parts) > 1:
+        pairs = [parts[i:i + 2] for i in range(0, len(parts), 2)]
+        parts = [p[0].unionByName(p[1]) if len(p) == 2 else p[0] for p in pairs]
+    return parts[0]
 
 
 def declared_fields(dataset: Dataset) -> list[dict]:
@@ -51,25 +55,25 @@ def fields_table(dataset: Dataset) -> DataFrame:
 
     rows = [(dataset.name, f.get("name"), f.get("type"), unit_name(f.get("unit")))
             for f in declared_fields(dataset)]
-    return dataset.df.sparkSession.createDataFrame(
-        rows, "dataset string, name string, type string, unit_name string")
+    return local_table(dataset.df.sparkSession, rows,
+                       "dataset string, name string, type string, unit_name string")
 
 
 def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
     """Findings on the data of one dataset.
 
     The table is read once for missing values and constraints each, once for
-    repeated rows and once for the types of raw columns.
+    repeated rows and once for the types of raw columns, whose tally serves all
+    checks on them.
     """
     df = dataset.df
     raw = [c for c in dataset.raw_columns if c in df.columns]
     parts = []
-    cells = tally = inconsistencies = None
+    tally = mixed = None
     if raw:
-        cells = consistency.typed_cells(df, dataset.row_id, raw)
-        tally = consistency.type_tally(cells)
-        inconsistencies = consistency.type_inconsistencies(cells, consistency.expected_type(tally))
-        parts.append(consistency.mixed_type_columns(tally).select(
+        tally = consistency.type_tally(consistency.typed_cells(df, dataset.row_id, raw))
+        mixed = consistency.mixed_type_columns(tally)
+        parts.append(mixed.select(
             F.lit(dataset.name).alias("dataset"), F.lit("type_consistency").alias("scope"),
             F.col("column").alias("subject"), F.lit("mixed_types").alias("check"),
             F.lit("error").alias("severity"), "message"))
@@ -90,7 +94,7 @@ def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
                 F.col("name").alias("column"), "type")
             accepted = F.array_join(schema_match.expected_value_types(F.col("type")), ", ")
             parts.append(
-                schema_match.value_type_match(cells, declared).where(~F.col("ok")).select(
+                schema_match.value_type_match(tally, declared).where(~F.col("ok")).select(
                     F.lit(dataset.name).alias("dataset"), F.lit("schema_matching").alias("scope"),
                     F.col("column").alias("subject"), F.lit("value_type_match").alias("check"),
                     F.lit("error").alias("severity"),
@@ -117,7 +121,7 @@ def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
             .alias("message")))
     parts.append(profile.quality_info(
         dataset.name, len(df.columns), profile.null_profile(df), duplicates.duplicate_profile(df),
-        inconsistencies, parity).withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS))
+        mixed, parity).withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS))
     return union_all(parts)
 
 
@@ -126,7 +130,7 @@ def descriptor_table(datasets: list[Dataset]) -> DataFrame:
     spark = datasets[0].df.sparkSession
     rows = [(d.name, json.dumps(d.descriptor)) for d in datasets]
     return catalog.parse_descriptors(
-        spark.createDataFrame(rows, "dataset string, descriptor_json string"), "descriptor_json")
+        local_table(spark, rows, "dataset string, descriptor_json string"), "descriptor_json")
 
 
 def validate_all(datasets: list[Dataset], parity: bool = False) -> tuple[DataFrame, DataFrame]:
@@ -142,3 +146,14 @@ def validate_all(datasets: list[Dataset], parity: bool = False) -> tuple[DataFra
     findings = union_all([meta.select(*FINDING_COLUMNS)]
                          + [data_findings(d, parity) for d in datasets])
     return findings, catalog.compliance_level(findings, described)
+
+
+def with_level(findings: DataFrame) -> DataFrame:
+    """Add the level of its dataset to every finding, in one pass over the findings.
+
+    A dataset has at most a few findings per column and descriptor entry, so a
+    window over one dataset stays small.
+    """
+    own = W.partitionBy("dataset")
+    counts = {s: F.count_if(F.col("severity") == s).over(own) for s in ("error", "warning")}
+    return findings.withColumn("level", catalog.level_of(counts["error"], counts["warning"]))

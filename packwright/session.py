@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 
 def build_session(app: str = "packwright", master: str | None = None,
@@ -17,6 +20,8 @@ def build_session(app: str = "packwright", master: str | None = None,
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        # Recording the call site of every expression doubles the time to build a plan.
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
         builder = (builder.master(master).config("spark.ui.enabled", "false")
@@ -26,6 +31,15 @@ def build_session(app: str = "packwright", master: str | None = None,
     return builder.getOrCreate()
 
 
+def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+    """A small table held in the plan itself, whose size the optimizer knows."""
+    schema = StructType.fromDDL(ddl)
+    columns = list(zip(*rows)) if rows else [()] * len(schema)
+    arrow = to_arrow_schema(schema)
+    return spark.createDataFrame(
+        pa.table([pa.array(c, f.type) for c, f in zip(columns, arrow)], schema=arrow), schema)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared folder (``spark.checkpoint.dir``).
 

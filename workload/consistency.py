@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from packwright.functions import value_type, variant_value_type
 from packwright.operators import consistency, schema_match
 from packwright.plans.report import inconsistency_sink
-from packwright.session import shared_dir
+from packwright.session import local_table, shared_dir
 from workload.registry import query, table
 
 TYPE_SQL = """CASE WHEN regexp_full_match({v}, '[+-]?\\d+') THEN 'int'
@@ -145,12 +145,12 @@ FROM t JOIN declared USING ("column") GROUP BY "column", type"""
 
 
 def _declared(spark):
-    return spark.createDataFrame(_DECLARED, "column string, type string")
+    return local_table(spark, _DECLARED, "column string, type string")
 
 
 @query("value_type_match", _value_match_sql("cells"))
 def value_type_match(spark, sf_dir):
-    return schema_match.value_type_match(cells(spark, sf_dir), _declared(spark))
+    return schema_match.value_type_match(_tally(spark, sf_dir), _declared(spark))
 
 
 @query("value_type_match_first", _value_match_sql("""(SELECT * FROM (SELECT *, row_number() OVER (

@@ -154,71 +154,47 @@ _ALL_SQL = f"WITH {_BASE}, found AS (" + " UNION ALL ".join(
 
 
 # ---------------------------------------------------------------- Spark side
+_PACKAGE = """named_struct(
+  'name', CASE WHEN p_partkey % 13 = 0 THEN NULL WHEN p_partkey % 7 = 0 THEN p_name
+    WHEN p_partkey % 19 = 0 THEN concat('.', replace(p_name, ' ', '-'))
+    ELSE replace(p_name, ' ', '-') END,
+  'title', CASE WHEN p_partkey % 11 = 0 THEN NULL WHEN p_partkey % 17 = 0 THEN string(p_size)
+    ELSE p_type END,
+  'created', CASE WHEN p_partkey % 3 = 0 THEN concat('2024-01-', lpad(string(p_size % 28 + 1), 2, '0'))
+    WHEN p_partkey % 3 = 1 THEN '2024/01/01' END,
+  'version', CASE WHEN p_size % 2 = 0 THEN concat(p_size, '.0.0')
+    WHEN p_size % 3 = 0 THEN concat('v', p_size) END,
+  'description', CASE WHEN p_partkey % 5 <> 0 THEN concat(p_name, ' ', p_type) END,
+  'keywords', CASE WHEN p_size % 25 > 0 THEN transform(sequence(1, p_size % 25), k -> concat('k', k)) END,
+  'homepage', CASE WHEN p_partkey % 4 = 0 THEN concat('https://example.org/', p_partkey)
+    WHEN p_partkey % 4 = 1 THEN concat('ftp://example.org/', p_partkey) END,
+  'repository', CASE WHEN p_partkey % 6 = 0 THEN 'http://example.org/repo'
+    WHEN p_partkey % 6 = 1 THEN 'repo' END,
+  'licenses', slice(array(named_struct('name', 'MIT')), 1, p_size % 2),
+  'contributors', CASE WHEN p_size % 3 = 1 THEN array(named_struct('name', 'A', 'role', 'author'))
+    WHEN p_size % 3 = 2 THEN array(named_struct('name', 'A', 'role', 'maintainer'),
+                                   named_struct('name', 'A', 'role', 'contributor')) END,
+  'sources', slice(array(named_struct('title', 'Source')), 1, CASE WHEN p_partkey % 9 = 0 THEN 0 ELSE 1 END),
+  'resources', transform(slice(array(0, 1, 2), 1, int(p_partkey % 4)), i -> named_struct(
+    'name', CASE WHEN i = 0 THEN concat('res_', p_partkey) WHEN i = 1 THEN concat('Res ', p_partkey, '!') END,
+    'path', CASE WHEN (p_partkey + i) % 8 <> 0 THEN concat('data/', p_partkey) END,
+    'title', CASE WHEN (p_partkey + i) % 2 = 0 THEN 'Title' END,
+    'description', CASE WHEN (p_partkey + i) % 3 = 0 THEN 'Text' END,
+    'format', CASE WHEN (p_partkey + i) % 4 IN (0, 3) THEN 'parquet' WHEN (p_partkey + i) % 4 = 1 THEN 'csv' END,
+    'encoding', CASE WHEN (p_partkey + i) % 5 = 0 THEN 'UTF-8' WHEN (p_partkey + i) % 5 = 1 THEN 'latin-99' END,
+    'schema', CASE WHEN (p_partkey + i) % 6 <> 0 THEN named_struct('fields',
+      transform(slice(array(0, 1), 1, int((p_partkey + i) % 3)), j -> named_struct(
+        'name', CASE WHEN (p_partkey + j) % 10 <> 0 THEN concat('f', j) END,
+        'type', CASE (p_partkey + i + j) % 5 WHEN 0 THEN 'integer' WHEN 1 THEN 'number'
+          WHEN 2 THEN 'string' WHEN 3 THEN 'decimal' END,
+        'description', CASE WHEN (p_partkey + j) % 3 = 0 THEN 'about' END,
+        'unit', CASE WHEN (p_partkey + j) % 2 = 0 THEN named_struct('name', 'cm') END))) END)))"""
+
+
 def part_packages(spark, sf_dir):
     """``dataset, descriptor`` with one descriptor per part."""
-    p, size, none = F.col("p_partkey"), F.col("p_size"), F.lit(None)
-    dashed = F.replace("p_name", F.lit(" "), F.lit("-"))
-    key = p.cast("string")
-
-    def field(i, j):
-        return F.struct(
-            F.when((p + j) % 10 != 0, F.concat(F.lit("f"), j.cast("string"))).alias("name"),
-            F.get(F.array(*[F.lit(t) for t in ("integer", "number", "string", "decimal")]),
-                  ((p + i + j) % 5).cast("int")).alias("type"),
-            F.when((p + j) % 3 == 0, "about").alias("description"),
-            F.when((p + j) % 2 == 0, F.struct(F.lit("cm").alias("name"),
-                                              none.cast("string").alias("longName"),
-                                              none.cast("string").alias("path"))).alias("unit"))
-
-    def resource(i):
-        k = p + i
-        fields = F.when(k % 3 > 0, F.transform(
-            F.sequence(F.lit(0), (k % 3 - 1).cast("int")), lambda j: field(i, j))).otherwise(
-            F.array().cast("array<struct<name:string,type:string,description:string,"
-                           "unit:struct<name:string,longName:string,path:string>>>"))
-        return F.struct(
-            F.when(i == 0, F.concat(F.lit("res_"), key))
-            .when(i == 1, F.concat(F.lit("Res "), key, F.lit("!"))).alias("name"),
-            F.when(k % 8 != 0, F.concat(F.lit("data/"), key)).alias("path"),
-            F.when(k % 2 == 0, "Title").alias("title"),
-            F.when(k % 3 == 0, "Text").alias("description"),
-            F.when((k % 4 == 0) | (k % 4 == 3), "parquet").when(k % 4 == 1, "csv").alias("format"),
-            F.when(k % 5 == 0, "UTF-8").when(k % 5 == 1, "latin-99").alias("encoding"),
-            F.when(k % 6 != 0, F.struct(fields.alias("fields"))).alias("schema"))
-
-    def people(*roles):
-        return F.array(*[F.struct(F.lit("A").alias("name"), F.lit(r).alias("role")) for r in roles])
-
-    n_resources = (p % 4).cast("int")
-    descriptor = F.struct(
-        F.when(p % 13 == 0, none).when(p % 7 == 0, F.col("p_name"))
-        .when(p % 19 == 0, F.concat(F.lit("."), dashed)).otherwise(dashed).alias("name"),
-        F.when(p % 11 == 0, none).when(p % 17 == 0, size.cast("string"))
-        .otherwise(F.col("p_type")).alias("title"),
-        F.when(p % 3 == 0, F.concat(F.lit("2024-01-"),
-                                    F.lpad((size % 28 + 1).cast("string"), 2, "0")))
-        .when(p % 3 == 1, "2024/01/01").alias("created"),
-        F.when(size % 2 == 0, F.concat(size.cast("string"), F.lit(".0.0")))
-        .when(size % 3 == 0, F.concat(F.lit("v"), size.cast("string"))).alias("version"),
-        F.when(p % 5 != 0, F.concat("p_name", F.lit(" "), "p_type")).alias("description"),
-        F.when(size % 25 > 0, F.transform(F.sequence(F.lit(1), size % 25),
-                                          lambda k: F.concat(F.lit("k"), k.cast("string")))
-               ).alias("keywords"),
-        F.when(p % 4 == 0, F.concat(F.lit("https://example.org/"), key))
-        .when(p % 4 == 1, F.concat(F.lit("ftp://example.org/"), key)).alias("homepage"),
-        F.when(p % 6 == 0, "http://example.org/repo").when(p % 6 == 1, "repo").alias("repository"),
-        F.slice(F.array(F.struct(F.lit("MIT").alias("name"))), F.lit(1), (size % 2).cast("int"))
-        .alias("licenses"),
-        F.when(size % 3 == 1, people("author")).when(size % 3 == 2, people("maintainer", "contributor"))
-        .alias("contributors"),
-        F.slice(F.array(F.struct(F.lit("Source").alias("title"))), F.lit(1),
-                F.when(p % 9 == 0, 0).otherwise(1)).alias("sources"),
-        F.when(n_resources > 0, F.transform(F.sequence(F.lit(0), n_resources - 1), resource))
-        .otherwise(F.array()).alias("resources"))
-    return table(spark, sf_dir, "part").select(p.alias("dataset"), descriptor.alias("descriptor"))
-
-
-D = F.col
+    return table(spark, sf_dir, "part").selectExpr("p_partkey AS dataset",
+                                                   f"{_PACKAGE} AS descriptor")
 
 
 def _findings(spark, sf_dir, rule):

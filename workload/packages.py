@@ -5,7 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from packwright.operators.constraints import Constraint
-from packwright.plans import Dataset, export_package, validate_all
+from packwright.plans import Dataset, export_package, validate_all, with_level
 from packwright.session import shared_dir
 from packwright.sources import (
     file_size_audit,
@@ -203,8 +203,7 @@ def validation(spark, sf_dir):
 
 @query("validation_findings")
 def validation_findings(spark, sf_dir):
-    findings, levels = validate_all(datasets(spark, sf_dir))
-    return findings.join(F.broadcast(levels.select("dataset", "level")), "dataset")
+    return with_level(validate_all(datasets(spark, sf_dir))[0])
 
 
 # ------------------------------------------------------------------- streaming
