@@ -82,6 +82,12 @@ class _Keys:
             return self.d[key].isNotNull()
         return self.types[key].isNotNull()
 
+    def value(self, key: str, wanted: str) -> Column:
+        """The value, or null where it is of another type, whose text says nothing."""
+        if self.types is None:
+            return self.d[key]
+        return F.when(self.types[key] == wanted, self.d[key])
+
     def wrong_type(self, key: str, wanted: str, label: str, severity: str) -> list[Column]:
         if self.types is None:
             return []
@@ -124,7 +130,7 @@ def _array_findings(value: Column, rule: S.Rule, severity: str) -> list[Column]:
 
 
 def _values(keys: _Keys, rule: S.Rule, severity: str) -> list[Column]:
-    value = keys.d[rule.key]
+    value = keys.value(rule.key, "list" if rule.kind == "array" else "str")
     if rule.kind == "string":
         return keys.wrong_type(rule.key, "str", "string", severity) + _string_findings(
             value, "metadata", rule, "meta_string_rules", severity)
