@@ -18,8 +18,14 @@ _TEXT_LADDER = [
 
 def value_type(text: Column) -> Column:
     """Type name of a raw text cell: int, float, bool, date, datetime or str; null stays null."""
-    ladder = F.when(text.isNull(), F.lit(None).cast("string"))
-    for name, pattern in _TEXT_LADDER:
+    return F.when(text.isNotNull(), filled_value_type(text))
+
+
+def filled_value_type(text: Column) -> Column:
+    """The same for text known not to be null; the result is never null either."""
+    (first, pattern), *rest = _TEXT_LADDER
+    ladder = F.when(text.rlike(pattern), first)
+    for name, pattern in rest:
         ladder = ladder.when(text.rlike(pattern), name)
     return ladder.otherwise("str")
 

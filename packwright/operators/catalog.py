@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright import standard as S
@@ -301,6 +301,55 @@ def descriptor_findings(d: Column, key_types: Column | None = None,
                     each_resource(d, resource_findings))
 
 
+def strict_rules(d: Column) -> Column:
+    """Warnings for rules the standard declares but leaves unchecked; not part of a level.
+
+    Keys of list entries, length of the description, allowed formats, form of
+    field names.
+    """
+    out = [_list([
+        _finding(F.length(d["description"]) < r.min_length, "metadata", r.key, "strict_text",
+                 "warning", r.message)
+        for r in S.METADATA_RECOMMENDED if r.kind == "text"
+    ])]
+
+    def lacks(key: str, part: str) -> Column:
+        return F.exists(d[key], lambda x: F.coalesce(x[part], F.lit("")) == "")
+
+    out.append(_list([
+        _finding(lacks(key, part), "metadata", key, "strict_items", "warning",
+                 f"Every entry of '{key}' needs '{part}'")
+        for key, parts in S.ITEM_KEYS.items() for part in parts
+    ]))
+
+    def field_rules(f: Column) -> Column:
+        return _list([_finding(~f["name"].rlike("(?d)" + S.FIELD_NAME_PATTERN), "field",
+                               _field_name(f), "strict_field_name", "warning",
+                               S.FIELD_NAME_MESSAGE)])
+
+    def resource_rules(r: Column) -> Column:
+        listed = _list([_finding(
+            ~r["format"].isin(S.FORMATS), "resource", "format", "strict_format", "warning",
+            f"Format must be one of: {', '.join(S.FORMATS)}")])
+        return F.concat(listed, each_field(field_rules)(r))
+
+    return F.concat(*out, each_resource(d, resource_rules))
+
+
+def rules_table(spark: SparkSession) -> DataFrame:
+    """The rules of the standard as rows, one per key of a descriptor or resource."""
+    rows = []
+    for part, required, rules in (
+        ("metadata", True, S.METADATA_REQUIRED), ("metadata", False, S.METADATA_RECOMMENDED),
+        ("resource", True, S.RESOURCE_REQUIRED), ("resource", False, S.RESOURCE_RECOMMENDED),
+    ):
+        rows += [(part, required, r.key, r.kind, r.min_length, r.max_length, r.pattern, r.min_items,
+                  r.max_items, r.message) for r in rules]
+    return local_table(spark, rows, (
+        "part string, required boolean, key string, kind string, min_length int, max_length int, "
+        "pattern string, min_items int, max_items int, message string"))
+
+
 def explode_findings(df: DataFrame, key: str, findings: Column) -> DataFrame:
     """``key, scope, subject, check, severity, message``, one row per finding."""
     return df.select(key, F.inline(findings))

@@ -5,10 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.functions.value_types import value_type
-
-# Type names a text cell can get, the bound on the rows of a tally per column.
-MAX_TYPES = 6
+from packwright.functions.value_types import filled_value_type
 
 
 def typed_cells(df: DataFrame, row_id: str, raw_columns: list[str]) -> DataFrame:
@@ -17,7 +14,7 @@ def typed_cells(df: DataFrame, row_id: str, raw_columns: list[str]) -> DataFrame
         df.select(F.col(row_id).alias("row"), *raw_columns)
         .unpivot(["row"], raw_columns, "column", "value")
         .where(F.col("value").isNotNull())
-        .withColumn("value_type", value_type(F.col("value")))
+        .withColumn("value_type", filled_value_type(F.col("value")))
     )
 
 

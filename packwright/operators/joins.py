@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from packwright.session import local_table
+
 MAX_BROADCAST_ROWS = 100_000
 SALTS = 32
 
@@ -23,7 +25,7 @@ def attach(large: DataFrame, small: DataFrame, on: list[str], salt_by: list[str
     """
     rows = small.limit(max_rows + 1).collect()
     if len(rows) <= max_rows:
-        local = large.sparkSession.createDataFrame(rows, small.schema)
+        local = local_table(large.sparkSession, rows, small.schema)
         return large.join(F.broadcast(local), on, how)
     return salted_join(large, small, on, salt_by, how)
 

@@ -12,10 +12,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import Window as W
 
 from packwright import standard as S
-from packwright.functions.value_types import field_type_of, is_numeric_type
+from packwright.functions.value_types import field_type_of, filled_value_type, is_numeric_type
+from packwright.operators.profile import column_samples
 from packwright.session import local_table
 
 COLUMN_SCHEMA = ("dataset string, pos int, column string, field_type string, is_numeric boolean, "
@@ -140,12 +140,13 @@ def value_type_match(tally: DataFrame, declared: DataFrame) -> DataFrame:
     )
 
 
-def value_type_match_first(cells: DataFrame, declared: DataFrame, first: int = 100) -> DataFrame:
+def value_type_match_first(df: DataFrame, row_id: str, raw_columns: list[str],
+                           declared: DataFrame, first: int = 100) -> DataFrame:
     """The same verdict from the first ``first`` values of each column in row order.
 
-    The limit on the rank is applied inside every task before the shuffle.
+    Every task keeps only its first values of a column; nothing is sorted whole.
     """
-    order = W.partitionBy("column").orderBy("row")
-    head = cells.withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= first)
+    head = column_samples(df, row_id, raw_columns, first).withColumn(
+        "value_type", filled_value_type(F.col("value")))
     return value_type_match(
         head.groupBy("column", "value_type").agg(F.count(F.lit(1)).alias("n")), declared)

@@ -52,9 +52,10 @@ def normalize_suggestion(json: Column) -> Column:
 def label_lookup(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     """Add ``label`` of the first cached suggestion with the wanted ``id``.
 
-    The cache holds ``cache_order, pos, suggestion`` (JSON). An empty label of
-    the first hit gives no label. Only entries with a wanted id are aggregated,
-    and each task hands on one entry per id.
+    The ids wanted are distinct; the cache holds ``cache_order, pos,
+    suggestion`` (JSON). An empty label of the first hit gives no label. Each
+    task hands on one entry per id, so an id that fills a third of the cache
+    is no burden.
     """
     def field(*keys: str) -> Column:
         return F.coalesce(*[F.nullif(F.get_json_object("suggestion", f"$.{k}"), F.lit(""))
@@ -62,8 +63,7 @@ def label_lookup(wanted: DataFrame, cache: DataFrame) -> DataFrame:
 
     entries = cache.select("cache_order", "pos", field("id", "id_", "uri").alias("id"),
                            field("label", "name").alias("label")).where(F.col("id").isNotNull())
-    needed = entries.join(wanted.select("id").distinct(), "id", "left_semi")
-    firsts = needed.groupBy("id").agg(
+    firsts = entries.groupBy("id").agg(
         F.min_by("label", F.struct("cache_order", "pos")).alias("label"))
     return wanted.join(firsts, "id", "left")
 
@@ -120,7 +120,7 @@ def pick_definitions(df: DataFrame, key: str, pos: str, lang: str, value: str,
     """
     chosen = df.groupBy(key).agg(
         F.coalesce(F.min(F.when(F.col(lang) == language, F.col(pos))), F.min(pos)).alias(pos))
-    return attach(df.select(key, pos, value), chosen, [key, pos], [value]).select(key, value)
+    return attach(df.select(key, pos, value), chosen, [key, pos], [pos]).select(key, value)
 
 
 def build_fields(columns: DataFrame, labels: DataFrame, descriptions: DataFrame,
@@ -138,8 +138,9 @@ def build_fields(columns: DataFrame, labels: DataFrame, descriptions: DataFrame,
     def unit(label: Column, fallback: str) -> Column:
         return F.when(mapped, label).when(numeric, F.lit(fallback))
 
+    # Most columns share a few units or have none, hence no plain join on the unit.
     return (
-        columns.join(units, "unit_id", "left")
+        attach(columns, units, ["unit_id"], ["dataset", "column"], "left")
         .join(descriptions, ["dataset", "column"], "left")
         .select(
             "dataset", "pos", F.col("column").alias("name"), F.col("field_type").alias("type"),

@@ -72,6 +72,28 @@ def findings_report(findings: DataFrame, levels: DataFrame) -> DataFrame:
     return head_lines.unionByName(numbered)
 
 
+def information_lines(tables: DataFrame) -> DataFrame:
+    """Report lines on the tables: ``dataset, rows, columns, mapped`` gives four lines each."""
+    lines = F.array(*[
+        F.struct(F.lit(4).alias("section"), F.lit(i).cast("long").alias("number"), text.alias("line"))
+        for i, text in enumerate((
+            F.lit("DATASET INFORMATION"),
+            F.concat(F.lit("Rows: "), F.col("rows").cast("string")),
+            F.concat(F.lit("Columns: "), F.col("columns").cast("string")),
+            F.concat(F.lit("Columns mapped: "), F.col("mapped").cast("string"))))
+    ])
+    return tables.select("dataset", F.inline(lines))
+
+
+def mapping_lines(mapped: DataFrame) -> DataFrame:
+    """Report lines on the mapping of every column, see ``apply_mappings``."""
+    unit = F.coalesce(F.concat(F.lit(" (unit: "), "unit_id", F.lit(")")), F.lit(""))
+    return mapped.select(
+        "dataset", F.lit(5).alias("section"), (F.col("pos") + 1).cast("long").alias("number"),
+        F.concat(F.lit("- "), "column", F.lit(": "), F.coalesce("concept_id", F.lit("Not mapped")),
+                 unit).alias("line"))
+
+
 def report_text(report: DataFrame, dataset) -> str:
     """Text of one dataset's report."""
     lines = report.where(F.col("dataset") == dataset).orderBy("section", "number")

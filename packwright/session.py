@@ -31,9 +31,9 @@ def build_session(app: str = "packwright", master: str | None = None,
     return builder.getOrCreate()
 
 
-def local_table(spark: SparkSession, rows: list[tuple], ddl: str) -> DataFrame:
+def local_table(spark: SparkSession, rows: list[tuple], schema: str | StructType) -> DataFrame:
     """A small table held in the plan itself, whose size the optimizer knows."""
-    schema = StructType.fromDDL(ddl)
+    schema = StructType.fromDDL(schema) if isinstance(schema, str) else schema
     columns = list(zip(*rows)) if rows else [()] * len(schema)
     arrow = to_arrow_schema(schema)
     return spark.createDataFrame(

@@ -2,6 +2,7 @@
 
 from packwright.sources.package import (
     DESCRIPTOR_KEY,
+    annotate,
     pack_catalog,
     pack_read,
     pack_write,
@@ -10,6 +11,6 @@ from packwright.sources.package import (
 from packwright.sources.readers import file_size_audit, load, read_csv, read_parquet
 
 __all__ = [
-    "DESCRIPTOR_KEY", "file_size_audit", "load", "pack_catalog", "pack_read", "pack_write",
+    "DESCRIPTOR_KEY", "annotate", "file_size_audit", "load", "pack_catalog", "pack_read", "pack_write",
     "read_csv", "read_descriptor", "read_parquet",
 ]

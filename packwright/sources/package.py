@@ -143,6 +143,20 @@ def pack_write(df: DataFrame, descriptor: dict, path: str, mode: str = "overwrit
      .mode(mode).save())
 
 
+def annotate(df: DataFrame, fields: list[dict]) -> DataFrame:
+    """Put the field definitions into the metadata of the columns.
+
+    Spark's own Parquet writer keeps them, so a table written without the
+    package source still carries units and concepts per column.
+    """
+    known = {f["name"]: f for f in fields}
+    return df.select(*[
+        df[f"`{c}`"].alias(c, metadata={k: v for k, v in known[c].items() if k != "name"})
+        if c in known else df[f"`{c}`"]
+        for c in df.columns
+    ])
+
+
 def _descriptor_text(metadata: dict | None) -> str | None:
     value = (metadata or {}).get(DESCRIPTOR_KEY.encode())
     return None if value is None else value.decode("utf-8")

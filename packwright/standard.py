@@ -36,6 +36,8 @@ EXPECTED_VALUE_TYPES = {
 }
 
 PREFERRED_FORMAT = "parquet"
+FORMATS = ["parquet", "csv", "json", "xlsx", "tsv"]
+FIELD_NAME_PATTERN = r"^[a-zA-Z][a-zA-Z0-9_]*$"
 DEFAULT_ENCODING = "utf-8"
 
 MAX_NULL_FRACTION = 0.20
@@ -158,6 +160,13 @@ METADATA_RECOMMENDED = [
     Rule("repository", "url", "Repository should be a valid HTTP(S) URL"),
 ]
 
+# Keys that the entries of a list must have.
+ITEM_KEYS = {
+    "licenses": ["name", "path"],
+    "contributors": ["name", "role"],
+    "sources": ["title"],
+}
+
 RESOURCE_REQUIRED = [
     Rule("name", "string", pattern=NAME_PATTERN),
     Rule("path", "string"),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from packwright.operators import vocab
 from packwright.plans import ExportRefused, export_package
 from packwright.sources import (
+    annotate,
     file_size_audit,
     load,
     pack_catalog,
@@ -83,6 +84,14 @@ def test_catalog_of_files(spark, tmp_path):
     assert audit.count() == len(got) and {r.tier for r in audit.collect()} == {"small"}
 
 
+def test_column_metadata(spark, tmp_path):
+    field = {"name": "amount", "type": "integer", "unit": {"name": "NUM", "path": "http://v/NUM"}}
+    annotate(sample(spark), [field]).write.parquet(str(tmp_path / "t"))
+    back = spark.read.parquet(str(tmp_path / "t"))
+    assert back.schema["amount"].metadata == {k: v for k, v in field.items() if k != "name"}
+    assert back.schema["location"].metadata == {}
+
+
 def test_readers(spark, tmp_path):
     (tmp_path / "t.csv").write_text("a,b,,\n1,x,,\n2,y,,\n")
     df = load(spark, str(tmp_path / "t.csv"))

@@ -120,7 +120,7 @@ def test_value_type_match_of_raw_columns(spark):
     cells = consistency.typed_cells(df, "row", ["name"])
     declared = spark.createDataFrame([("name", "integer")], "column string, type string")
     assert schema_match.value_type_match(consistency.type_tally(cells), declared).first().ok
-    assert not schema_match.value_type_match_first(cells, declared).first().ok
+    assert not schema_match.value_type_match_first(df, "row", ["name"], declared).first().ok
 
 
 def test_infer_fields(spark):

@@ -156,7 +156,8 @@ def value_type_match(spark, sf_dir):
 @query("value_type_match_first", _value_match_sql("""(SELECT * FROM (SELECT *, row_number() OVER (
   PARTITION BY "column" ORDER BY "row") AS nth FROM cells) WHERE nth <= 100)"""))
 def value_type_match_first(spark, sf_dir):
-    return schema_match.value_type_match_first(cells(spark, sf_dir), _declared(spark))
+    return schema_match.value_type_match_first(
+        dirty(spark, sf_dir), "event_id", RAW, _declared(spark))
 
 
 _TEXTS = ["l_orderkey", "l_quantity", "l_returnflag", "l_shipdate"]

@@ -246,6 +246,21 @@ def meta_recommended_values(spark, sf_dir):
         catalog.value_rules(d, "array", recommended=True)))
 
 
+@query("strict_rules", f"WITH {_BASE} " + " UNION ALL ".join([
+    _line("strict_text", "warning", "'description'",
+          f"'{_message(S.METADATA_RECOMMENDED, 'description')}'", "pk", "length(description) < 50"),
+    _line("strict_items", "warning", "'licenses'", "'Every entry of ''licenses'' needs ''path'''",
+          "pk", "n_licenses > 0"),
+    _line("strict_field_name", "warning", _FIELD, f"'{_q(S.FIELD_NAME_MESSAGE)}'", "fs",
+          "NOT regexp_full_match(name, '[a-zA-Z][a-zA-Z0-9_]*')", "scope"),
+]))
+def strict_rules(spark, sf_dir):
+    # Licences of the test catalogue have no path.
+    full = part_packages(spark, sf_dir).select("dataset", F.from_json(
+        F.to_json("descriptor"), catalog.DESCRIPTOR).alias("descriptor"))
+    return catalog.explode_findings(full, "dataset", catalog.strict_rules(F.col("descriptor")))
+
+
 @query("descriptor_findings", _ALL_SQL + "SELECT * FROM found")
 def descriptor_findings(spark, sf_dir):
     return _findings(spark, sf_dir, catalog.descriptor_findings)

@@ -16,7 +16,7 @@ from packwright.sources import (
     read_csv,
     read_parquet,
 )
-from packwright.streaming.quality import read_files, run_to_parquet, stream_quality
+from packwright.streaming.quality import drop_repeats, read_files, run_to_parquet, stream_quality
 from workload.consistency import dirty
 from workload.profiling import labelled
 from workload.registry import query, table
@@ -224,6 +224,17 @@ def streamed(spark, sf_dir):
     return spark.read.parquet(path + "/counts")
 
 
+@query("stream_drop_repeats", "SELECT event_id, event_type FROM events")
+def without_repeats(spark, sf_dir):
+    schema = table(spark, sf_dir, "events").schema
+    path = shared_dir(spark)
+    stream = read_files(spark, sf_dir, schema, "events.parquet").select(
+        "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    once = drop_repeats(stream.union(stream), ["event_id"], "ts", "1 hour")
+    run_to_parquet(once.select("event_id", "event_type"), path + "/rows", path + "/state")
+    return spark.read.parquet(path + "/rows")
+
+
 @query("batch_quality", _DAY_SQL)
 def batched(spark, sf_dir):
     return stream_quality(table(spark, sf_dir, "events"), "ts", "value",

@@ -3,6 +3,7 @@
 from pyspark.sql import functions as F
 
 from packwright.operators import profile, vocab
+from packwright.plans.report import information_lines, mapping_lines
 from workload.registry import query, table
 from workload.schema import _COLUMNS_SQL, part_columns
 
@@ -60,6 +61,23 @@ def apply_mappings(spark, sf_dir):
     return _mapped(spark, sf_dir).select("dataset", "pos", "column", "concept_id", "unit_id")
 
 
+@query("mapping_report", f"""WITH {_COLUMNS_SQL}, {_MAPPED_SQL},
+n AS (SELECT dataset, count(*) AS columns, count(concept_id) AS mapped FROM mapped GROUP BY dataset)
+SELECT dataset, 5 AS section, CAST(pos + 1 AS BIGINT) AS number, '- ' || "column" || ': '
+  || coalesce(concept_id, 'Not mapped') || coalesce(' (unit: ' || unit_id || ')', '') AS line FROM mapped
+UNION ALL SELECT dataset, 4, 0, 'DATASET INFORMATION' FROM n
+UNION ALL SELECT dataset, 4, 1, 'Rows: ' || p_size FROM n JOIN part ON p_partkey = dataset
+UNION ALL SELECT dataset, 4, 2, 'Columns: ' || columns FROM n
+UNION ALL SELECT dataset, 4, 3, 'Columns mapped: ' || mapped FROM n""")
+def mapping_report(spark, sf_dir):
+    mapped = _mapped(spark, sf_dir)
+    tables = mapped.groupBy("dataset").agg(
+        F.count(F.lit(1)).alias("columns"), F.count("concept_id").alias("mapped")
+    ).join(table(spark, sf_dir, "part").select(
+        F.col("p_partkey").alias("dataset"), F.col("p_size").alias("rows")), "dataset")
+    return mapping_lines(mapped).unionByName(information_lines(tables))
+
+
 @query("build_fields", f"""WITH {_COLUMNS_SQL}, {_MAPPED_SQL}, {_DESCRIBED_SQL},
 labels AS (SELECT DISTINCT 'http://v/unit/' || p_brand AS id, 'unit of ' || p_brand AS label FROM part
   WHERE p_brand < 'Brand#2')
