@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from packwright.functions.value_types import is_missing
 from packwright.operators.duplicates import row_key
+from packwright.operators.profile import Check, count_checks
 
 
 @dataclass(frozen=True)
@@ -58,23 +59,28 @@ def predicates(df: DataFrame, constraints: list[Constraint]) -> list[tuple[str,
     return out
 
 
+def constraint_checks(df: DataFrame, constraints: list[Constraint],
+                      rules: list[tuple[str, str, Column]] = ()) -> list[Check]:
+    """Countable checks of constraints and user rules; a rule is ``(name, severity, violated)``."""
+    found = [(column, check, "error", violated) for column, check, violated in
+             predicates(df, constraints)]
+    found += [(name, "custom_rule", severity, violated) for name, severity, violated in rules]
+    return [Check("constraint", i, *parts) for i, parts in enumerate(found)]
+
+
 def constraint_profile(df: DataFrame, constraints: list[Constraint],
                        rules: list[tuple[str, str, Column]] = ()) -> DataFrame:
     """``subject, check, severity, violations`` per constraint and user rule, in one pass.
 
     A user rule is ``(name, severity, violated)``.
     """
-    checks = [(column, check, "error", violated) for column, check, violated in
-              predicates(df, constraints)]
-    checks += [(name, "custom_rule", severity, violated) for name, severity, violated in rules]
-    counts = df.agg(*[F.count_if(violated).alias(f"v{i}")
-                      for i, (_, _, _, violated) in enumerate(checks)])
-    lines = F.array(*[
-        F.struct(F.lit(subject).alias("subject"), F.lit(check).alias("check"),
-                 F.lit(severity).alias("severity"), F.col(f"v{i}").alias("violations"))
-        for i, (subject, check, severity, _) in enumerate(checks)
-    ])
-    return counts.select(F.inline(lines))
+    return constraint_counts(count_checks(df, constraint_checks(df, constraints, rules)))
+
+
+def constraint_counts(counts: DataFrame) -> DataFrame:
+    """The constraint profile held in the result of ``count_checks``."""
+    return counts.where("kind = 'constraint'").select(
+        "subject", "check", "severity", F.col("n").alias("violations"))
 
 
 def constraint_violations(df: DataFrame, row_id: str, constraints: list[Constraint]) -> DataFrame:

@@ -2,47 +2,74 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright import standard as S
 from packwright.functions.value_types import is_missing
 
-# Columns counted per aggregate. A wider table is read in slices of columns, which
-# costs a columnar source nothing and keeps every generated method small.
-COLUMNS_PER_PASS = 200
+# Conditions counted per aggregate. A longer list is cut into slices, each of which
+# reads only its own columns; that keeps every generated method small.
+CHECKS_PER_PASS = 200
 
 
-def null_profile(df: DataFrame) -> DataFrame:
-    """One row per column: ``pos, column, rows, nulls, null_fraction``.
+@dataclass(frozen=True)
+class Check:
+    """A condition on one row of a table whose occurrences are counted."""
+
+    kind: str
+    pos: int
+    subject: str
+    check: str
+    severity: str
+    condition: Column
+
 
-    One aggregate over the table (per slice of columns); no rows are shuffled,
-    only one partial result per task.
+def count_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
+    """``kind, pos, subject, check, severity, n, rows``: how often each condition holds.
+
+    One aggregate counts all conditions, of whatever kind, so a table is read
+    once for all of them; only one partial result per task is shuffled.
     """
-    fields = list(enumerate(df.schema.fields))
-    parts = [
-        _null_counts(df, fields[i:i + COLUMNS_PER_PASS])
-        for i in range(0, len(fields), COLUMNS_PER_PASS)
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
+    out = None
+    for i in range(0, len(checks), CHECKS_PER_PASS):
+        part = _count_slice(df, checks[i:i + CHECKS_PER_PASS])
+        out = part if out is None else out.unionByName(part)
     return out
 
 
-def _null_counts(df: DataFrame, fields: list) -> DataFrame:
+def _count_slice(df: DataFrame, checks: list[Check]) -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(is_missing(f.name, f.dataType)).alias(f"n{pos}") for pos, f in fields],
+        *[F.count_if(c.condition).alias(f"n{i}") for i, c in enumerate(checks)],
     )
     lines = F.array(*[
-        F.struct(F.lit(pos).alias("pos"), F.lit(f.name).alias("column"),
-                 F.col(f"n{pos}").alias("nulls"))
-        for pos, f in fields
+        F.struct(F.lit(c.kind).alias("kind"), F.lit(c.pos).alias("pos"),
+                 F.lit(c.subject).alias("subject"), F.lit(c.check).alias("check"),
+                 F.lit(c.severity).alias("severity"), F.col(f"n{i}").alias("n"))
+        for i, c in enumerate(checks)
     ])
-    return counts.select("rows", F.inline(lines)).select(
-        "pos", "column", "rows", "nulls", null_fraction(F.col("nulls"), F.col("rows"))
-    )
+    return counts.select("rows", F.inline(lines))
+
+
+def null_checks(df: DataFrame) -> list[Check]:
+    """One check per column: the value is missing."""
+    return [Check("nulls", pos, f.name, "nulls", "info", is_missing(f.name, f.dataType))
+            for pos, f in enumerate(df.schema.fields)]
+
+
+def null_profile(df: DataFrame) -> DataFrame:
+    """One row per column: ``pos, column, rows, nulls, null_fraction``."""
+    return null_counts(count_checks(df, null_checks(df)))
+
+
+def null_counts(counts: DataFrame) -> DataFrame:
+    """The null profile held in the result of ``count_checks``."""
+    return counts.where("kind = 'nulls'").select(
+        "pos", F.col("subject").alias("column"), "rows", F.col("n").alias("nulls"),
+        null_fraction(F.col("n"), F.col("rows")))
 
 
 def null_fraction(nulls: Column, rows: Column) -> Column:
@@ -134,7 +161,7 @@ def quality_info(dataset: str, columns: int, profile: DataFrame, duplicates: Dat
             F.lit(f" exceeds recommended threshold ({S.MAX_DUPLICATE_FRACTION:.1%})")))
         .otherwise(F.format_string("%d duplicate rows found (%.1f%%)", "duplicates", share))
         .alias("message"))
-    shape = duplicates.select(
+    shape = profile.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows")).select(
         F.lit("shape").alias("check"), F.lit(None).cast("string").alias("subject"),
         F.format_string(f"Dataset has %d rows and {columns} columns", "rows").alias("message"))
     out = nulls.unionByName(dup).unionByName(shape)

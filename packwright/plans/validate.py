@@ -5,12 +5,17 @@ from __future__ import annotations
 import json
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from packwright.operators import catalog, consistency, duplicates, profile, schema_match
-from packwright.operators.constraints import Constraint, constraint_profile, key_profile
+from packwright.operators.constraints import (
+    Constraint,
+    constraint_checks,
+    constraint_counts,
+    key_profile,
+)
 from packwright.session import local_table
 
 FINDING_COLUMNS = ["dataset", "scope", "subject", "check", "severity", "message"]
@@ -21,7 +26,8 @@ class Dataset:
     """A table with what is declared about it.
 
     ``raw_columns`` are text columns whose values are typed one by one;
-    ``row_id`` is a unique key used to name rows.
+    ``row_id`` is a unique key used to name rows; ``rules`` are those of the
+    user, as ``(name, severity, violated)``.
     """
 
     name: str
@@ -31,6 +37,7 @@ class Dataset:
     raw_columns: tuple[str, ...] = ()
     constraints: tuple[Constraint, ...] = ()
     primary_key: tuple[str, ...] = ()
+    rules: tuple[tuple[str, str, Column], ...] = ()
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -62,9 +69,9 @@ def fields_table(dataset: Dataset) -> DataFrame:
 def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
     """Findings on the data of one dataset.
 
-    The table is read once for missing values and constraints each, once for
-    repeated rows and once for the types of raw columns, whose tally serves all
-    checks on them.
+    The table is read once for missing values, constraints and user rules
+    together, once for repeated rows and once for the types of raw columns,
+    whose tally serves all checks on them.
     """
     df = dataset.df
     raw = [c for c in dataset.raw_columns if c in df.columns]
@@ -100,16 +107,18 @@ def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
                     F.lit("error").alias("severity"),
                     F.format_string("Column '%s' declared as '%s' but contains %s. Expected: %s",
                                     "column", "type", "actual_types", accepted).alias("message")))
-    if dataset.constraints:
-        row_rules = [c for c in dataset.constraints
-                     if c.required or c.minimum is not None or c.maximum is not None
-                     or c.pattern or c.enum]
-        if row_rules:
-            parts.append(constraint_profile(df, row_rules).where("violations > 0").select(
-                F.lit(dataset.name).alias("dataset"), F.lit("constraints").alias("scope"),
-                "subject", F.concat(F.lit("constraint_"), "check").alias("check"), "severity",
-                F.format_string("Column '%s' breaks its %s constraint in %d rows", "subject",
-                                "check", "violations").alias("message")))
+    checks = constraint_checks(df, dataset.constraints, dataset.rules)
+    counts = profile.count_checks(df, profile.null_checks(df) + checks)
+    if checks:
+        broken = constraint_counts(counts).where("violations > 0")
+        is_rule = F.col("check") == "custom_rule"
+        parts.append(broken.select(
+            F.lit(dataset.name).alias("dataset"), F.lit("constraints").alias("scope"), "subject",
+            F.when(is_rule, F.col("check")).otherwise(F.concat(F.lit("constraint_"), "check"))
+            .alias("check"), "severity",
+            F.when(is_rule, F.format_string("Rule '%s' is broken in %d rows", "subject", "violations"))
+            .otherwise(F.format_string("Column '%s' breaks its %s constraint in %d rows", "subject",
+                                       "check", "violations")).alias("message")))
     keys = [[c.column] for c in dataset.constraints if c.unique]
     keys += [list(dataset.primary_key)] if dataset.primary_key else []
     for key in keys:
@@ -120,7 +129,7 @@ def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
             F.format_string("Key is held by more than one row for %d keys", "repeated_keys")
             .alias("message")))
     parts.append(profile.quality_info(
-        dataset.name, len(df.columns), profile.null_profile(df), duplicates.duplicate_profile(df),
+        dataset.name, len(df.columns), profile.null_counts(counts), duplicates.duplicate_profile(df),
         mixed, parity).withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS))
     return union_all(parts)
 

@@ -3,6 +3,7 @@
 from packwright.sources.package import (
     DESCRIPTOR_KEY,
     annotate,
+    make_dir,
     pack_catalog,
     pack_read,
     pack_write,
@@ -11,6 +12,6 @@ from packwright.sources.package import (
 from packwright.sources.readers import file_size_audit, load, read_csv, read_parquet
 
 __all__ = [
-    "DESCRIPTOR_KEY", "annotate", "file_size_audit", "load", "pack_catalog", "pack_read", "pack_write",
+    "DESCRIPTOR_KEY", "annotate", "file_size_audit", "load", "make_dir", "pack_catalog", "pack_read", "pack_write",
     "read_csv", "read_descriptor", "read_parquet",
 ]

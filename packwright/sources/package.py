@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 import posixpath
+import re
 import sys
 import uuid
 from collections.abc import Iterator
@@ -41,10 +42,16 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     if "://" in path or path.startswith("file:"):
         if path.startswith("file:"):
             return pafs.LocalFileSystem(), "/" + path[len("file:"):].lstrip("/")
-        return pafs.FileSystem.from_uri(path)
+        return pafs.FileSystem.from_uri(re.sub("^s3[an]://", "s3://", path))
     return pafs.LocalFileSystem(), path
 
 
+def make_dir(path: str) -> None:
+    """Create a folder, with those above it."""
+    fs, target = _filesystem(path)
+    fs.create_dir(target, recursive=True)
+
+
 @dataclass
 class _Written(WriterCommitMessage):
     files: list[str]

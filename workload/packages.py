@@ -1,7 +1,5 @@
 """Queries over sources, packages, whole validations and streams."""
 
-import os
-
 from pyspark.sql import functions as F
 
 from packwright.operators.constraints import Constraint
@@ -10,6 +8,7 @@ from packwright.session import shared_dir
 from packwright.sources import (
     file_size_audit,
     load,
+    make_dir,
     pack_catalog,
     pack_read,
     pack_write,
@@ -70,7 +69,7 @@ def preview(spark, sf_dir):
 @query("pack_write", "SELECT * FROM supplier")
 def write_package(spark, sf_dir):
     path = shared_dir(spark)
-    _make_dir(path)
+    make_dir(path)
     pack_write(table(spark, sf_dir, "supplier"), DETAILS, path + "/supplier")
     return spark.read.parquet(path + "/supplier")
 
@@ -78,7 +77,7 @@ def write_package(spark, sf_dir):
 @query("pack_read", "SELECT o_orderkey, o_orderstatus, o_orderdate, 'shop-tables' AS package FROM orders")
 def read_package(spark, sf_dir):
     path = shared_dir(spark)
-    _make_dir(path)
+    make_dir(path)
     orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
     pack_write(orders, DETAILS, path + "/orders")
     df, descriptor = pack_read(spark, path + "/orders")
@@ -93,7 +92,7 @@ _PACKED = {"supplier": 4, "customer": 5, "part": 6}
     for t, n in _PACKED.items()) + " UNION ALL SELECT NULL, count(*), 3 FROM labels")
 def catalog_of_packages(spark, sf_dir):
     path = shared_dir(spark)
-    _make_dir(path)
+    make_dir(path)
     for name in _PACKED:
         pack_write(table(spark, sf_dir, name), {**DETAILS, "name": f"{name}-pack"}, f"{path}/{name}")
     table(spark, sf_dir, "labels").write.parquet(path + "/plain")
@@ -113,7 +112,7 @@ def audit(spark, sf_dir):
   'strict' AS level, 'integer,string,integer,number,string' AS types FROM customer""")
 def export(spark, sf_dir):
     path = shared_dir(spark)
-    _make_dir(path)
+    make_dir(path)
     out, level, _ = export_package(
         table(spark, sf_dir, "customer"),
         {"c_mktsegment": "https://vocab.example.org/segment",
@@ -124,16 +123,6 @@ def export(spark, sf_dir):
     return df.withColumn("level", F.lit(level)).withColumn("types", F.lit(types))
 
 
-def _make_dir(path: str) -> None:
-    import pyarrow.fs as pafs
-
-    if "://" in path:
-        fs, target = pafs.FileSystem.from_uri(path)
-        fs.create_dir(target, recursive=True)
-    else:
-        os.makedirs(path.removeprefix("file:"), exist_ok=True)
-
-
 # ------------------------------------------------------------------ validation
 def _field(name, kind, unit=None):
     out = {"name": name, "type": kind, "description": f"About {name}"}
