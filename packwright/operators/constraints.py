@@ -74,13 +74,13 @@ def constraint_profile(df: DataFrame, constraints: list[Constraint],
 
     A user rule is ``(name, severity, violated)``.
     """
-    return constraint_counts(count_checks(df, constraint_checks(df, constraints, rules)))
+    return constraint_counts(count_checks(df, constraint_checks(df, constraints, rules))).drop("rows")
 
 
 def constraint_counts(counts: DataFrame) -> DataFrame:
     """The constraint profile held in the result of ``count_checks``."""
     return counts.where("kind = 'constraint'").select(
-        "subject", "check", "severity", F.col("n").alias("violations"))
+        "subject", "check", "severity", F.col("n").alias("violations"), "rows")
 
 
 def constraint_violations(df: DataFrame, row_id: str, constraints: list[Constraint]) -> DataFrame:

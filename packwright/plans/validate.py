@@ -66,6 +66,46 @@ def fields_table(dataset: Dataset) -> DataFrame:
                        "dataset string, name string, type string, unit_name string")
 
 
+def raw_findings(tally: DataFrame, declared: DataFrame) -> DataFrame:
+    """Findings on raw columns, all from one use of their type tally.
+
+    Mixed types and values that never fit the declared type are errors, the
+    number of all inconsistent values is information. The tally has a few rows
+    per raw column, so its lists and the window over all columns stay short.
+    """
+    accepted = schema_match.expected_value_types(F.col("type"))
+    fits = F.coalesce(F.array_contains(accepted, F.col("value_type")), F.lit(True))
+    columns = (
+        tally.join(F.broadcast(declared), "column", "left")
+        .groupBy("column", "type")
+        .agg(F.count(F.lit(1)).alias("n_types"), (F.sum("n") - F.max("n")).alias("inconsistent"),
+             F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("matched"),
+             F.array_sort(F.collect_list(F.struct("first_row", "value_type"))).alias("seen"))
+        .withColumn("types", F.transform("seen", lambda s: s["value_type"]))
+        .withColumn("total", F.sum("inconsistent").over(W.partitionBy()))
+        .withColumn("nth", F.row_number().over(W.orderBy("column")))
+    )
+
+    def line(condition, scope, subject, check, severity, message):
+        return F.when(condition, F.struct(
+            F.lit(scope).alias("scope"), subject.alias("subject"), F.lit(check).alias("check"),
+            F.lit(severity).alias("severity"), message.alias("message")))
+
+    column, none = F.col("column"), F.lit(None).cast("string")
+    lines = F.array(
+        line(F.col("n_types") > 1, "type_consistency", column, "mixed_types", "error",
+             F.format_string("Column '%s' has mixed types: %s (%d inconsistent values tracked)",
+                             column, F.array_join("types", ", "), "inconsistent")),
+        line(F.col("matched") == 0, "schema_matching", column, "value_type_match", "error",
+             F.format_string("Column '%s' declared as '%s' but contains %s. Expected: %s", column,
+                             "type", F.array_join(F.array_sort("types"), ", "),
+                             F.array_join(accepted, ", "))),
+        line((F.col("nth") == 1) & (F.col("total") > 0), "data_quality", none, "inconsistencies",
+             "info", F.format_string("Found %d type inconsistencies", "total")),
+    )
+    return columns.select(F.inline(F.array_compact(lines)))
+
+
 def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
     """Findings on the data of one dataset.
 
@@ -76,17 +116,14 @@ def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
     df = dataset.df
     raw = [c for c in dataset.raw_columns if c in df.columns]
     parts = []
-    tally = mixed = None
+    fields = fields_table(dataset)
     if raw:
         tally = consistency.type_tally(consistency.typed_cells(df, dataset.row_id, raw))
-        mixed = consistency.mixed_type_columns(tally)
-        parts.append(mixed.select(
-            F.lit(dataset.name).alias("dataset"), F.lit("type_consistency").alias("scope"),
-            F.col("column").alias("subject"), F.lit("mixed_types").alias("check"),
-            F.lit("error").alias("severity"), "message"))
+        declared = fields.select(F.col("name").alias("column"), "type")
+        parts.append(raw_findings(tally, declared).withColumn("dataset", F.lit(dataset.name))
+                     .select(*FINDING_COLUMNS))
     if declared_fields(dataset):
         columns = schema_match.infer_fields(df, dataset.name, tuple(raw))
-        fields = fields_table(dataset)
         parts += [
             found.withColumn("scope", F.lit("schema_matching")).select(*FINDING_COLUMNS)
             for found in (
@@ -96,17 +133,6 @@ def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
                 schema_match.numeric_needs_unit(columns, fields),
             )
         ]
-        if raw:
-            declared = fields.where(F.col("name").isin(raw)).select(
-                F.col("name").alias("column"), "type")
-            accepted = F.array_join(schema_match.expected_value_types(F.col("type")), ", ")
-            parts.append(
-                schema_match.value_type_match(tally, declared).where(~F.col("ok")).select(
-                    F.lit(dataset.name).alias("dataset"), F.lit("schema_matching").alias("scope"),
-                    F.col("column").alias("subject"), F.lit("value_type_match").alias("check"),
-                    F.lit("error").alias("severity"),
-                    F.format_string("Column '%s' declared as '%s' but contains %s. Expected: %s",
-                                    "column", "type", "actual_types", accepted).alias("message")))
     checks = constraint_checks(df, dataset.constraints, dataset.rules)
     counts = profile.count_checks(df, profile.null_checks(df) + checks)
     if checks:
@@ -116,9 +142,10 @@ def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
             F.lit(dataset.name).alias("dataset"), F.lit("constraints").alias("scope"), "subject",
             F.when(is_rule, F.col("check")).otherwise(F.concat(F.lit("constraint_"), "check"))
             .alias("check"), "severity",
-            F.when(is_rule, F.format_string("Rule '%s' is broken in %d rows", "subject", "violations"))
-            .otherwise(F.format_string("Column '%s' breaks its %s constraint in %d rows", "subject",
-                                       "check", "violations")).alias("message")))
+            F.when(is_rule, F.format_string("Rule '%s' is broken in %d of %d rows", "subject",
+                                            "violations", "rows"))
+            .otherwise(F.format_string("Column '%s' breaks its %s constraint in %d of %d rows",
+                                       "subject", "check", "violations", "rows")).alias("message")))
     keys = [[c.column] for c in dataset.constraints if c.unique]
     keys += [list(dataset.primary_key)] if dataset.primary_key else []
     for key in keys:
@@ -130,7 +157,7 @@ def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
             .alias("message")))
     parts.append(profile.quality_info(
         dataset.name, len(df.columns), profile.null_counts(counts), duplicates.duplicate_profile(df),
-        mixed, parity).withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS))
+        parity=parity).withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS))
     return union_all(parts)
 
 
