@@ -77,10 +77,10 @@ def constraint_profile(df: DataFrame, constraints: list[Constraint],
     return constraint_counts(count_checks(df, constraint_checks(df, constraints, rules))).drop("rows")
 
 
-def constraint_counts(counts: DataFrame) -> DataFrame:
-    """The constraint profile held in the result of ``count_checks``."""
+def constraint_counts(counts: DataFrame, *keep: str) -> DataFrame:
+    """The constraint profile held in the result of ``count_checks``, with columns to keep."""
     return counts.where("kind = 'constraint'").select(
-        "subject", "check", "severity", F.col("n").alias("violations"), "rows")
+        *keep, "subject", "check", "severity", F.col("n").alias("violations"), "rows")
 
 
 def constraint_violations(df: DataFrame, row_id: str, constraints: list[Constraint]) -> DataFrame:

@@ -65,10 +65,10 @@ def null_profile(df: DataFrame) -> DataFrame:
     return null_counts(count_checks(df, null_checks(df)))
 
 
-def null_counts(counts: DataFrame) -> DataFrame:
-    """The null profile held in the result of ``count_checks``."""
+def null_counts(counts: DataFrame, *keep: str) -> DataFrame:
+    """The null profile held in the result of ``count_checks``, with columns to keep."""
     return counts.where("kind = 'nulls'").select(
-        "pos", F.col("subject").alias("column"), "rows", F.col("n").alias("nulls"),
+        *keep, "pos", F.col("subject").alias("column"), "rows", F.col("n").alias("nulls"),
         null_fraction(F.col("n"), F.col("rows")))
 
 
@@ -145,30 +145,33 @@ def preview(df: DataFrame, key: str | list[str], n: int = 10) -> DataFrame:
     return df.orderBy(key).limit(n)
 
 
-def quality_info(dataset: str, columns: int, profile: DataFrame, duplicates: DataFrame,
-                 mixed: DataFrame | None = None, parity: bool = False) -> DataFrame:
-    """Information lines of a dataset: missing values, duplicates, shape, type inconsistencies.
+def quality_info(profile: DataFrame, duplicates: DataFrame, mixed: DataFrame | None = None,
+                 parity: bool = False) -> DataFrame:
+    """Information lines of datasets: missing values, duplicates, shape, type inconsistencies.
 
-    ``mixed`` is the result of ``mixed_type_columns``.
+    The null profile, the duplicate profile and the result of
+    ``mixed_type_columns`` carry a ``dataset`` column, so one call serves many
+    tables. The profile has one row per column, which gives the shape.
     """
+    none = F.lit(None).cast("string").alias("subject")
     nulls = null_severity(profile, parity).select(
-        F.lit("nulls").alias("check"), F.col("column").alias("subject"), "message")
+        "dataset", F.lit("nulls").alias("check"), F.col("column").alias("subject"), "message")
     share = F.col("duplicate_fraction") * 100
-    dup = duplicates.where("duplicates > 0").select(
-        F.lit("duplicates").alias("check"), F.lit(None).cast("string").alias("subject"),
+    repeated = duplicates.where("duplicates > 0").select(
+        "dataset", F.lit("duplicates").alias("check"), none,
         F.when(F.col("exceeds"), F.concat(
             F.format_string("%d duplicate rows (%.1f%%)", "duplicates", share),
             F.lit(f" exceeds recommended threshold ({S.MAX_DUPLICATE_FRACTION:.1%})")))
         .otherwise(F.format_string("%d duplicate rows found (%.1f%%)", "duplicates", share))
         .alias("message"))
-    shape = profile.agg(F.coalesce(F.max("rows"), F.lit(0)).alias("rows")).select(
-        F.lit("shape").alias("check"), F.lit(None).cast("string").alias("subject"),
-        F.format_string(f"Dataset has %d rows and {columns} columns", "rows").alias("message"))
-    out = nulls.unionByName(dup).unionByName(shape)
+    shape = profile.groupBy("dataset").agg(
+        F.max("rows").alias("rows"), F.count(F.lit(1)).alias("columns")).select(
+        "dataset", F.lit("shape").alias("check"), none,
+        F.format_string("Dataset has %d rows and %d columns", "rows", "columns").alias("message"))
+    out = nulls.unionByName(repeated).unionByName(shape)
     if mixed is not None:
-        found = mixed.agg(F.sum("inconsistent").alias("n")).where("n > 0").select(
-            F.lit("inconsistencies").alias("check"), F.lit(None).cast("string").alias("subject"),
-            F.format_string("Found %d type inconsistencies", "n").alias("message"))
-        out = out.unionByName(found)
-    return out.select(F.lit(dataset).alias("dataset"), "check", "subject",
-                      F.lit("info").alias("severity"), "message")
+        out = out.unionByName(
+            mixed.groupBy("dataset").agg(F.sum("inconsistent").alias("n")).where("n > 0").select(
+                "dataset", F.lit("inconsistencies").alias("check"), none,
+                F.format_string("Found %d type inconsistencies", "n").alias("message")))
+    return out.select("dataset", "check", "subject", F.lit("info").alias("severity"), "message")

@@ -55,35 +55,50 @@ def declared_fields(dataset: Dataset) -> list[dict]:
     return schema.get("fields") or []
 
 
-def fields_table(dataset: Dataset) -> DataFrame:
+def fields_table(datasets: list[Dataset]) -> DataFrame:
     """Declared fields as ``dataset, name, type, unit_name``."""
     def unit_name(unit) -> str | None:
         return unit.get("name") if isinstance(unit, dict) else unit
 
-    rows = [(dataset.name, f.get("name"), f.get("type"), unit_name(f.get("unit")))
-            for f in declared_fields(dataset)]
-    return local_table(dataset.df.sparkSession, rows,
+    rows = [(d.name, f.get("name"), f.get("type"), unit_name(f.get("unit")))
+            for d in datasets for f in declared_fields(d)]
+    return local_table(datasets[0].df.sparkSession, rows,
                        "dataset string, name string, type string, unit_name string")
 
 
+def _named(parts: list[tuple[str, DataFrame]]) -> DataFrame:
+    return union_all([df.withColumn("dataset", F.lit(name)) for name, df in parts])
+
+
+def _finding_rows(df: DataFrame, scope: str, subject: Column, check: Column | str,
+                  severity: Column | str, message: Column) -> DataFrame:
+    def column(value: Column | str) -> Column:
+        return F.lit(value) if isinstance(value, str) else value
+
+    return df.select("dataset", F.lit(scope).alias("scope"), subject.alias("subject"),
+                     column(check).alias("check"), column(severity).alias("severity"),
+                     message.alias("message"))
+
+
 def raw_findings(tally: DataFrame, declared: DataFrame) -> DataFrame:
     """Findings on raw columns, all from one use of their type tally.
 
     Mixed types and values that never fit the declared type are errors, the
-    number of all inconsistent values is information. The tally has a few rows
-    per raw column, so its lists and the window over all columns stay short.
+    number of all inconsistent values of a dataset is information. The tally has
+    a few rows per raw column, so lists and windows stay short.
     """
     accepted = schema_match.expected_value_types(F.col("type"))
     fits = F.coalesce(F.array_contains(accepted, F.col("value_type")), F.lit(True))
+    own = W.partitionBy("dataset")
     columns = (
-        tally.join(F.broadcast(declared), "column", "left")
-        .groupBy("column", "type")
+        tally.join(F.broadcast(declared), ["dataset", "column"], "left")
+        .groupBy("dataset", "column", "type")
         .agg(F.count(F.lit(1)).alias("n_types"), (F.sum("n") - F.max("n")).alias("inconsistent"),
              F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("matched"),
              F.array_sort(F.collect_list(F.struct("first_row", "value_type"))).alias("seen"))
         .withColumn("types", F.transform("seen", lambda s: s["value_type"]))
-        .withColumn("total", F.sum("inconsistent").over(W.partitionBy()))
-        .withColumn("nth", F.row_number().over(W.orderBy("column")))
+        .withColumn("total", F.sum("inconsistent").over(own))
+        .withColumn("nth", F.row_number().over(own.orderBy("column")))
     )
 
     def line(condition, scope, subject, check, severity, message):
@@ -103,61 +118,74 @@ def raw_findings(tally: DataFrame, declared: DataFrame) -> DataFrame:
         line((F.col("nth") == 1) & (F.col("total") > 0), "data_quality", none, "inconsistencies",
              "info", F.format_string("Found %d type inconsistencies", "total")),
     )
-    return columns.select(F.inline(F.array_compact(lines)))
-
-
-def data_findings(dataset: Dataset, parity: bool = False) -> DataFrame:
-    """Findings on the data of one dataset.
-
-    The table is read once for missing values, constraints and user rules
-    together, once for repeated rows and once for the types of raw columns,
-    whose tally serves all checks on them.
+    return columns.select("dataset", F.inline(F.array_compact(lines)))
+
+
+def schema_findings(datasets: list[Dataset]) -> DataFrame | None:
+    """Findings from the schemas of tables with declared fields; no data is read."""
+    declared = [d for d in datasets if declared_fields(d)]
+    if not declared:
+        return None
+    columns = union_all([schema_match.infer_fields(d.df, d.name, d.raw_columns) for d in declared])
+    fields = fields_table(declared)
+    found = union_all([
+        schema_match.extra_columns(columns, fields), schema_match.missing_columns(columns, fields),
+        schema_match.declared_type_match(columns, fields),
+        schema_match.numeric_needs_unit(columns, fields),
+    ])
+    return found.withColumn("scope", F.lit("schema_matching")).select(*FINDING_COLUMNS)
+
+
+def _constraint_findings(counts: DataFrame) -> DataFrame:
+    is_rule = F.col("check") == "custom_rule"
+    return _finding_rows(
+        constraint_counts(counts, "dataset").where("violations > 0"), "constraints",
+        F.col("subject"),
+        F.when(is_rule, F.col("check")).otherwise(F.concat(F.lit("constraint_"), "check")),
+        F.col("severity"),
+        F.when(is_rule, F.format_string("Rule '%s' is broken in %d of %d rows", "subject",
+                                        "violations", "rows"))
+        .otherwise(F.format_string("Column '%s' breaks its %s constraint in %d of %d rows",
+                                   "subject", "check", "violations", "rows")))
+
+
+def data_findings(datasets: list[Dataset], parity: bool = False) -> DataFrame:
+    """Findings on the data of datasets.
+
+    Every table is read once for missing values, constraints and user rules
+    together, once for repeated rows, once per unique key and once for the types
+    of raw columns. The counts of all datasets are put together before findings
+    are worded, so the plan grows little with their number.
     """
-    df = dataset.df
-    raw = [c for c in dataset.raw_columns if c in df.columns]
-    parts = []
-    fields = fields_table(dataset)
-    if raw:
-        tally = consistency.type_tally(consistency.typed_cells(df, dataset.row_id, raw))
-        declared = fields.select(F.col("name").alias("column"), "type")
-        parts.append(raw_findings(tally, declared).withColumn("dataset", F.lit(dataset.name))
-                     .select(*FINDING_COLUMNS))
-    if declared_fields(dataset):
-        columns = schema_match.infer_fields(df, dataset.name, tuple(raw))
-        parts += [
-            found.withColumn("scope", F.lit("schema_matching")).select(*FINDING_COLUMNS)
-            for found in (
-                schema_match.extra_columns(columns, fields),
-                schema_match.missing_columns(columns, fields),
-                schema_match.declared_type_match(columns, fields),
-                schema_match.numeric_needs_unit(columns, fields),
-            )
-        ]
-    checks = constraint_checks(df, dataset.constraints, dataset.rules)
-    counts = profile.count_checks(df, profile.null_checks(df) + checks)
-    if checks:
-        broken = constraint_counts(counts).where("violations > 0")
-        is_rule = F.col("check") == "custom_rule"
-        parts.append(broken.select(
-            F.lit(dataset.name).alias("dataset"), F.lit("constraints").alias("scope"), "subject",
-            F.when(is_rule, F.col("check")).otherwise(F.concat(F.lit("constraint_"), "check"))
-            .alias("check"), "severity",
-            F.when(is_rule, F.format_string("Rule '%s' is broken in %d of %d rows", "subject",
-                                            "violations", "rows"))
-            .otherwise(F.format_string("Column '%s' breaks its %s constraint in %d of %d rows",
-                                       "subject", "check", "violations", "rows")).alias("message")))
-    keys = [[c.column] for c in dataset.constraints if c.unique]
-    keys += [list(dataset.primary_key)] if dataset.primary_key else []
-    for key in keys:
-        parts.append(key_profile(df, key).where("repeated_keys > 0").select(
-            F.lit(dataset.name).alias("dataset"), F.lit("constraints").alias("scope"),
-            F.lit(", ".join(key)).alias("subject"), F.lit("constraint_unique").alias("check"),
-            F.lit("error").alias("severity"),
-            F.format_string("Key is held by more than one row for %d keys", "repeated_keys")
-            .alias("message")))
-    parts.append(profile.quality_info(
-        dataset.name, len(df.columns), profile.null_counts(counts), duplicates.duplicate_profile(df),
-        parity=parity).withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS))
+    counts, duplicate, tallies, keys = [], [], [], []
+    for d in datasets:
+        checks = profile.null_checks(d.df) + constraint_checks(d.df, d.constraints, d.rules)
+        counts.append((d.name, profile.count_checks(d.df, checks)))
+        duplicate.append((d.name, duplicates.duplicate_profile(d.df)))
+        if d.raw_columns:
+            tallies.append((d.name, consistency.type_tally(
+                consistency.typed_cells(d.df, d.row_id, list(d.raw_columns)))))
+        unique = [[c.column] for c in d.constraints if c.unique]
+        unique += [list(d.primary_key)] if d.primary_key else []
+        keys += [(d.name, key_profile(d.df, key).withColumn("key", F.lit(", ".join(key))))
+                 for key in unique]
+    all_counts = _named(counts)
+    parts = [profile.quality_info(
+        profile.null_counts(all_counts, "dataset"), _named(duplicate), parity=parity)
+        .withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS)]
+    if any(d.constraints or d.rules for d in datasets):
+        parts.append(_constraint_findings(all_counts))
+    if keys:
+        parts.append(_finding_rows(
+            _named(keys).where("repeated_keys > 0"), "constraints", F.col("key"),
+            "constraint_unique", "error",
+            F.format_string("Key is held by more than one row for %d keys", "repeated_keys")))
+    if tallies:
+        declared = fields_table(datasets).select("dataset", F.col("name").alias("column"), "type")
+        parts.append(raw_findings(_named(tallies), declared).select(*FINDING_COLUMNS))
+    from_schema = schema_findings(datasets)
+    if from_schema is not None:
+        parts.append(from_schema)
     return union_all(parts)
 
 
@@ -179,8 +207,7 @@ def validate_all(datasets: list[Dataset], parity: bool = False) -> tuple[DataFra
     meta = catalog.explode_findings(
         described, "dataset",
         catalog.descriptor_findings(F.col("descriptor"), F.col("key_types")))
-    findings = union_all([meta.select(*FINDING_COLUMNS)]
-                         + [data_findings(d, parity) for d in datasets])
+    findings = meta.select(*FINDING_COLUMNS).unionByName(data_findings(datasets, parity))
     return findings, catalog.compliance_level(findings, described)
 
 

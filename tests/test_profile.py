@@ -144,7 +144,8 @@ def test_salted_join_keeps_every_row(spark):
 
 def test_quality_info(spark):
     df = spark.createDataFrame([(1, None), (1, None), (2, "a")], "n int, s string")
-    got = profile.quality_info("t", 2, profile.null_profile(df), duplicates.duplicate_profile(df))
+    got = profile.quality_info(profile.null_profile(df).withColumn("dataset", F.lit("t")),
+                               duplicates.duplicate_profile(df).withColumn("dataset", F.lit("t")))
     assert {r.message for r in got.collect()} == {
         "Column 's' has 66.7% missing values (exceeds recommended max: 20.0%)",
         "1 duplicate rows (33.3%) exceeds recommended threshold (5.0%)",

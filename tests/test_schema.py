@@ -19,7 +19,7 @@ DDL = "id long, name string, mass double, temperature double, is_active boolean,
 
 def found(df, fields, **kw):
     dataset = Dataset("t", df, {"resources": [{"schema": {"fields": fields}}]}, **kw)
-    return [(r.severity, r.check, r.subject, r.message) for r in data_findings(dataset).collect()
+    return [(r.severity, r.check, r.subject, r.message) for r in data_findings([dataset]).collect()
             if r.severity != "info"]
 
 

@@ -138,5 +138,6 @@ UNION ALL SELECT 'documents', 'duplicates', NULL, 'info', d || ' duplicate rows
     SELECT count(*) AS n FROM labelled GROUP BY doc_id, lang, source, n_chars, quality, toxic)) WHERE d > 0""")
 def quality_info(spark, sf_dir):
     df = labelled(spark, sf_dir)
-    return profile.quality_info("documents", len(df.columns), profile.null_profile(df),
-                                duplicates.duplicate_profile(df))
+    name = F.lit("documents")
+    return profile.quality_info(profile.null_profile(df).withColumn("dataset", name),
+                                duplicates.duplicate_profile(df).withColumn("dataset", name))
