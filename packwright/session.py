@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
@@ -24,8 +25,10 @@ def build_session(app: str = "packwright", master: str | None = None,
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
     )
     if master:
+        # In local mode the driver does the work of all executors.
         builder = (builder.master(master).config("spark.ui.enabled", "false")
-                   .config("spark.ui.showConsoleProgress", "false"))
+                   .config("spark.ui.showConsoleProgress", "false")
+                   .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "8g")))
     if shuffle_partitions:
         builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
