@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from packwright.llm import shards, simhash
+from packwright.llm import embed, lines, shards, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -37,3 +38,18 @@ def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents with SimHash fingerprint and near-duplicate component."""
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).drop("kept")
+
+
+@query("op3_lines", lines.DIGEST_SQL)
+def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the lines that five sources or more share."""
+    out = lines.drop_spread_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", F.col("line_dedup.n_lines").cast("long").alias("n_lines"),
+                      F.col("line_dedup.n_removed").cast("long").alias("n_removed"),
+                      F.sha2("text", 256).alias("kept_sha256"))
+
+
+@query("op5_embeddings")
+def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors with their links at cosine 0.98 or more within their label."""
+    return embed.near_vectors(table(spark, sf_dir, "embeddings"))

@@ -16,6 +16,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
 from packwright.llm.common import materialize
 from packwright.llm.components import connected
@@ -49,7 +50,7 @@ def fingerprint(text: str | None, words: int = SHINGLE_WORDS, seed: int = HASH_S
     return int.from_bytes(np.packbits(2 * counts > n).tobytes(), "big")
 
 
-@F.pandas_udf("long")
+@F.pandas_udf(LongType())
 def _fingerprints(texts: pd.Series) -> pd.Series:
     return pd.Series(np.array([fingerprint(t) for t in texts], np.uint64).view(np.int64), dtype="int64")
 
