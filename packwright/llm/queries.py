@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import embed, lines, shards, simhash
+from packwright.llm import embed, langid, lines, shards, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -53,3 +53,24 @@ def op3_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All vectors with their links at cosine 0.98 or more within their label."""
     return embed.near_vectors(table(spark, sf_dir, "embeddings"))
+
+
+@query("op1_language")
+def op1_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from three quarters of them."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 4, 2)
+    model = langid.fit(docs.where(~out).select("text", "lang"))
+    return langid.identify(docs, model, "doc_id").select(
+        "doc_id", out.alias("held_out"), "lang_pred", "score", "proportions")
+
+
+@query("op4_toxicity")
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The toxicity of every document, learned from two thirds of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    out = langid.held_out(F.col("doc_id"), 3, 1)
+    labels = table(spark, sf_dir, "labels").where(~out).select("doc_id", "toxic")
+    model = toxicity.fit(docs.select("doc_id", "text").join(labels, "doc_id"))
+    return toxicity.score(docs, model, "doc_id").select(
+        "doc_id", out.alias("held_out"), "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
