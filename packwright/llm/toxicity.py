@@ -25,11 +25,18 @@ TRAIN_ROWS = 20_000
 TERMS = 4096
 #: Texts of the sample in which a term must occur.
 MIN_TEXTS = 5
+#: Chi-squared of a term against the class that it must reach.
+MIN_CHI2 = 20.0
+#: Beginnings of words of so many letters are terms as well, which finds a stem in all its inflections.
+STEMS = (3, 4, 5, 6)
 FACTORS = 8
 EPOCHS = 30
 BATCH = 256
 RATE = 0.05
-DECAY = 2e-3
+#: Weight of a toxic text, as there are far fewer of them.
+RARE = 3.0
+#: Pull towards zero of weights and of factors.
+DECAY = (2e-4, 1e-3)
 
 
 @dataclass
@@ -42,13 +49,33 @@ class FactorizationMachine:
     factors: np.ndarray
 
 
-def _buckets(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct buckets of each text's words, flat, and where each text's begin."""
+def _buckets(texts: list[str], known: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct buckets of each text's words and stems, flat, and where each text's begin.
+
+    With ``known`` (sorted), places in it are given instead, of known buckets only.
+    """
     codes, starts = code_points(texts)
     begins, ends = runs(letters(codes), starts)
-    terms = (run_hashes(codes, begins, ends) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
     text = np.searchsorted(starts, begins, side="right") - 1
-    pair = np.unique((text << BUCKET_BITS) | terms)
+    pairs = []
+    if known is not None:
+        there = np.zeros(1 << 20, bool)
+        there[known >> (BUCKET_BITS - 20)] = True
+    for n in (None, *STEMS):
+        some = slice(None) if n is None else np.flatnonzero(ends - begins > n)
+        b = begins[some]
+        terms = (run_hashes(codes, b, ends[some] if n is None else b + n) >> np.uint64(64 - BUCKET_BITS)).astype(np.int64)
+        own = text[some]
+        if known is not None and len(known):
+            hit = np.flatnonzero(there[terms >> (BUCKET_BITS - 20)])
+            terms, own = terms[hit], own[hit]
+            place = np.minimum(np.searchsorted(known, terms), len(known) - 1)
+            same = known[place] == terms
+            terms, own = place[same], own[same]
+        elif known is not None:
+            terms = own = np.zeros(0, np.int64)
+        pairs.append((own << BUCKET_BITS) | terms)
+    pair = np.unique(np.concatenate(pairs))
     return pair & ((1 << BUCKET_BITS) - 1), np.searchsorted(pair >> BUCKET_BITS, np.arange(len(texts) + 1))
 
 
@@ -92,12 +119,12 @@ def _train(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Factoriz
             own = [rows[i] for i in pick]
             starts, cols = starts_of(np.array([len(r) for r in own])), np.concatenate(own)
             z, sums, of = _margin(m, cols, starts)
-            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) / len(pick)
+            err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * np.where(y[pick] > 0, RARE, 1.0) / len(pick)
             grads[0] = np.array([err.sum()])
-            grads[1] = np.bincount(cols, err[of], len(terms)) + DECAY / 10 * m.weights
+            grads[1] = np.bincount(cols, err[of], len(terms)) + DECAY[0] * m.weights
             g = np.zeros_like(m.factors)
             np.add.at(g, cols, err[of][:, None] * (sums[of] - m.factors[cols]))
-            grads[2] = g + DECAY * m.factors
+            grads[2] = g + DECAY[1] * m.factors
             step += 1
             new = []
             for j, (x, g) in enumerate(zip((np.array([m.bias]), m.weights, m.factors), grads)):
@@ -126,8 +153,9 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", rows: int = TRA
         F.count("*").alias("n"), F.sum("y").alias("toxic")).where(F.col("n") >= MIN_TEXTS)
     # Chi-squared of the term against the class.
     gap = F.col("toxic") * float(n) - F.col("n") * float(toxic)
-    score = gap * gap / (F.col("n") * (float(n) - F.col("n") + 1))
-    kept = np.array(sorted(r["term"] for r in seen.orderBy(score.desc(), "term").limit(terms).collect()), np.int64)
+    against = F.col("n") * (float(n) - F.col("n") + 1) * max(1.0, float(toxic) * (n - toxic)) / max(1.0, float(n))
+    telling = seen.withColumn("chi2", gap * gap / against).where(F.col("chi2") >= MIN_CHI2)
+    kept = np.array(sorted(r["term"] for r in telling.orderBy(F.desc("chi2"), "term").limit(terms).collect()), np.int64)
     found = sample.toArrow()
     lists = found["terms"].combine_chunks()
     flat, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
@@ -140,11 +168,7 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", rows: int = TRA
 
 def score_texts(model: FactorizationMachine, texts: list[str]) -> np.ndarray:
     """Scores from 0 to 1."""
-    flat, starts = _buckets(texts)
-    place = np.searchsorted(model.terms, flat)
-    hit = place < len(model.terms)
-    hit[hit] = model.terms[place[hit]] == flat[hit]
-    z, _, _ = _margin(model, place[hit], np.concatenate([[0], np.cumsum(hit)])[starts])
+    z, _, _ = _margin(model, *_buckets(texts, model.terms))
     return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -152,7 +176,7 @@ def score(df: DataFrame, model: FactorizationMachine, *keep: str, text: str = "t
     """The columns ``keep`` of every row of ``df`` with ``score``, from 0 to 1, higher for toxic texts.
 
     A null text counts as an empty one, whose score is the bias alone. Terms are the words of the whole text in lower
-    case; how often or where one occurs does not matter. Repeated rows get equal scores; an empty table gives no rows.
+    case and their beginnings; how often or where one occurs does not matter. Repeated rows get equal scores; an empty table gives no rows.
     """
     chosen = df.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text).alias("__text"))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in chosen.schema if f.name != "__text")
