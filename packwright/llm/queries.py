@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import decontam, embed, langid, lines, shards, simhash, toxicity
+from packwright.llm import decontam, embed, langid, lines, piece, shards, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -81,3 +82,14 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents that hold an item of the benchmark, with their items."""
     found = decontam.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.col("item").alias("item_id"), "edits", "begin", "end")
+
+
+@query("op2_pieces")
+def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents as SentencePiece ids and back again."""
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    ids = piece.encode(table(spark, sf_dir, "documents"), path, "doc_id")
+    return piece.decode(ids, path, "doc_id", "ids").select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
