@@ -69,21 +69,19 @@ def drop_spread_lines(df: DataFrame, text: str = "text", site: str = "source", m
             .join(spread, ["h0", "h1"], "left_semi").distinct()
             .groupBy("text_hash").agg(F.collect_set("h0").alias("spread")))
     rows = df.select(F.struct("*").alias("row"), F.xxhash64(text).alias("text_hash"))
-    joined = rows.join(materialize(held), "text_hash", "left")
-    body = F.col("row")[text]
-    lines = _lines(body)
+    # One shuffle of the texts at any size: how many texts hold spread lines grows with the corpus.
+    joined = rows.join(materialize(held).hint("merge"), "text_hash", "left")
+    body, held_some = F.col("row")[text], F.col("spread").isNotNull()
     cut = lambda line: F.array_contains("spread", _hash(_trimmed(line), 0)) & (_trimmed(line) != "")
     chars = lambda kept: F.aggregate(kept, F.lit(0).cast("long"),
                                      lambda n, line: n + F.length(_trimmed(line)))
-    tidy = F.filter(lines, lambda line: ~cut(line))
-    left = joined.where("spread is null").select("row", body.alias("body"), F.lit(0).alias("n_removed"))
-    some = joined.where("spread is not null").select("row", body.alias("body"), lines.alias("lines"), tidy.alias("tidy"))
-    some = some.withColumn("loss", chars(F.col("lines")) - chars(F.col("tidy"))).select(
-        "row", "body", "lines", "tidy", (F.col("loss") <= max_loss * chars(F.col("lines"))).alias("cut")).select(
-        "row", F.when(F.col("cut"), F.array_join("tidy", "\n")).otherwise(F.col("body")).alias("body"),
-        F.when(F.col("cut"), F.size("lines") - F.size("tidy")).otherwise(0).alias("n_removed"))
-    out = left.unionByName(some)
-    n_lines = F.when(F.col("row")[text].isNull(), 0).otherwise(F.size(_lines(F.col("row")[text])))
+    out = joined.select("row", "spread", F.when(held_some, _lines(body)).alias("lines"))
+    out = out.select("row", "lines", F.when(held_some, F.filter("lines", lambda line: ~cut(line))).alias("tidy"))
+    out = out.select("row", "lines", "tidy", F.coalesce(
+        chars(F.col("lines")) - chars(F.col("tidy")) <= max_loss * chars(F.col("lines")), F.lit(False)).alias("cut"))
+    out = out.select("row", F.when(F.col("cut"), F.array_join("tidy", "\n")).otherwise(body).alias("body"),
+                     F.when(F.col("cut"), F.size("lines") - F.size("tidy")).otherwise(0).alias("n_removed"))
+    n_lines = F.when(body.isNull(), 0).otherwise(F.size(_lines(body)))
     return out.select(*(F.col("body").alias(text) if c == text else F.col("row")[c].alias(c) for c in df.columns),
                       F.struct(n_lines.alias("n_lines"), "n_removed").alias("line_dedup"))
 
