@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import decontam, embed, langid, lines, piece, shards, simhash, tokens, toxicity
+from packwright.llm import decontam, embed, langid, lines, piece, repeats, shards, simhash, tokens, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -99,3 +99,11 @@ def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as ids in binary files, read back from them."""
     return tokens.write_and_read(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+@query("op8_repeats")
+def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents without the bytes of 100-byte strings that start earlier as well."""
+    out = repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id")
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
+                      F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
