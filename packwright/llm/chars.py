@@ -80,7 +80,7 @@ def mix(h: np.ndarray) -> np.ndarray:
 def run_hashes(codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every run, equal for equal runs wherever they are."""
     def make():
-        return {"n": 0}
+        return {"n": -1}
     kept = worker_cache("powers", make)
     if kept["n"] < codes.size:
         n = max(codes.size, 1 << 20)
