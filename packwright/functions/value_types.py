@@ -13,11 +13,14 @@ _TEXT_LADDER = [
     ("bool", r"^([Tt]rue|TRUE|[Ff]alse|FALSE)\z"),
     ("date", r"^\d{4}-\d{2}-\d{2}\z"),
     ("datetime", r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})?\z"),
+    ("time", r"^\d{2}:\d{2}(:\d{2}(\.\d+)?)?\z"),
 ]
 
+VALUE_TYPES = [name for name, _ in _TEXT_LADDER] + ["str"]
+
 
 def value_type(text: Column) -> Column:
-    """Type name of a raw text cell: int, float, bool, date, datetime or str; null stays null."""
+    """Type name of a raw text cell: int, float, bool, date, datetime, time or str; null stays null."""
     return F.when(text.isNotNull(), filled_value_type(text))
 
 

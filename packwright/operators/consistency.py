@@ -27,7 +27,7 @@ def type_tally(cells: DataFrame) -> DataFrame:
 def expected_type(tally: DataFrame) -> DataFrame:
     """Most frequent type per column; on a tie the type seen first."""
     return tally.groupBy("column").agg(
-        F.max_by("value_type", F.struct("n", -F.col("first_row"))).alias("expected_type"))
+        F.min_by("value_type", F.struct(-F.col("n"), "first_row")).alias("expected_type"))
 
 
 def _types_in_order() -> Column:
@@ -61,8 +61,7 @@ def type_inconsistencies(cells: DataFrame, expected: DataFrame) -> DataFrame:
     return (
         cells.join(F.broadcast(expected), "column")
         .where(F.col("value_type") != F.col("expected_type"))
-        .select(F.col("row").cast("long").alias("row"), "column", "value",
-                F.col("value_type").alias("actual_type"), "expected_type")
+        .select("row", "column", "value", F.col("value_type").alias("actual_type"), "expected_type")
     )
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 import re
 from dataclasses import dataclass, field
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.functions.value_types import is_missing
@@ -31,10 +31,19 @@ class Constraint:
 
     def __post_init__(self) -> None:
         if self.pattern:
-            try:
-                re.compile(self.pattern)
-            except re.error as problem:
-                raise ValueError(f"Invalid regex pattern: {problem}") from problem
+            _check_pattern(self.pattern)
+
+
+def _check_pattern(pattern: str) -> None:
+    """Refuse a pattern that Spark, in whose dialect it is matched, does not take."""
+    session = SparkSession.getActiveSession()
+    try:
+        if session is None:
+            re.compile(pattern)
+        else:
+            session.sql("SELECT rlike('', :pattern)", args={"pattern": pattern}).collect()
+    except Exception as problem:
+        raise ValueError(f"Invalid regex pattern: {str(problem).splitlines()[0]}") from problem
 
 
 def predicates(df: DataFrame, constraints: list[Constraint]) -> list[tuple[str, str, Column]]:
@@ -106,16 +115,15 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
 def key_profile(df: DataFrame, key: list[str]) -> DataFrame:
     """``rows, null_keys, repeated_keys, surplus_rows`` of a unique column or primary key.
 
-    Long text keys are compared by digest, see ``row_key``.
+    Keys are compared by digest, see ``row_key``.
     """
-    keys = row_key(df, key)
-    names = [f"k{i}" for i in range(len(keys))]
-    missing = None
-    for name in names:
-        part = F.col(name).isNull()
-        missing = part if missing is None else missing | part
-    groups = df.select(*keys).groupBy(*names).agg(F.count(F.lit(1)).alias("n"))
-    return groups.withColumn("_null", missing).agg(
+    types = {f.name: f.dataType for f in df.schema.fields}
+    missing = F.lit(False)
+    for name in key:
+        missing = missing | is_missing(name, types[name])
+    groups = df.select(row_key(df, key).alias("key"), missing.alias("_null")).groupBy("key", "_null").agg(
+        F.count(F.lit(1)).alias("n"))
+    return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
         F.coalesce(F.sum(F.when(F.col("_null"), F.col("n"))), F.lit(0)).alias("null_keys"),
         F.count_if(~F.col("_null") & (F.col("n") > 1)).alias("repeated_keys"),

@@ -9,36 +9,35 @@ from pyspark.sql import types as T
 from packwright import standard as S
 from packwright.functions.value_types import blank_nan
 
-# Text longer than this is compared by its SHA-256 digest, so the shuffle never
-# carries long texts. A digest form is one character longer than any kept text.
-KEPT_TEXT_LENGTH = 64
+def _text_form(c: Column, kind: T.DataType) -> Column:
+    """A value as text that is equal for equal values of the type."""
+    if isinstance(kind, T.StringType):
+        return c
+    if isinstance(kind, T.BinaryType):
+        return F.hex(c)
+    if isinstance(kind, T.MapType):
+        # Entries of equal maps may be stored in any order.
+        return F.to_json(F.array_sort(F.map_entries(c)))
+    if isinstance(kind, (T.ArrayType, T.StructType, T.VariantType)):
+        return F.to_json(c)
+    if isinstance(kind, (T.FloatType, T.DoubleType)):
+        return (c + F.lit(0.0).cast(kind)).cast("string")  # zero has one sign
+    return c.cast("string")
 
 
-def _short_form(text: Column) -> Column:
-    return (
-        F.when(F.octet_length(text) > KEPT_TEXT_LENGTH, F.concat(F.lit("#"), F.sha2(text, 256)))
-        .otherwise(text)
-    )
-
-
-def row_key(df: DataFrame, columns: list[str] | None = None) -> list[Column]:
-    """Grouping columns ``k0, k1, ...`` under which equal rows meet.
+def row_key(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """SHA-256 digest of a row, equal for equal rows.
 
-    NaN and null count as equal; maps and variants are compared as JSON.
+    NaN and null count as equal; maps and variants are compared as JSON. Every value goes in
+    with its length, a missing one as a mark of its own, so no two rows run together. A
+    shuffle on the key carries 32 bytes a row, however wide the table.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
-    keys = []
-    for i, name in enumerate(columns or df.columns):
-        kind = types[name]
-        c = blank_nan(name, kind)
-        if isinstance(kind, T.StringType):
-            c = _short_form(c)
-        elif isinstance(kind, T.BinaryType):
-            c = _short_form(F.hex(c))
-        elif isinstance(kind, (T.ArrayType, T.StructType, T.MapType, T.VariantType)):
-            c = _short_form(F.to_json(c))
-        keys.append(c.alias(f"k{i}"))
-    return keys
+    parts = []
+    for name in columns or df.columns:
+        text = _text_form(blank_nan(name, types[name]), types[name])
+        parts += [F.coalesce(F.concat(F.octet_length(text).cast("string"), F.lit(":"), text), F.lit("-"))]
+    return F.unhex(F.sha2(F.concat(*parts), 256))
 
 
 def duplicate_profile(df: DataFrame, columns: list[str] | None = None) -> DataFrame:
@@ -47,9 +46,7 @@ def duplicate_profile(df: DataFrame, columns: list[str] | None = None) -> DataFr
     Rows are counted per key inside each task first, so a row that makes up a
     third of the table costs one partial count per task.
     """
-    keys = row_key(df, columns)
-    groups = df.select(*keys).groupBy(*[f"k{i}" for i in range(len(keys))]).agg(
-        F.count(F.lit(1)).alias("n"))
+    groups = df.select(row_key(df, columns).alias("key")).groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     total = groups.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),
                        F.count(F.lit(1)).alias("distinct_rows"))
     share = (F.when(F.col("rows") > 0,
@@ -65,19 +62,19 @@ def duplicate_profile(df: DataFrame, columns: list[str] | None = None) -> DataFr
 def flag_duplicates(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame:
     """Add ``is_duplicate``: the row repeats one with a smaller ``row_id``.
 
-    ``row_id`` must be unique. The first row of every group is found by a
-    partial aggregate, and the mask is a join on the unique ``row_id``, so rows
+    ``row_id`` must be unique and not null, which is checked as the rows are joined. The first row of every
+    group is found by a partial aggregate, and the mask is a join on ``row_id``, so rows
     of one large group are spread evenly instead of meeting in one task.
     """
-    keys = row_key(df, columns)
     firsts = (
-        df.select(F.col(row_id).alias("_row"), *keys)
-        .groupBy(*[f"k{i}" for i in range(len(keys))])
-        .agg(F.min("_row").alias(row_id))
-        .select(row_id, F.lit(False).alias("_repeats"))
+        df.select(F.col(row_id).alias("_row"), row_key(df, columns).alias("_key"))
+        .groupBy("_key").agg(F.min("_row").alias(row_id))
+        .select(row_id, F.lit(True).alias("_first"))
     )
+    ids = df.groupBy(row_id).agg(F.count(F.lit(1)).alias("_rows")).join(firsts, row_id, "left")
+    wrong = F.raise_error(F.lit(f"{row_id} must be unique and not null")).cast("boolean")
     return (
-        df.join(firsts, row_id, "left")
-        .withColumn("is_duplicate", F.coalesce("_repeats", F.lit(True)))
-        .drop("_repeats")
+        df.join(ids, row_id, "left")
+        .withColumn("is_duplicate", F.when(F.coalesce("_rows", F.lit(0)) != 1, wrong).otherwise(F.col("_first").isNull()))
+        .drop("_first", "_rows")
     )

@@ -1,35 +1,13 @@
-"""Joining a large table with a derived table that is usually small.
-
-The size of the derived table is looked at before it is broadcast; beyond the
-limit the join is shuffled, with the keys salted so that one key holding a large
-share of all rows is spread over many tasks.
-"""
+"""Joining a large table with one that holds few rows per key, where one key may be very frequent."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.session import local_table
-
-MAX_BROADCAST_ROWS = 100_000
 SALTS = 32
 
 
-def attach(large: DataFrame, small: DataFrame, on: list[str], salt_by: list[str | Column],
-           how: str = "inner", max_rows: int = MAX_BROADCAST_ROWS) -> DataFrame:
-    """Join ``small`` (unique in ``on``, narrow rows) to ``large``.
-
-    ``small`` is computed once here. Up to ``max_rows`` rows it becomes a local
-    relation and is broadcast; a longer one is joined by a salted shuffle.
-    """
-    rows = small.limit(max_rows + 1).collect()
-    if len(rows) <= max_rows:
-        local = local_table(large.sparkSession, rows, small.schema)
-        return large.join(F.broadcast(local), on, how)
-    return salted_join(large, small, on, salt_by, how)
-
-
 def salted_join(large: DataFrame, small: DataFrame, on: list[str],
                 salt_by: list[str | Column], how: str = "inner", salts: int = SALTS) -> DataFrame:
     """Shuffle join with ``small`` repeated once per salt.

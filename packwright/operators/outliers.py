@@ -13,7 +13,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from packwright import standard as S
-from packwright.operators.joins import attach
 
 SKETCH_ACCURACY = 10_000
 _QUARTILES = (0.25, 0.75)
@@ -22,30 +21,34 @@ _QUARTILES = (0.25, 0.75)
 def quartiles(df: DataFrame, value: str, by: str) -> DataFrame:
     """``by, n, q1, q3`` with linear interpolation between the neighbouring ranks.
 
-    Rows without a group are left out.
+    Rows without a group form a group of their own, named null.
     """
     data = df.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
     # A quartile's rank lies within 1/accuracy of the sketched one; the bracket takes
-    # four times that. A group no larger than the sketch is taken whole.
+    # four times that, and a rank more for the neighbours of a small group.
     slack = 4.0 / SKETCH_ACCURACY
     points = [p for q in _QUARTILES for p in (q - slack, q + slack)]
+    # A group of up to 1 / slack rows has neighbouring ranks beyond such a bracket; the whole
+    # range is its bracket, given by the sketch's ends.
+    points += [0.0, 1.0]
     sketch = data.groupBy("g").agg(
         F.count("v").alias("n"), F.percentile_approx("v", points, SKETCH_ACCURACY).alias("p"))
-    small = F.col("n") <= SKETCH_ACCURACY
+    wide = F.col("n") * F.lit(slack) <= 1
+    least, most = (F.get("p", F.lit(2 * len(_QUARTILES) + i)) for i in (0, 1))
     columns = []
     for i, q in enumerate(_QUARTILES):
         # Neighbouring ranks of a quartile: floor and ceiling of (n - 1) * q, from 0.
         position = (F.col("n") - 1) * F.lit(q)
         columns += [
-            F.when(small, float("-inf")).otherwise(F.get("p", F.lit(2 * i))).alias(f"low{i}"),
-            F.when(small, float("inf")).otherwise(F.get("p", F.lit(2 * i + 1))).alias(f"high{i}"),
+            F.when(wide, least).otherwise(F.get("p", F.lit(2 * i))).alias(f"low{i}"),
+            F.when(wide, most).otherwise(F.get("p", F.lit(2 * i + 1))).alias(f"high{i}"),
             F.floor(position).alias(f"rank_low{i}"),
             F.ceil(position).alias(f"rank_high{i}"),
             (position - F.floor(position)).alias(f"part{i}"),
         ]
-    brackets = sketch.where(F.col("g").isNotNull()).select("g", "n", *columns)
-    joined = attach(data, brackets, ["g"], ["v"])
+    brackets = sketch.select(F.col("g").alias("bracket"), "n", *columns)
+    joined = data.join(brackets, F.col("g").eqNullSafe(F.col("bracket"))).drop("bracket")
     # Values under the bracket are only counted; values inside are counted by value.
     sides = joined.select(
         "g", "n",
@@ -93,17 +96,17 @@ def iqr_fences(df: DataFrame, value: str, by: str, fence: float = S.OUTLIER_FENC
 
 def iqr_outliers(df: DataFrame, value: str, by: str, fence: float = S.OUTLIER_FENCE) -> DataFrame:
     """Rows whose value lies outside the fence of their group, with ``low`` and ``high``."""
-    fences = iqr_fences(df, value, by, fence).select(by, "low", "high")
-    return attach(df, fences, [by], [value]).where(
+    fences = iqr_fences(df, value, by, fence).select(F.col(by).alias("_group"), "low", "high")
+    return df.join(fences, F.col(by).eqNullSafe(F.col("_group"))).drop("_group").where(
         (F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
 
 
 def outlier_profile(df: DataFrame, value: str, by: str, fence: float = S.OUTLIER_FENCE) -> DataFrame:
     """Per group: fences and the number of rows outside them (0 where there are none)."""
-    fences = iqr_fences(df, value, by, fence)
+    fences = iqr_fences(df, value, by, fence).withColumnRenamed(by, "_group")
     outside = (F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))
     return (
-        attach(df.select(by, value), fences, [by], [value])
+        df.select(by, value).join(fences, F.col(by).eqNullSafe(F.col("_group")))
         .groupBy(by)
         .agg(F.max("n").alias("n"), F.max("q1").alias("q1"), F.max("q3").alias("q3"),
              F.max("low").alias("low"), F.max("high").alias("high"),

@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from packwright import standard as S
 from packwright.functions.value_types import is_missing
@@ -121,23 +122,20 @@ def column_samples(df: DataFrame, row_id: str, columns: list[str] | None = None,
                    n: int = 10) -> DataFrame:
     """First ``n`` values per column in order of ``row_id``: ``column, ordinal, row_id, value``.
 
-    Each column is read on its own (two columns of a columnar source) and
-    reduced to its first rows inside every task, so no task sees a whole column.
+    The table is read once for all columns. Every task ranks its own values and hands
+    on the first few of each column, so no task sees a whole column.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     names = columns or [c for c in df.columns if c != row_id]
-    out = None
-    for name in names:
-        first = (
-            df.where(~is_missing(name, types[name]))
-            .select(F.col(row_id).alias("row_id"), F.col(f"`{name}`").cast("string").alias("value"))
-            .orderBy("row_id").limit(n)
-            .agg(F.array_sort(F.collect_list(F.struct("row_id", "value"))).alias("taken"))
-            .select(F.lit(name).alias("column"), F.posexplode("taken").alias("at", "cell"))
-            .select("column", (F.col("at") + 1).alias("ordinal"), "cell.row_id", "cell.value")
-        )
-        out = first if out is None else out.unionByName(first)
-    return out
+    cells = df.select(F.col(row_id).alias("row_id"), F.inline(F.array(*[
+        F.struct(F.lit(name).alias("column"),
+                 F.when(~is_missing(name, types[name]), F.col(f"`{name}`").cast("string")).alias("value"))
+        for name in names])))
+    first = W.partitionBy("column").orderBy("row_id", "value")
+    return (
+        cells.where(F.col("value").isNotNull()).withColumn("ordinal", F.row_number().over(first))
+        .where(F.col("ordinal") <= n).select("column", "ordinal", "row_id", "value")
+    )
 
 
 def preview(df: DataFrame, key: str | list[str], n: int = 10) -> DataFrame:

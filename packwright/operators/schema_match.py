@@ -14,8 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright import standard as S
-from packwright.functions.value_types import field_type_of, filled_value_type, is_numeric_type
-from packwright.operators.profile import column_samples
+from packwright.functions.value_types import field_type_of, is_numeric_type
 from packwright.session import local_table
 
 COLUMN_SCHEMA = ("dataset string, pos int, column string, field_type string, is_numeric boolean, "
@@ -38,7 +37,7 @@ def infer_fields_from_values(tally: DataFrame) -> DataFrame:
     Integers with decimals are numbers, any other mixture is text.
     """
     names = {"int": "integer", "float": "number", "bool": "boolean", "date": "date",
-             "datetime": "datetime"}
+             "datetime": "datetime", "time": "time"}
     single = F.when(F.col("least") != F.col("most"), F.lit(None).cast("string"))
     for value_name, field_name in names.items():
         single = single.when(F.col("least") == value_name, field_name)
@@ -126,27 +125,15 @@ def value_type_match(tally: DataFrame, declared: DataFrame) -> DataFrame:
 
     The tally is that of all values. ``matched`` counts the fitting ones; the
     column is an error when there are none (``ok`` is false). ``declared`` holds
-    ``column, type`` and is bounded by the schema.
+    ``column, type``.
     """
     accepted = expected_value_types(F.col("type"))
     fits = F.coalesce(F.array_contains(accepted, F.col("value_type")), F.lit(True))
     return (
-        tally.join(F.broadcast(declared), "column")
+        tally.join(declared, "column")
         .groupBy("column", "type")
         .agg(F.array_join(F.array_sort(F.collect_set("value_type")), ", ").alias("actual_types"),
              F.coalesce(F.sum(F.when(fits, F.col("n"))), F.lit(0)).alias("matched"),
              F.sum("n").alias("cells"))
         .withColumn("ok", F.col("matched") > 0)
     )
-
-
-def value_type_match_first(df: DataFrame, row_id: str, raw_columns: list[str],
-                           declared: DataFrame, first: int = 100) -> DataFrame:
-    """The same verdict from the first ``first`` values of each column in row order.
-
-    Every task keeps only its first values of a column; nothing is sorted whole.
-    """
-    head = column_samples(df, row_id, raw_columns, first).withColumn(
-        "value_type", filled_value_type(F.col("value")))
-    return value_type_match(
-        head.groupBy("column", "value_type").agg(F.count(F.lit(1)).alias("n")), declared)

@@ -13,7 +13,7 @@ from pyspark.sql import Window as W
 
 from packwright import standard as S
 from packwright.functions.names import clean_query, first_word, iri_tail
-from packwright.operators.joins import attach
+from packwright.operators.joins import salted_join
 from packwright.session import local_table
 
 FIELD_TEMPLATE_SCHEMA = (
@@ -68,15 +68,15 @@ def label_lookup(wanted: DataFrame, cache: DataFrame) -> DataFrame:
     return wanted.join(firsts, "id", "left")
 
 
-def _prefix_scores(label: Column) -> Column:
-    """Array of struct(word, score) for every prefix of two or more letters in a label.
+def _prefix_scores(label: Column, min_letters: int) -> Column:
+    """Array of struct(word, score) for every prefix of ``min_letters`` or more letters in a label.
 
     3 for the whole label, 2 for a whole word, 1 for the start of a word.
     """
     words = F.filter(F.split(F.lower(clean_query(label)), " "),
-                     lambda w: F.length(w) >= S.TYPED_QUERY_MIN_LENGTH)
+                     lambda w: F.length(w) >= min_letters)
     starts = F.flatten(F.transform(words, lambda w: F.transform(
-        F.sequence(F.lit(S.TYPED_QUERY_MIN_LENGTH), F.length(w)), lambda k: F.substring(w, 1, k))))
+        F.sequence(F.lit(min_letters), F.length(w)), lambda k: F.substring(w, 1, k))))
     return F.transform(F.array_distinct(starts), lambda s: F.struct(
         s.alias("word"),
         F.when(s == F.lower(label), 3).when(F.array_contains(words, s), 2).otherwise(1)
@@ -84,24 +84,30 @@ def _prefix_scores(label: Column) -> Column:
 
 
 def suggest_concepts(queries: DataFrame, concepts: DataFrame, column: str, language: str,
-                     limit: int = S.SUGGESTION_LIMIT) -> DataFrame:
+                     limit: int = S.SUGGESTION_LIMIT, min_letters: int = 1) -> DataFrame:
     """Best concepts for the first word of each column name: ``column, ordinal, id, label, score``.
 
     The vocabulary is cut to the best few concepts per word before it meets the
     columns, and that cut is applied inside every task before any shuffle, so a
-    word shared by a third of the vocabulary costs no more than a rare one.
+    word shared by a third of the vocabulary costs no more than a rare one. Prefixes
+    that no column asks for are dropped first. Queries typed by hand may ask for two
+    letters or more (``min_letters``); names of columns are searched from one on.
     """
+    if min_letters < 1:
+        raise ValueError("min_letters must be 1 or more")
     word = F.lower(first_word(clean_query(F.col(column))))
     asked = queries.select(F.col(column).alias("column"), word.alias("word")).distinct().where(
-        F.length("word") >= S.TYPED_QUERY_MIN_LENGTH)
+        F.length("word") >= min_letters)
     best = W.partitionBy("word").orderBy(F.col("score").desc(), "label", "id")
     index = (
         concepts.where(F.col("lang") == language)
-        .select("id", "label", F.inline(_prefix_scores(F.col("label"))))
+        .select("id", "label", F.inline(_prefix_scores(F.col("label"), min_letters)))
+        .join(asked.select("word").distinct(), "word", "left_semi")
         .withColumn("ordinal", F.row_number().over(best))
         .where(F.col("ordinal") <= limit)
     )
-    return asked.join(index, "word").select("column", "ordinal", "id", "label", "score")
+    # A few rows per word are repeated per salt, so a word that very many columns begin with is spread.
+    return salted_join(asked, index, ["word"], ["column"]).select("column", "ordinal", "id", "label", "score")
 
 
 def concept_definition(definitions: Column, language: str) -> Column:
@@ -120,7 +126,7 @@ def pick_definitions(df: DataFrame, key: str, pos: str, lang: str, value: str,
     """
     chosen = df.groupBy(key).agg(
         F.coalesce(F.min(F.when(F.col(lang) == language, F.col(pos))), F.min(pos)).alias(pos))
-    return attach(df.select(key, pos, value), chosen, [key, pos], [pos]).select(key, value)
+    return df.select(key, pos, value).join(chosen, [key, pos]).select(key, value)
 
 
 def build_fields(columns: DataFrame, labels: DataFrame, descriptions: DataFrame,
@@ -138,9 +144,8 @@ def build_fields(columns: DataFrame, labels: DataFrame, descriptions: DataFrame,
     def unit(label: Column, fallback: str) -> Column:
         return F.when(mapped, label).when(numeric, F.lit(fallback))
 
-    # Most columns share a few units or have none, hence no plain join on the unit.
     return (
-        attach(columns, units, ["unit_id"], ["dataset", "column"], "left")
+        columns.join(units, "unit_id", "left")
         .join(descriptions, ["dataset", "column"], "left")
         .select(
             "dataset", "pos", F.col("column").alias("name"), F.col("field_type").alias("type"),

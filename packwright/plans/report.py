@@ -17,19 +17,28 @@ _BLOCK = 10_000
 def number_findings(findings: DataFrame) -> DataFrame:
     """Add ``number``: position of a finding among those of its dataset and severity.
 
-    Findings are ordered by ``ordinal``, an integer unique within a dataset.
-    Blocks of ordinals are counted first and numbered on their own, so a dataset
-    with very many findings is spread over its blocks.
+    Findings are ordered by ``ordinal``, an integer unique within a dataset, or, where
+    there is none, by scope, check, subject and message. Blocks are counted first and numbered on
+    their own, so a dataset with very many findings is spread over its blocks; a block
+    is a run of ordinals, or the findings of one scope, check and first letters of a subject.
     """
-    blocks = findings.withColumn("_block", F.floor(F.col("ordinal") / _BLOCK))
+    if "ordinal" in findings.columns:
+        block, order = F.floor(F.col("ordinal") / _BLOCK), ["ordinal"]
+    else:
+        block = F.struct("scope", "check", F.substring("subject", 1, 4).alias("start"))
+        order = ["scope", "check", "subject", "message"]
+    blocks = findings.withColumn("_block", block)
     counts = blocks.groupBy("dataset", "severity", "_block").agg(F.count(F.lit(1)).alias("_n"))
     before = W.partitionBy("dataset", "severity").orderBy("_block").rowsBetween(
         W.unboundedPreceding, -1)
     offsets = counts.withColumn("_before", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    inside = W.partitionBy("dataset", "severity", "_block").orderBy("ordinal")
+    inside = W.partitionBy("dataset", "severity", "_block").orderBy(*order)
     return (
         blocks.withColumn("_at", F.row_number().over(inside))
-        .join(offsets, ["dataset", "severity", "_block"])
+        .alias("f").join(offsets.alias("o"), (F.col("f.dataset") == F.col("o.dataset"))
+                         & (F.col("f.severity") == F.col("o.severity"))
+                         & F.col("f._block").eqNullSafe(F.col("o._block")))
+        .select("f.*", "o._before")
         .withColumn("number", F.col("_at") + F.col("_before"))
         .drop("_at", "_before", "_block")
     )
@@ -38,10 +47,15 @@ def number_findings(findings: DataFrame) -> DataFrame:
 def findings_report(findings: DataFrame, levels: DataFrame) -> DataFrame:
     """Report lines ``dataset, section, number, line`` for every dataset.
 
-    ``findings`` is ``dataset, ordinal, severity, message``; ``levels`` is
-    ``dataset, errors, warnings, infos, level``. Sorting by dataset, section and
+    Both are taken as ``validate_all`` gives them: ``findings`` is ``dataset, scope, subject,
+    check, severity, message`` (or has an ``ordinal`` to order by), ``levels`` is ``dataset, errors,
+    warnings, level``, and ``infos`` are counted where missing. Sorting by dataset, section and
     number gives the text; no dataset's report has to fit into one row or task.
     """
+    if "infos" not in levels.columns:
+        infos = findings.where("severity = 'info'").groupBy("dataset").agg(F.count(F.lit(1)).alias("infos"))
+        levels = levels.join(infos, "dataset", "left").withColumn("infos", F.coalesce("infos", F.lit(0)))
+
     def line(section: int, number: int, text) -> F.Column:
         return F.struct(F.lit(section).alias("section"), F.lit(number).cast("long").alias("number"),
                         text.alias("line"))
@@ -101,9 +115,11 @@ def report_text(report: DataFrame, dataset) -> str:
 
 
 def inconsistency_sink(inconsistencies: DataFrame, path: str) -> str | None:
-    """Write inconsistencies as CSV with a header; nothing is written if there are none."""
-    if inconsistencies.isEmpty():
-        return None
+    """Write inconsistencies as CSV with a header; None if there are none, and the folder is then empty of rows.
+
+    The rows are computed once; whether there are any is seen in what was written.
+    """
     columns = ["row", "column", "value", "actual_type", "expected_type"]
     inconsistencies.select(*columns).write.option("header", True).mode("overwrite").csv(path)
-    return path
+    written = inconsistencies.sparkSession.read.option("header", True).csv(path)
+    return None if not written.columns or written.isEmpty() else path

@@ -55,6 +55,33 @@ def declared_fields(dataset: Dataset) -> list[dict]:
     return schema.get("fields") or []
 
 
+def declared_constraints(dataset: Dataset) -> tuple[Constraint, ...]:
+    """Constraints of the dataset and those in the field definitions of its descriptor.
+
+    Those of columns that the table lacks are left out; a missing column is a finding of its own.
+    """
+    found = list(dataset.constraints)
+    for f in declared_fields(dataset):
+        own = f.get("constraints") or {}
+        keep = {k: own[k] for k in ("required", "unique", "minimum", "maximum", "pattern") if own.get(k) is not None}
+        if own.get("enum"):
+            keep["enum"] = tuple(str(v) for v in own["enum"])
+        c = Constraint(f.get("name") or "", **keep)
+        if keep and c.column in dataset.df.columns and c not in found:
+            found.append(c)
+    return tuple(found)
+
+
+def unique_keys(dataset: Dataset) -> list[list[str]]:
+    """Columns and keys that must be unique: those of constraints, of the dataset and of its descriptor's schema."""
+    resources = dataset.descriptor.get("resources") or [{}]
+    declared = (resources[0].get("schema") or {}).get("primaryKey") or []
+    declared = [declared] if isinstance(declared, str) else list(declared)
+    keys = [[c.column] for c in declared_constraints(dataset) if c.unique]
+    keys += [list(k) for k in (dataset.primary_key, declared) if k and set(k) <= set(dataset.df.columns)]
+    return [k for i, k in enumerate(keys) if k not in keys[:i]]
+
+
 def fields_table(datasets: list[Dataset]) -> DataFrame:
     """Declared fields as ``dataset, name, type, unit_name``."""
     def unit_name(unit) -> str | None:
@@ -91,7 +118,7 @@ def raw_findings(tally: DataFrame, declared: DataFrame) -> DataFrame:
     fits = F.coalesce(F.array_contains(accepted, F.col("value_type")), F.lit(True))
     own = W.partitionBy("dataset")
     columns = (
-        tally.join(F.broadcast(declared), ["dataset", "column"], "left")
+        tally.join(declared, ["dataset", "column"], "left")
         .groupBy("dataset", "column", "type")
         .agg(F.count(F.lit(1)).alias("n_types"), (F.sum("n") - F.max("n")).alias("inconsistent"),
              F.sum(F.when(fits, F.col("n")).otherwise(0)).alias("matched"),
@@ -159,21 +186,19 @@ def data_findings(datasets: list[Dataset], parity: bool = False) -> DataFrame:
     """
     counts, duplicate, tallies, keys = [], [], [], []
     for d in datasets:
-        checks = profile.null_checks(d.df) + constraint_checks(d.df, d.constraints, d.rules)
+        checks = profile.null_checks(d.df) + constraint_checks(d.df, declared_constraints(d), d.rules)
         counts.append((d.name, profile.count_checks(d.df, checks)))
         duplicate.append((d.name, duplicates.duplicate_profile(d.df)))
         if d.raw_columns:
             tallies.append((d.name, consistency.type_tally(
                 consistency.typed_cells(d.df, d.row_id, list(d.raw_columns)))))
-        unique = [[c.column] for c in d.constraints if c.unique]
-        unique += [list(d.primary_key)] if d.primary_key else []
         keys += [(d.name, key_profile(d.df, key).withColumn("key", F.lit(", ".join(key))))
-                 for key in unique]
+                 for key in unique_keys(d)]
     all_counts = _named(counts)
     parts = [profile.quality_info(
         profile.null_counts(all_counts, "dataset"), _named(duplicate), parity=parity)
         .withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS)]
-    if any(d.constraints or d.rules for d in datasets):
+    if any(declared_constraints(d) or d.rules for d in datasets):
         parts.append(_constraint_findings(all_counts))
     if keys:
         parts.append(_finding_rows(

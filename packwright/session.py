@@ -46,12 +46,14 @@ def local_table(spark: SparkSession, rows: list[tuple], schema: str | StructType
 def shared_dir(spark: SparkSession) -> str:
     """A fresh folder below the cluster's shared folder (``spark.checkpoint.dir``).
 
-    Only where the session names none, as in a local test, a temporary folder
-    of this machine is used instead.
+    Only a local session that names none, as in a test, gets a temporary folder of this
+    machine; on a cluster every executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get(
         "spark.checkpoint.dir"
     )
     if base:
         return f"{base.rstrip('/')}/packwright-{uuid.uuid4().hex}"
-    return tempfile.mkdtemp(prefix="packwright-")
+    if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-"):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+    return f"{tempfile.mkdtemp(prefix='packwright-')}/data"

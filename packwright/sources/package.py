@@ -15,6 +15,7 @@ import re
 import sys
 import uuid
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -33,6 +34,11 @@ DESCRIPTOR_KEY = "datapackage.json"
 SIDECAR = "_datapackage.json"
 # Files are closed at a tenth of the largest size the standard allows.
 TARGET_FILE_BYTES = S.MAX_FILE_MB * 1024 * 1024 // 10
+# A row group is written when it holds so many bytes of Arrow data or so many rows.
+ROW_GROUP_BYTES = 128 << 20
+ROW_GROUP_ROWS = 1 << 20
+# Files that a commit moves at a time.
+MOVES = 32
 
 # Tasks get this module by value, so executors need no copy of the package.
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
@@ -74,19 +80,36 @@ class _PackageWriter(DataSourceArrowWriter):
             {DESCRIPTOR_KEY: self.descriptor.encode("utf-8")})
         files: list[str] = []
         writer = sink = None
+        held: list[pa.RecordBatch] = []
+
+        def flush() -> None:
+            """Write what is held as one row group."""
+            nonlocal writer, sink
+            if not held:
+                return
+            if writer is None:
+                name = f"part-{uuid.uuid4().hex}.parquet"
+                sink = fs.open_output_stream(posixpath.join(staging, name))
+                writer = pq.ParquetWriter(sink, schema)
+                files.append(name)
+            table = pa.Table.from_batches(held).rename_columns(schema.names).cast(schema)
+            writer.write_table(table, row_group_size=table.num_rows)
+            held.clear()
+            if sink.tell() >= self.target_bytes:
+                writer.close()
+                sink.close()
+                writer = None
+
         try:
+            limit = min(ROW_GROUP_BYTES, self.target_bytes)
+            size = rows = 0
             for batch in iterator:
-                if writer is None:
-                    name = f"part-{uuid.uuid4().hex}.parquet"
-                    sink = fs.open_output_stream(posixpath.join(staging, name))
-                    writer = pq.ParquetWriter(sink, schema)
-                    files.append(name)
-                table = pa.Table.from_batches([batch]).rename_columns(schema.names).cast(schema)
-                writer.write_table(table)
-                if sink.tell() >= self.target_bytes:
-                    writer.close()
-                    sink.close()
-                    writer = None
+                held.append(batch)
+                size, rows = size + batch.nbytes, rows + batch.num_rows
+                if size >= limit or rows >= ROW_GROUP_ROWS:
+                    flush()
+                    size = rows = 0
+            flush()
         finally:
             if writer is not None:
                 writer.close()
@@ -109,8 +132,8 @@ class _PackageWriter(DataSourceArrowWriter):
         if self.overwrite:
             listing = fs.get_file_info(pafs.FileSelector(target, recursive=False))
             old = [f.path for f in listing if f.is_file and f.base_name.endswith(".parquet")]
-        for name in names:
-            fs.move(posixpath.join(staging, name), posixpath.join(target, name))
+        with ThreadPoolExecutor(MOVES) as pool:
+            list(pool.map(lambda name: fs.move(posixpath.join(staging, name), posixpath.join(target, name)), names))
         for path in old:
             fs.delete_file(path)
         with fs.open_output_stream(posixpath.join(target, SIDECAR)) as out:

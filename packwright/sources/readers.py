@@ -14,18 +14,13 @@ def read_csv(spark: SparkSession, path: str, schema: StructType | str | None = N
     """CSV with a header line.
 
     With a schema the files are read once. Without one the types are inferred
-    by an extra pass, or with ``raw`` every column stays text. Trailing columns
-    without a header are dropped.
+    by an extra pass, or with ``raw`` every column stays text. A column without
+    a header keeps its values under the name ``_c`` and its place.
     """
     reader = spark.read.option("header", True)
     if schema is not None:
         return reader.schema(schema).csv(path)
-    df = reader.option("inferSchema", not raw).csv(path)
-    names = list(df.columns)
-    while names and names[-1].startswith("_c") and names[-1][2:].isdigit() and (
-            int(names[-1][2:]) == len(names) - 1):
-        names.pop()
-    return df.select(*[f"`{n}`" for n in names])
+    return reader.option("inferSchema", not raw).csv(path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -62,11 +57,17 @@ def size_tier(size: Column) -> Column:
 
 def file_size_audit(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
     """``path, bytes, tier, memory_estimate, too_large`` per file; no file content is read."""
-    size = F.col("bytes")
-    return (
+    return audit_sizes(
         spark.read.format("binaryFile").option("pathGlobFilter", glob)
         .option("recursiveFileLookup", True).load(path)
-        .select("path", F.col("length").alias("bytes"))
+        .select("path", F.col("length").alias("bytes")))
+
+
+def audit_sizes(files: DataFrame) -> DataFrame:
+    """The audit of files listed with their ``bytes``; other columns stay."""
+    size = F.col("bytes")
+    return (
+        files
         .withColumn("tier", size_tier(size))
         .withColumn("memory_estimate", human_size((size * S.MEMORY_FACTOR).cast("double")))
         .withColumn("too_large", size > S.MAX_FILE_MB * 1024 * 1024)

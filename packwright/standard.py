@@ -54,7 +54,6 @@ MAX_BASIC_ERRORS = 10
 
 QUERY_MIN_LENGTH = 1
 QUERY_MAX_LENGTH = 500
-TYPED_QUERY_MIN_LENGTH = 2
 SUGGESTION_LIMIT = 5
 
 LEVEL_BADGES = {
@@ -189,11 +188,3 @@ FIELD_DESCRIPTION_MESSAGE = "Field description improves dataset usability"
 AUTHOR_MESSAGE = "At least one contributor with role 'author' is required"
 URL_MESSAGE = "URL must start with http:// or https://"
 PATTERN_MESSAGE = "Value does not match pattern"
-
-HELP_URLS = {
-    "frictionless_spec": "https://specs.frictionlessdata.org/data-package/",
-    "qudt_units": "http://qudt.org/vocab/unit/",
-    "spdx_licenses": "https://spdx.org/licenses/",
-    "semantic_versioning": "https://semver.org/",
-}
-# ------------------------------------------------------------------------------

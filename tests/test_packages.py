@@ -16,7 +16,14 @@ from packwright.sources import (
     read_csv,
     read_descriptor,
 )
-from packwright.streaming.quality import drop_repeats, read_files, run_to_parquet, stream_quality
+from packwright.streaming.quality import (
+    drop_repeats,
+    latest,
+    read_files,
+    run_to_parquet,
+    run_updates,
+    stream_quality,
+)
 from test_catalog import FULL
 
 DETAILS = {k: v for k, v in FULL.items() if k != "resources"}
@@ -51,6 +58,13 @@ def test_large_tasks_roll_over_to_new_files(spark, tmp_path):
     assert len(list(path.glob("*.parquet"))) > 3 and spark.read.parquet(str(path)).count() == 300_000
 
 
+def test_row_groups_hold_many_batches(spark, tmp_path):
+    path = tmp_path / "pack"
+    pack_write(spark.range(300_000).coalesce(1), {}, str(path))
+    (file,) = path.glob("*.parquet")
+    assert pq.ParquetFile(file).num_row_groups == 1
+
+
 def test_empty_table_and_errors(spark, tmp_path):
     pack_write(sample(spark).where("false"), {"name": "empty"}, str(tmp_path / "e"))
     df, descriptor = pack_read(spark, str(tmp_path / "e"))
@@ -93,9 +107,10 @@ def test_column_metadata(spark, tmp_path):
 
 
 def test_readers(spark, tmp_path):
-    (tmp_path / "t.csv").write_text("a,b,,\n1,x,,\n2,y,,\n")
+    (tmp_path / "t.csv").write_text("a,_c1,\n1,x,3\n2,y,\n")
     df = load(spark, str(tmp_path / "t.csv"))
-    assert df.columns == ["a", "b"] and dict(df.dtypes)["a"] == "int"
+    assert dict(df.dtypes)["a"] == "int" and [tuple(r) for r in df.orderBy("a").collect()] == [(1, "x", 3), (2, "y", None)]
+    assert df.columns == ["a", "_c1", "_c2"]
     assert dict(read_csv(spark, str(tmp_path / "t.csv"), raw=True).dtypes)["a"] == "string"
     assert load(spark, str(tmp_path / "t.csv"), "a long, b string").schema["a"].dataType.typeName() == "long"
     with pytest.raises(ValueError, match="Unsupported"):
@@ -103,20 +118,21 @@ def test_readers(spark, tmp_path):
 
 
 def test_export(spark, tmp_path):
-    df = spark.createDataFrame([("DE", 2024, 420.5), ("FR", 2024, 65.2)], "country string, year int, x double")
+    df = spark.createDataFrame([("Ems", 12, 80.4), ("Oder", 31, 574.9)], "river string, locks int, flow double")
     path, level, findings = export_package(
-        df, {"country": "http://v/country", "x_unit": "http://v/unit/G"}, DETAILS, "mix.xlsx", "Sheet 1",
-        str(tmp_path / "mix"), labels={"http://v/unit/G": "gram"}, descriptions={"year": "The year"})
+        df, {"river": "http://v/river", "flow_unit": "http://v/unit/Q"}, DETAILS, "gauges.xlsx", "North Sea",
+        str(tmp_path / "gauges"), labels={"http://v/unit/Q": "cubic metre per second"}, descriptions={"locks": "Number of locks"})
     assert level == "strict" and {r.severity for r in findings.collect()} == {"info"}
     back, descriptor = pack_read(spark, path)
     assert back.count() == 2
     (resource,) = descriptor["resources"]
-    assert resource["name"] == "mix_sheet_1" and resource["path"] == "mix_sheet_1.parquet"
-    country, year, x = resource["schema"]["fields"]
-    assert country == {"name": "country", "type": "string", "description": "Column from Sheet 1",
-                       "rdfType": "http://v/country", "taxonomyUrl": "http://v/country"}
-    assert year["unit"]["name"] == "NUM" and year["description"] == "The year"
-    assert x["unit"] == {"name": "gram", "longName": "gram", "path": "http://v/unit/G"}
+    assert resource["name"] == "gauges_north_sea" and resource["path"] == "gauges_north_sea.parquet"
+    river, locks, flow = resource["schema"]["fields"]
+    assert river == {"name": "river", "type": "string", "description": "Column from North Sea",
+                     "rdfType": "http://v/river", "taxonomyUrl": "http://v/river"}
+    assert locks["unit"]["name"] == "NUM" and locks["description"] == "Number of locks"
+    long_name = "cubic metre per second"
+    assert flow["unit"] == {"name": long_name, "longName": long_name, "path": "http://v/unit/Q"}
 
 
 def test_export_gates(spark, tmp_path):
@@ -142,13 +158,16 @@ def test_suggestions(spark):
         [(f"c{i}", "en", f"carbon {i:03d}") for i in range(500)]
         + [("exact", "en", "Carbon"), ("prefix", "en", "carbonate rock"), ("german", "de", "carbon"),
            ("other", "en", "iron")], "id string, lang string, label string")
-    queries = spark.createDataFrame([("Carbon footprint",), ("carb",), ("x",), ("@@",), ("zinc",)], "c string")
+    queries = spark.createDataFrame([("Carbon footprint",), ("carb",), ("x",), ("@@",), ("zinc",), ("I (A)",)], "c string")
     got = vocab.suggest_concepts(queries, concepts.repartition(6), "c", "en").collect()
     best = {}
     for r in sorted(got, key=lambda r: (r.column, r.ordinal)):
         best.setdefault(r.column, []).append((r.id, r.score))
     assert best["Carbon footprint"] == [("exact", 3), ("c0", 2), ("c1", 2), ("c2", 2), ("c3", 2)]
-    assert [i for i, _ in best["carb"]] == ["exact", "c0", "c1", "c2", "c3"] and len(best) == 2
+    assert [i for i, _ in best["carb"]] == ["exact", "c0", "c1", "c2", "c3"] and len(best) == 3
+    assert best["I (A)"] == [("other", 1)]
+    typed = vocab.suggest_concepts(queries, concepts, "c", "en", min_letters=2)
+    assert {r.column for r in typed.collect()} == {"Carbon footprint", "carb"}
 
 
 def test_definitions_and_labels(spark):
@@ -183,10 +202,17 @@ def test_stream_agrees_with_batch(spark, tmp_path):
     stream = read_files(spark, src, df.schema, files_per_batch=1)
     args = ("ts", "value", "raw", "kind", 10.0, 100.0)
     run_to_parquet(stream_quality(stream, *args), str(tmp_path / "out"), str(tmp_path / "cp"))
-    got = {tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()}
+    got = [tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()]
     last = df.agg(F.max("ts") - F.expr("INTERVAL 25 HOURS")).first()[0]
-    want = {tuple(r) for r in stream_quality(df, *args).collect() if r.window_start <= last}
-    assert got == want and want
+    whole = stream_quality(df, *args).drop("raw_types").collect()
+    want = {tuple(r) for r in whole if r.window_start <= last}
+    assert {r[:-1] for r in got} == want and want
+    for r in spark.read.parquet(str(tmp_path / "out")).collect():
+        assert r.raw_types["int"] == r.raw_ints and sum(r.raw_types.values()) == r.rows
+    # Updates hold the windows that are still open at the end as well.
+    run_updates(stream_quality(stream, *args), str(tmp_path / "up"), str(tmp_path / "cp2"))
+    last_state = latest(spark.read.parquet(str(tmp_path / "up")), ["window_start", "kind"]).drop("raw_types")
+    assert sorted(map(tuple, last_state.collect())) == sorted(map(tuple, whole)) and len(whole) > len(want)
 
 
 def test_stream_without_repeats(spark, tmp_path):

@@ -79,6 +79,21 @@ def test_long_texts_differ_by_digest(spark):
     assert duplicates.duplicate_profile(df).first().distinct_rows == 3
 
 
+def test_digests_keep_values_apart(spark):
+    df = spark.createDataFrame([("a", "bc"), ("ab", "c"), (None, "abc"), ("abc", None), ("", "abc"), ("-", "x"), (None, "x")],
+                               "s string, t string")
+    assert duplicates.duplicate_profile(df).first().duplicates == 0
+    maps = spark.sql("SELECT map('a', 1, 'b', 2) m, 0.0D z UNION ALL SELECT map('b', 2, 'a', 1), -0.0D")
+    assert duplicates.duplicate_profile(maps).first().duplicates == 1
+
+
+def test_row_ids_must_be_unique(spark):
+    for ids in ((1, 1), (1, None)):
+        df = spark.createDataFrame([(i, "x") for i in ids], "id long, s string")
+        with pytest.raises(Exception, match="must be unique"):
+            duplicates.flag_duplicates(df, "id", ["s"]).collect()
+
+
 def test_nested_columns_can_be_compared(spark):
     df = spark.sql("SELECT map('a', 1) m, array(1.0D) a UNION ALL SELECT map('a', 1), array(1.0D)")
     assert duplicates.duplicate_profile(df).first().duplicates == 1
@@ -104,9 +119,21 @@ def _groups(seed=3):
     return rows
 
 
-@pytest.mark.parametrize("limit", [joins.MAX_BROADCAST_ROWS, 1])
-def test_quartiles_are_exact(spark, monkeypatch, limit):
-    monkeypatch.setattr(outliers, "attach", lambda *a, **k: joins.attach(*a, **k, max_rows=limit))
+def test_rows_without_a_group_form_one(spark):
+    df = spark.createDataFrame([(None, float(v)) for v in (1, 2, 3, 4, 900)] + [("a", 1.0)], "g string, v double")
+    assert [r.v for r in outliers.iqr_outliers(df, "v", "g").collect()] == [900.0]
+    got = {r.g: (r.n, r.q1, r.q3, r.outliers) for r in outliers.outlier_profile(df, "v", "g").collect()}
+    assert got == {None: (5, 2.0, 4.0, 1), "a": (1, 1.0, 1.0, 0)}
+
+
+def test_third_of_all_rows_equal_in_one_group(spark):
+    rows = [("hot", 0.0)] * 10_000 + [("hot", float(v)) for v in range(1, 20_001)]
+    got = outliers.quartiles(spark.createDataFrame(rows, "g string, v double").repartition(5), "v", "g").first()
+    want = np.quantile([v for _, v in rows], [0.25, 0.75])
+    assert (got.n, got.q1, got.q3) == (30_000, *want)
+
+
+def test_quartiles_are_exact(spark):
     rows = _groups()
     df = spark.createDataFrame(rows + [("few", NAN), ("few", None)], "g string, v double").repartition(7)
     got = {r.g: r for r in outliers.quartiles(df, "v", "g").collect()}

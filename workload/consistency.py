@@ -13,12 +13,13 @@ TYPE_SQL = """CASE WHEN regexp_full_match({v}, '[+-]?\\d+') THEN 'int'
  WHEN regexp_full_match({v}, '[Tt]rue|TRUE|[Ff]alse|FALSE') THEN 'bool'
  WHEN regexp_full_match({v}, '\\d{{4}}-\\d{{2}}-\\d{{2}}') THEN 'date'
  WHEN regexp_full_match({v}, '\\d{{4}}-\\d{{2}}-\\d{{2}}[T ]\\d{{2}}:\\d{{2}}(:\\d{{2}}(\\.\\d+)?)?(Z|[+-]\\d{{2}}:?\\d{{2}})?') THEN 'datetime'
+ WHEN regexp_full_match({v}, '\\d{{2}}:\\d{{2}}(:\\d{{2}}(\\.\\d+)?)?') THEN 'time'
  ELSE 'str' END"""
 
 DIRTY_SQL = f"""dirty AS (SELECT event_id, event_type,
   CASE WHEN event_id % 97 = 0 THEN 'n/a' WHEN event_id % 41 = 0 THEN 'true'
     WHEN event_id % 89 = 0 THEN NULL ELSE CAST(user_id AS VARCHAR) END AS code,
-  CASE WHEN event_id % 53 = 0 THEN '2024-01-15' WHEN event_id % 2 = 0 THEN '1.5'
+  CASE WHEN event_id % 53 = 0 THEN '2024-01-15' WHEN event_id % 59 = 0 THEN '12:30:00' WHEN event_id % 2 = 0 THEN '1.5'
     ELSE CAST(event_id AS VARCHAR) END AS amount
 FROM events),
 cells AS (SELECT "row", "column", value, {TYPE_SQL.format(v='value')} AS value_type FROM (
@@ -34,13 +35,13 @@ RAW = ["code", "amount", "event_type"]
 
 
 def dirty(spark, sf_dir):
-    """Events with two text columns of mixed content."""
+    """Events with two more columns, of text of mixed content."""
     i = F.col("event_id")
     return table(spark, sf_dir, "events").select(
-        "event_id", "event_type",
+        "*",
         F.when(i % 97 == 0, "n/a").when(i % 41 == 0, "true").when(i % 89 == 0, F.lit(None))
         .otherwise(F.col("user_id").cast("string")).alias("code"),
-        F.when(i % 53 == 0, "2024-01-15").when(i % 2 == 0, "1.5")
+        F.when(i % 53 == 0, "2024-01-15").when(i % 59 == 0, "12:30:00").when(i % 2 == 0, "1.5")
         .otherwise(i.cast("string")).alias("amount"))
 
 
@@ -153,13 +154,6 @@ def value_type_match(spark, sf_dir):
     return schema_match.value_type_match(_tally(spark, sf_dir), _declared(spark))
 
 
-@query("value_type_match_first", _value_match_sql("""(SELECT * FROM (SELECT *, row_number() OVER (
-  PARTITION BY "column" ORDER BY "row") AS nth FROM cells) WHERE nth <= 100)"""))
-def value_type_match_first(spark, sf_dir):
-    return schema_match.value_type_match_first(
-        dirty(spark, sf_dir), "event_id", RAW, _declared(spark))
-
-
 _TEXTS = ["l_orderkey", "l_quantity", "l_returnflag", "l_shipdate"]
 
 

@@ -3,10 +3,11 @@
 from pyspark.sql import functions as F
 
 from packwright.operators.constraints import Constraint
+from packwright.functions import field_type_of
 from packwright.plans import Dataset, export_package, validate_all, with_level
 from packwright.session import shared_dir
 from packwright.sources import (
-    file_size_audit,
+    audit_sizes,
     load,
     make_dir,
     pack_catalog,
@@ -15,7 +16,14 @@ from packwright.sources import (
     read_csv,
     read_parquet,
 )
-from packwright.streaming.quality import drop_repeats, read_files, run_to_parquet, stream_quality
+from packwright.streaming.quality import (
+    drop_repeats,
+    latest,
+    read_files,
+    run_to_parquet,
+    run_updates,
+    stream_quality,
+)
 from workload.consistency import dirty
 from workload.profiling import labelled
 from workload.registry import query, table
@@ -103,9 +111,23 @@ def catalog_of_packages(spark, sf_dir):
     )
 
 
-@query("file_size_audit")
+def _size_text(x: str) -> str:
+    """A size in words, rounded half up."""
+    one = lambda scale: f"printf('%.1f', floor({x} / {scale}.0 * 10 + 0.5) / 10)"
+    return (f"CASE WHEN {x} < 1024 THEN {one(1)} || ' B' WHEN {x} < {1024**2} THEN {one(1024)} || ' KB' "
+            f"WHEN {x} < {1024**3} THEN {one(1024**2)} || ' MB' ELSE {one(1024**3)} || ' GB' END")
+
+
+@query("file_size_audit", f"""SELECT o_orderkey, bytes,
+  CASE WHEN bytes <= {10 * 1024**2} THEN 'small' WHEN bytes <= {500 * 1024**2} THEN 'medium' ELSE 'large' END AS tier,
+  {_size_text('(bytes * 3)')} AS memory_estimate, bytes > {5000 * 1024**2} AS too_large
+FROM (SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN o_orderkey WHEN 1 THEN o_orderkey * 5003
+  WHEN 2 THEN o_orderkey * 100003 ELSE o_orderkey * 9000011 END AS bytes FROM orders)""")
 def audit(spark, sf_dir):
-    return file_size_audit(spark, sf_dir, "*.parquet")
+    """The rules on file sizes, over sizes made of the keys of all orders."""
+    key = F.col("o_orderkey")
+    sizes = F.when(key % 4 == 0, key).when(key % 4 == 1, key * 5003).when(key % 4 == 2, key * 100003).otherwise(key * 9000011)
+    return audit_sizes(table(spark, sf_dir, "orders").select("o_orderkey", sizes.alias("bytes")))
 
 
 @query("export_package", """SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment,
@@ -137,30 +159,39 @@ def _described(name, fields, **changes):
     return {**DETAILS, "name": name, "resources": [resource], **changes}
 
 
+def _fields(df, **types):
+    """Definitions of all columns of a table; numbers get a unit."""
+    kinds = {f.name: types.get(f.name, field_type_of(f.dataType)) for f in df.schema.fields}
+    return [_field(c, kind, "NUM" if kind in ("integer", "number") else None) for c, kind in kinds.items()]
+
+
+def _with_rules(descriptor, rules, primary_key):
+    """A descriptor whose schema declares constraints and a primary key."""
+    schema = descriptor["resources"][0]["schema"]
+    for f in schema["fields"]:
+        if f["name"] in rules:
+            f["constraints"] = rules[f["name"]]
+    schema["primaryKey"] = primary_key
+    return descriptor
+
+
 def datasets(spark, sf_dir):
-    """Four tables with descriptors, raw columns, constraints and keys."""
+    """Four whole tables with descriptors, raw columns, constraints and keys, some of them declared in the descriptor."""
     docs = labelled(spark, sf_dir)
-    part = table(spark, sf_dir, "part").select("p_name", "p_brand", "p_type", "p_size")
-    lineitem = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_discount")
+    part, lineitem, events = (table(spark, sf_dir, "part"), table(spark, sf_dir, "lineitem"), dirty(spark, sf_dir))
     return [
-        Dataset("events", dirty(spark, sf_dir), _described("events", [
-            _field("event_id", "integer", "NUM"), _field("event_type", "string"),
-            _field("code", "integer", "NUM"), _field("amount", "boolean")]),
+        Dataset("events", events, _described("events", _fields(events, code="integer", amount="boolean")),
             row_id="event_id", raw_columns=("code", "amount")),
         Dataset("documents", docs, _described("documents", [
-            _field("doc_id", "integer", "NUM"), _field("lang", "string"),
+            _field("doc_id", "integer", "NUM"), _field("text", "string"), _field("lang", "string"),
             _field("n_chars", "number"), _field("quality", "boolean"), _field("title", "string")],
             version=1), constraints=(
                 Constraint("quality", required=True), Constraint("lang", enum=("en", "de")),
                 Constraint("doc_id", unique=True))),
-        Dataset("part", part, _described("part", [
-            _field("p_name", "string"), _field("p_brand", "string"), _field("p_type", "string"),
-            _field("p_size", "integer", "cm")])),
-        Dataset("lineitem", lineitem, _described("lineitem", [
-            _field("l_orderkey", "integer", "NUM"), _field("l_linenumber", "integer", "NUM"),
-            _field("l_discount", "number", "NUM")], contributors=[{"name": "B", "role": "maintainer"}]),
-            constraints=(Constraint("l_discount", minimum=0.0, maximum=0.05),),
-            primary_key=("l_orderkey", "l_linenumber")),
+        Dataset("part", part, _described("part", _fields(part))),
+        Dataset("lineitem", lineitem, _with_rules(_described(
+            "lineitem", _fields(lineitem), contributors=[{"name": "B", "role": "maintainer"}]),
+            {"l_discount": {"minimum": 0.0, "maximum": 0.05}}, ["l_orderkey", "l_linenumber"])),
     ]
 
 
@@ -169,7 +200,7 @@ def datasets(spark, sf_dir):
 # twice and names an unknown field, and two of its columns are not declared.
 @query("validate_all", """WITH e AS (SELECT CASE WHEN event_id % 97 = 0 THEN 'n/a'
     WHEN event_id % 41 = 0 THEN 'true' WHEN event_id % 89 = 0 THEN NULL ELSE '1' END AS code,
-  CASE WHEN event_id % 53 = 0 THEN 'd' WHEN event_id % 2 = 0 THEN 'f' ELSE 'i' END AS amount FROM events),
+  CASE WHEN event_id % 53 = 0 THEN 'd' WHEN event_id % 59 = 0 THEN 't' WHEN event_id % 2 = 0 THEN 'f' ELSE 'i' END AS amount FROM events),
 d AS (SELECT d.*, l.quality FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id),
 counts AS (
   SELECT 'events' AS dataset,
@@ -202,15 +233,14 @@ _DAY_SQL = """SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_ty
 FROM events GROUP BY ALL"""
 
 
-@query("stream_quality", f"""SELECT * FROM ({_DAY_SQL})
-WHERE window_start + INTERVAL '1 day' <= (SELECT max(ts) - INTERVAL '1 hour' FROM events)""")
+@query("stream_quality", _DAY_SQL)
 def streamed(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     path = shared_dir(spark)
     counts = stream_quality(read_files(spark, sf_dir, schema, "events.parquet"), "ts", "value",
                             F.get_json_object("props", "$.k"), "event_type", 1.0, 100.0)
-    run_to_parquet(counts, path + "/counts", path + "/state")
-    return spark.read.parquet(path + "/counts")
+    run_updates(counts.drop("raw_types"), path + "/counts", path + "/state")
+    return latest(spark.read.parquet(path + "/counts"), ["window_start", "event_type"])
 
 
 @query("stream_drop_repeats", "SELECT event_id, event_type FROM events")
@@ -227,4 +257,4 @@ def without_repeats(spark, sf_dir):
 @query("batch_quality", _DAY_SQL)
 def batched(spark, sf_dir):
     return stream_quality(table(spark, sf_dir, "events"), "ts", "value",
-                          F.get_json_object("props", "$.k"), "event_type", 1.0, 100.0)
+                          F.get_json_object("props", "$.k"), "event_type", 1.0, 100.0).drop("raw_types")

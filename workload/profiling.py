@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from packwright.operators import duplicates, outliers, profile
+from packwright.operators import consistency, duplicates, outliers, profile
 from packwright.plans.validate import union_all
 from workload.registry import query, table
 
@@ -10,15 +10,15 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
           "documents", "embeddings", "pages", "benchmark", "labels", "conversations"]
 COLUMN_COUNTS = [2, 3, 5, 4, 6, 6, 11, 6, 5, 3, 3, 2, 3, 4]
 
-LABELLED = ["doc_id", "lang", "source", "n_chars", "quality", "toxic"]
-LABELLED_SQL = ("labelled AS (SELECT d.doc_id, d.lang, d.source, d.n_chars, l.quality, l.toxic "
+LABELLED = ["doc_id", "text", "lang", "source", "n_chars", "quality", "toxic"]
+LABELLED_SQL = ("labelled AS (SELECT d.doc_id, d.text, d.lang, d.source, d.n_chars, l.quality, l.toxic "
                 "FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id)")
 
 
 def labelled(spark, sf_dir):
     """Documents with their labels; most have none."""
     labels = table(spark, sf_dir, "labels")
-    return table(spark, sf_dir, "documents").drop("text").join(labels, "doc_id", "left").select(
+    return table(spark, sf_dir, "documents").join(labels, "doc_id", "left").select(
         *LABELLED)
 
 
@@ -79,6 +79,20 @@ def duplicate_profile(spark, sf_dir):
     ])
 
 
+_WHOLE = ["part", "lineitem", "documents", "labels"]
+
+
+@query("duplicate_rows", " UNION ALL ".join(f"""
+SELECT '{t}' AS dataset, CAST(sum(n) AS BIGINT) AS rows, count(*) AS distinct_rows,
+  CAST(sum(n - 1) AS BIGINT) AS duplicates
+FROM (SELECT count(*) AS n FROM (SELECT {t} AS r FROM {t}) GROUP BY r)""" for t in _WHOLE))
+def duplicate_rows(spark, sf_dir):
+    """Repeated rows of whole tables."""
+    return union_all([
+        duplicates.duplicate_profile(table(spark, sf_dir, t)).withColumn("dataset", F.lit(t)) for t in _WHOLE
+    ]).select("dataset", "rows", "distinct_rows", "duplicates")
+
+
 @query("flag_duplicates", """
 SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS is_duplicate
 FROM documents""")
@@ -87,16 +101,22 @@ def flag_duplicates(spark, sf_dir):
     return duplicates.flag_duplicates(docs, "doc_id", ["text"]).select("doc_id", "is_duplicate")
 
 
-_SAMPLED = ["c_name", "c_nationkey", "c_mktsegment"]
+_SAMPLED = {"c_name": "c_name", "c_nationkey": "c_nationkey", "c_mktsegment": "c_mktsegment",
+            "c_acctbal": "CAST(c_acctbal AS DECIMAL(15, 2))"}
+
+
+def customers(spark, sf_dir):
+    """Customers with the balance as a decimal, which reads alike everywhere."""
+    return table(spark, sf_dir, "customer").withColumn("c_acctbal", F.col("c_acctbal").cast("decimal(15,2)"))
 
 
 @query("column_samples", " UNION ALL ".join(f"""
 SELECT * FROM (SELECT '{c}' AS "column",
   CAST(row_number() OVER (ORDER BY c_custkey) AS INTEGER) AS ordinal,
-  c_custkey AS row_id, CAST({c} AS VARCHAR) AS value
-FROM customer WHERE {c} IS NOT NULL) WHERE ordinal <= 10""" for c in _SAMPLED))
+  c_custkey AS row_id, CAST({v} AS VARCHAR) AS value
+FROM customer WHERE {c} IS NOT NULL) WHERE ordinal <= 10""" for c, v in _SAMPLED.items()))
 def column_samples(spark, sf_dir):
-    return profile.column_samples(table(spark, sf_dir, "customer"), "c_custkey", _SAMPLED)
+    return profile.column_samples(customers(spark, sf_dir), "c_custkey", list(_SAMPLED))
 
 
 def _fence_sql(tab: str, value: str, by: str) -> str:
@@ -132,12 +152,28 @@ SELECT 'documents' AS dataset, 'nulls' AS "check", "column" AS subject, 'info' A
   || CASE WHEN null_fraction > 0.2 THEN ' (exceeds recommended max: 20.0%)' ELSE '' END AS message
 FROM prof WHERE nulls > 0
 UNION ALL SELECT 'documents', 'shape', NULL, 'info',
-  'Dataset has ' || count(*) || ' rows and 6 columns' FROM labelled
-UNION ALL SELECT 'documents', 'duplicates', NULL, 'info', d || ' duplicate rows found' FROM (
-  SELECT CAST(sum(n - 1) AS BIGINT) AS d FROM (
-    SELECT count(*) AS n FROM labelled GROUP BY doc_id, lang, source, n_chars, quality, toxic)) WHERE d > 0""")
+  'Dataset has ' || count(*) || ' rows and 7 columns' FROM labelled
+UNION ALL SELECT dataset, 'duplicates', NULL, 'info', d || CASE WHEN d > 0.05 * n
+  THEN ' duplicate rows (' || share || '%) exceeds recommended threshold (5.0%)'
+  ELSE ' duplicate rows found (' || share || '%)' END
+FROM (SELECT *, printf('%.1f', floor(1000.0 * d / n + 0.5) / 10) AS share FROM (
+  SELECT 'documents' AS dataset, CAST(sum(k - 1) AS BIGINT) AS d, sum(k) AS n FROM (
+    SELECT count(*) AS k FROM labelled GROUP BY doc_id, text, lang, source, n_chars, quality, toxic)
+  UNION ALL SELECT 'texts', CAST(sum(k - 1) AS BIGINT), sum(k) FROM (
+    SELECT count(*) AS k FROM documents GROUP BY text, lang)
+  UNION ALL SELECT 'events', CAST(sum(k - 1) AS BIGINT), sum(k) FROM (
+    SELECT count(*) AS k FROM events GROUP BY user_id, event_type))) WHERE d > 0
+UNION ALL SELECT 'texts', 'shape', NULL, 'info', 'Dataset has ' || count(*) || ' rows and 2 columns' FROM documents
+UNION ALL SELECT 'events', 'shape', NULL, 'info', 'Dataset has ' || count(*) || ' rows and 2 columns' FROM events
+UNION ALL SELECT 'events', 'inconsistencies', NULL, 'info', 'Found ' || n || ' type inconsistencies' FROM (
+  SELECT count(*) - max(k) AS n, count(*) AS total FROM (SELECT count(*) OVER (PARTITION BY event_id % 10 = 0) AS k FROM events)) WHERE n > 0""")
 def quality_info(spark, sf_dir):
-    df = labelled(spark, sf_dir)
-    name = F.lit("documents")
-    return profile.quality_info(profile.null_profile(df).withColumn("dataset", name),
-                                duplicates.duplicate_profile(df).withColumn("dataset", name))
+    tables = {"documents": labelled(spark, sf_dir),
+              "texts": table(spark, sf_dir, "documents").select("text", "lang"),
+              "events": table(spark, sf_dir, "events").select("user_id", "event_type")}
+    raw = table(spark, sf_dir, "events").select(
+        "event_id", F.when(F.col("event_id") % 10 == 0, "n/a").otherwise(F.col("user_id").cast("string")).alias("code"))
+    mixed = consistency.mixed_type_columns(consistency.type_tally(
+        consistency.typed_cells(raw, "event_id", ["code"]))).withColumn("dataset", F.lit("events"))
+    named = lambda f: union_all([f(df).withColumn("dataset", F.lit(k)) for k, df in tables.items()])
+    return profile.quality_info(named(profile.null_profile), named(duplicates.duplicate_profile), mixed)

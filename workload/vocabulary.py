@@ -80,7 +80,7 @@ def mapping_report(spark, sf_dir):
 
 @query("build_fields", f"""WITH {_COLUMNS_SQL}, {_MAPPED_SQL}, {_DESCRIBED_SQL},
 labels AS (SELECT DISTINCT 'http://v/unit/' || p_brand AS id, 'unit of ' || p_brand AS label FROM part
-  WHERE p_brand < 'Brand#2')
+  WHERE CAST(right(p_brand, 1) AS INTEGER) % 2 = 1)
 SELECT m.dataset, m.pos, m."column" AS name, m.field_type AS type,
   coalesce(d.description, 'Column from Sheet 1') AS description,
   CASE WHEN is_numeric THEN coalesce(l.label, string_split(m.unit_id, '/')[-1], 'NUM') END AS unit_name,
@@ -91,7 +91,7 @@ SELECT m.dataset, m.pos, m."column" AS name, m.field_type AS type,
 FROM mapped m LEFT JOIN descr d ON d.dataset = m.dataset AND d."column" = m."column"
 LEFT JOIN labels l ON l.id = m.unit_id""")
 def build_fields(spark, sf_dir):
-    labels = table(spark, sf_dir, "part").where(F.col("p_brand") < "Brand#2").select(
+    labels = table(spark, sf_dir, "part").where(F.right("p_brand", F.lit(1)).cast("int") % 2 == 1).select(
         F.concat(F.lit("http://v/unit/"), "p_brand").alias("id"),
         F.concat(F.lit("unit of "), "p_brand").alias("label")).distinct()
     return vocab.build_fields(_mapped(spark, sf_dir), labels, part_descriptions(spark, sf_dir),
@@ -168,20 +168,22 @@ def label_lookup(spark, sf_dir):
     return vocab.label_lookup(wanted, cache)
 
 
-@query("suggest_concepts", """WITH concepts AS (
+_SUGGEST_SQL = """WITH concepts AS (
   SELECT DISTINCT 'p/' || p_name AS id, p_name AS label FROM part
   UNION SELECT DISTINCT 't/' || p_type, p_type FROM part
   UNION SELECT DISTINCT 'n/' || p_name || '/' || p_type, p_type || ' ' || p_name FROM part),
 words AS (SELECT id, label, unnest(string_split(lower(label), ' ')) AS word FROM concepts),
 asked AS (SELECT DISTINCT p_name AS "column", split_part(p_name, ' ', 1) AS word FROM part
-  UNION SELECT DISTINCT left(p_type, 3), lower(left(p_type, 3)) FROM part),
+  UNION SELECT DISTINCT {asked}, lower({word}) FROM part),
 hits AS (SELECT a."column", w.id, w.label, max(CASE WHEN lower(w.label) = a.word THEN 3
   WHEN w.word = a.word THEN 2 ELSE 1 END) AS score
 FROM asked a JOIN words w ON starts_with(w.word, a.word) GROUP BY ALL)
 SELECT "column", CAST(ordinal AS INTEGER) AS ordinal, id, label, score FROM (
   SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY score DESC, label, id) AS ordinal FROM hits)
-WHERE ordinal <= 5""")
-def suggest_concepts(spark, sf_dir):
+WHERE ordinal <= 5"""
+
+
+def _suggested(spark, sf_dir, asked, min_letters):
     part = table(spark, sf_dir, "part")
 
     def concepts(id_, label):
@@ -195,8 +197,20 @@ def suggest_concepts(spark, sf_dir):
                               F.concat(kind, F.lit(" "), name)))
         .distinct()
     )
-    asked = part.select(name.alias("c")).union(part.select(F.substring(kind, 1, 3)))
-    return vocab.suggest_concepts(asked, vocabulary, "c", "en")
+    queries = part.select(name.alias("c")).union(part.select(asked(kind)))
+    return vocab.suggest_concepts(queries, vocabulary, "c", "en", min_letters=min_letters)
+
+
+@query("suggest_concepts", _SUGGEST_SQL.format(asked="p_type", word="split_part(p_type, ' ', 1)"))
+def suggest_concepts(spark, sf_dir):
+    """For whole names of columns."""
+    return _suggested(spark, sf_dir, lambda kind: kind, 1)
+
+
+@query("suggest_typed", _SUGGEST_SQL.format(asked="left(p_type, 3)", word="left(p_type, 3)"))
+def suggest_typed(spark, sf_dir):
+    """For the first letters that a user has typed."""
+    return _suggested(spark, sf_dir, lambda kind: F.substring(kind, 1, 3), 2)
 
 
 @query("concept_definition", """SELECT source, text FROM (SELECT *, row_number() OVER (
