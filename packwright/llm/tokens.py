@@ -12,6 +12,7 @@ import json
 import posixpath
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from packwright.llm.common import materialize, pieces, starts_of, take_runs, worker_cache
+from packwright.llm.common import PIECE_CHARS, materialize, pieces, starts_of, take_runs, worker_cache
 from packwright.session import shared_dir
 
 MAGIC = b"TOKIDS01"
@@ -33,7 +34,7 @@ SELECT_STEP = 256
 #: A file is closed when it holds so many ids.
 FILE_IDS = 1 << 24
 #: Words whose ids a worker keeps for later texts; others are encoded again.
-KEPT_WORDS = 400_000
+KEPT_WORDS = 300_000
 
 
 @dataclass
@@ -144,6 +145,19 @@ class TokenFile:
         return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
 
 
+def _raw(ids: list[int]) -> bytes:
+    """Ids as they are kept: a fraction of the memory of a list."""
+    return array("I", ids).tobytes()
+
+
+class _Places(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class WordTokenizer:
     """The tokenizers library over whole texts, one call for each distinct word.
 
@@ -158,48 +172,64 @@ class WordTokenizer:
         one = lambda t: self.whole.encode(t, add_special_tokens=False).ids
         self.split = all(one(p) == [i for w in p.split(" ") for i in one(w)] and one(p.replace(" ", "\n")) == one(p)
                          for p in self.PROBES)
-        # Words of small Latin letters need no normalising, if that is what the model itself is given.
-        model = self.whole.model
-        self.bare = (lambda w: [t.id for t in model.tokenize(w)])
-        self.fold = self.split and all(
-            one(w) == self.bare(w.lower()) and one(w + s) == self.bare(w.lower()) + one(s)
-            for w in ("Ab", "the", "WORDS", "xyzzyq", "Nt") for s in (".", ",", "!!", "?;"))
-        self.words: dict[str, tuple[int, ...]] = {}
-
-    def _ids(self, words: list[str]) -> list[tuple[int, ...]]:
-        out: list = [None] * len(words)
+        # Words of common Latin letters need no normalising beyond lower case, so the model can be asked
+        # at once, if that gives what the tokenizer gives; letters are written as the model knows them.
+        seen = {c: "".join(t for t, _ in self.whole.pre_tokenizer.pre_tokenize_str(c)) for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
+        self.letters = str.maketrans(seen)
+        self.model = self.whole.model
+        self.words: dict[str, bytes] = {}
+        self.fold = False
+        probes = [w + s for w in ("Ab", "the", "WORDS", "xyzzyq", "Été", "ñandú", "Straße", "ÄÖÜ") for s in ("", ".", ",", "!!", "?;")]
+        self.fold = self.split and all(self._apart(w) == _raw(one(w)) for w in probes)
+        self.words.clear()
+
+    def _apart(self, word: str) -> bytes | None:
+        """Ids of a word of common Latin letters with the marks behind it, None for any other."""
+        core = word.rstrip(".,!?;:")
+        if not core.isalpha() or not (core.isascii() or max(core) <= "ÿ"):
+            return None
+        low = core.lower()
+        ids = self.words.get(low)
+        if ids is None:
+            ids = self._keep(low, _raw([t.id for t in self.model.tokenize(low if low.isascii() else low.translate(self.letters))]))
+        if len(core) == len(word):
+            return ids
+        tail = word[len(core):]
+        marks = self.words.get(tail)
+        if marks is None:
+            marks = self._keep(tail, _raw(self.whole.encode(tail, add_special_tokens=False).ids))
+        return ids + marks
+
+    def _keep(self, word: str, ids: bytes) -> bytes:
+        if len(self.words) < KEPT_WORDS:
+            self.words[word] = ids
+        return ids
+
+    def _ids(self, words: list[str]) -> list[bytes]:
+        out = list(map(self.words.get, words))
         rest = []
-        for n, w in enumerate(words):
-            core = w.rstrip(".,!?;:") if self.fold else ""
-            if core and core.isascii() and core.isalpha():
-                tail = w[len(core):]
-                out[n] = (*self._core(core.lower()), *(self._core(tail, False) if tail else ()))
-            else:
+        for n in [n for n, ids in enumerate(out) if ids is None]:
+            ids = self._apart(words[n]) if self.fold else None
+            if ids is None:
                 rest.append(n)
+            else:
+                out[n] = self._keep(words[n], ids)
         if rest:
             for n, e in zip(rest, self.whole.encode_batch_fast([words[n] for n in rest], add_special_tokens=False)):
-                out[n] = tuple(e.ids)
+                out[n] = self._keep(words[n], _raw(e.ids))
         return out
 
-    def _core(self, word: str, bare: bool = True) -> tuple[int, ...]:
-        found = self.words.get((word, bare))
-        if found is None:
-            found = tuple(self.bare(word) if bare else self.whole.encode(word, add_special_tokens=False).ids)
-            if len(self.words) < KEPT_WORDS:
-                self.words[word, bare] = found
-        return found
-
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of each text, flat, and where each text's begin (with the end)."""
-        place: dict[str, int] = {}
+        place = _Places()
         word, counts = [], []
         for t in texts:
             found = t.replace("\n", " ").split(" ") if self.split else [t]
             counts.append(len(found))
-            word += [place.setdefault(w, len(place)) for w in found]
+            word += map(place.__getitem__, found)
         ids = self._ids(list(place))
-        size = np.array([len(i) for i in ids], np.int64)
-        store = np.fromiter((i for own in ids for i in own), np.uint32, int(size.sum()))
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        store = np.frombuffer(b"".join(ids), np.uint32)
         word = np.array(word, np.int64)
         lengths = size[word]
         flat = store[take_runs((np.cumsum(size) - size)[word], lengths)]
@@ -255,7 +285,7 @@ def write(df: DataFrame, folder: str, path: str, key: str = "doc_id", text: str
         schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            for at, texts in pieces(batch.column("text").to_pylist()):
+            for at, texts in pieces(batch.column("text").to_pylist(), 2 * PIECE_CHARS):
                 flat, starts = own.encode(texts)
                 ends = starts[1:]
                 held.append((keys[at:at + len(texts)], np.insert(flat, ends, end_id), np.diff(starts) + 1))
