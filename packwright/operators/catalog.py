@@ -40,20 +40,46 @@ DESCRIPTOR = (
 METADATA_KEYS = [r.key for r in S.METADATA_REQUIRED + S.METADATA_RECOMMENDED]
 
 
-def parse_descriptors(df: DataFrame, json: str) -> DataFrame:
-    """Add ``descriptor`` and ``key_types`` (value type name per present key) from JSON text."""
-    document = F.try_parse_json(F.col(json))
+RESOURCE_KEYS = [r.key for r in S.RESOURCE_REQUIRED]
+
 
+def _value_types(document: Column, keys: list[str]) -> Column:
+    """Map from each present key of a VARIANT object to the name of its value's type."""
     def type_name(key: str) -> Column:
         value = F.try_variant_get(document, f"$.{key}", "variant")
         return F.when(value.isNotNull(), F.coalesce(variant_value_type(value), F.lit("NoneType")))
 
-    pairs = F.array(*[
-        F.struct(F.lit(key).alias("key"), type_name(key).alias("value")) for key in METADATA_KEYS
-    ])
-    present = F.filter(pairs, lambda p: p["value"].isNotNull())
-    return df.withColumn("descriptor", F.from_json(json, DESCRIPTOR)).withColumn(
-        "key_types", F.map_from_entries(present))
+    pairs = F.array(*[F.struct(F.lit(key).alias("key"), type_name(key).alias("value")) for key in keys])
+    return F.map_from_entries(F.filter(pairs, lambda p: p["value"].isNotNull()))
+
+
+def _read_unit(unit: Column) -> Column:
+    """A unit given as an object, or as a text that is its name."""
+    none = F.lit(None).cast("string")
+    return F.when(unit.startswith("{"), F.from_json(unit, UNIT)).when(
+        unit.isNotNull(), F.struct(unit.alias("name"), none.alias("longName"), none.alias("path")))
+
+
+def read_descriptor_json(json: Column) -> Column:
+    """A descriptor as a struct from JSON text, with units of either form."""
+    d = F.from_json(json, DESCRIPTOR.replace(f"unit:{UNIT}", "unit:string"))
+    fields = lambda s: F.transform(s["fields"], lambda f: f.withField("unit", _read_unit(f["unit"])))
+    return d.withField("resources", F.transform(
+        d["resources"], lambda r: r.withField("schema", r["schema"].withField("fields", fields(r["schema"])))))
+
+
+def parse_descriptors(df: DataFrame, json: str) -> DataFrame:
+    """Add ``descriptor``, ``key_types`` and ``resource_types`` from JSON text.
+
+    Types are names of value types by present key, of the descriptor and of each resource.
+    """
+    document = F.try_parse_json(F.col(json))
+    resources = F.try_variant_get(document, "$.resources", "array<variant>")
+    return (
+        df.withColumn("descriptor", read_descriptor_json(F.col(json)))
+        .withColumn("key_types", _value_types(document, METADATA_KEYS))
+        .withColumn("resource_types", F.transform(resources, lambda r: _value_types(r, RESOURCE_KEYS)))
+    )
 
 
 # ------------------------------------------------------------------ findings
@@ -277,17 +303,38 @@ def _no_finding() -> Column:
     return _finding(F.lit(False), "", "", "", "", "")
 
 
-def each_resource(d: Column, rule: Callable[[Column], Column]) -> Column:
-    """Findings of a rule on every resource; the resource is named in ``scope``."""
+def each_resource(d: Column, rule: Callable[[Column], Column], resource_types: Column | None = None) -> Column:
+    """Findings of a rule on every resource; the resource is named in ``scope``.
+
+    With the types of its values, rules on texts say nothing about a value that is none.
+    """
     def labelled(r: Column, i: Column) -> Column:
         label = F.concat(F.lit("Resource '"),
                          F.coalesce(r["name"], F.concat(F.lit("resource_"), i.cast("string"))),
                          F.lit("'"))
-        return F.transform(rule(r), lambda f: f.withField("scope", label))
+        found = rule(r)
+        if resource_types is not None:
+            own = F.get(resource_types, i)
+            found = F.filter(found, lambda f: (f["scope"] != "resource") | ~f["subject"].isin(RESOURCE_KEYS)
+                             | (F.coalesce(F.try_element_at(own, f["subject"]), F.lit("str")) == "str"))
+        return F.transform(found, lambda f: f.withField("scope", label))
 
     return F.coalesce(F.flatten(F.transform(d["resources"], labelled)), _list([_no_finding()]))
 
 
+def resource_type_findings(d: Column, resource_types: Column) -> Column:
+    """Errors for required keys of a resource whose value is no text."""
+    def of(types: Column, i: Column) -> Column:
+        name = F.get(d["resources"], i)["name"]
+        label = F.concat(F.lit("Resource '"), F.coalesce(name, F.concat(F.lit("resource_"), i.cast("string"))), F.lit("'"))
+        return _list([
+            _finding(F.try_element_at(types, F.lit(key)) != "str", "resource", key, "resource_type", "error",
+                     F.concat(F.lit("Expected string, got "), types[key])).withField("scope", label)
+            for key in RESOURCE_KEYS])
+
+    return F.coalesce(F.flatten(F.transform(resource_types, of)), _list([_no_finding()]))
+
+
 def each_field(rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
     """A resource rule that applies a field rule to every field."""
     return lambda r: F.coalesce(
@@ -295,10 +342,17 @@ def each_field(rule: Callable[[Column], Column]) -> Callable[[Column], Column]:
 
 
 def descriptor_findings(d: Column, key_types: Column | None = None,
-                        check_recommended_values: bool = False) -> Column:
-    """All findings on a descriptor: its own keys first, then its resources in order."""
-    return F.concat(metadata_findings(d, key_types, check_recommended_values),
-                    each_resource(d, resource_findings))
+                        check_recommended_values: bool = False,
+                        resource_types: Column | None = None) -> Column:
+    """All findings on a descriptor: its own keys first, then its resources in order.
+
+    The types are those of ``parse_descriptors``; without them values count as of the right type.
+    """
+    parts = [metadata_findings(d, key_types, check_recommended_values),
+             each_resource(d, resource_findings, resource_types)]
+    if resource_types is not None:
+        parts.append(resource_type_findings(d, resource_types))
+    return F.concat(*parts)
 
 
 def strict_rules(d: Column) -> Column:

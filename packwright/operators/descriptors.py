@@ -127,43 +127,44 @@ def parse_metadata_config(json: Column) -> Column:
     return F.from_json(json, METADATA_CONFIG)
 
 
-def config_compatibility(mappings: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
-    """``key, ok, message, name_hint`` for pairs of configurations of one dataset.
+def compatibility(mapping: Column, metadata: Column) -> Column:
+    """struct(ok, message, name_hint) of a mapping and a metadata configuration of one dataset.
 
     Versions must be equal. ``name_hint`` is true when the package name does
     not occur in the file name, which is only a warning.
     """
-    left = mappings.select(key, F.col("mapping.version").alias("mv"),
-                           F.col("mapping.file_info.original_file").alias("file"))
-    right = metadata.select(key, F.col("metadata.version").alias("nv"),
-                            F.col("metadata.package.name").alias("package"))
-    mv, nv = (F.coalesce(c, F.lit("unknown")) for c in ("mv", "nv"))
+    mv, nv = (F.coalesce(c["version"], F.lit("unknown")) for c in (mapping, metadata))
+    file, package = mapping["file_info"]["original_file"], metadata["package"]["name"]
     message = F.when(mv != nv, F.concat(
         F.lit("Config version mismatch: mapping="), mv, F.lit(", metadata="), nv)).otherwise("")
-    named = (F.coalesce("package", F.lit("")) != "") & F.col("file").isNotNull()
-    return left.join(right, key).select(
-        key, (message == "").alias("ok"), message.alias("message"),
-        (named & ~F.coalesce(F.contains(F.lower("file"), F.lower("package")), F.lit(False))
-         ).alias("name_hint"))
+    named = (F.coalesce(package, F.lit("")) != "") & file.isNotNull()
+    return F.struct(
+        (message == "").alias("ok"), message.alias("message"),
+        (named & ~F.coalesce(F.contains(F.lower(file), F.lower(package)), F.lit(False))).alias("name_hint"))
 
 
-def column_mappings(df: DataFrame, key: str, mapping: str = "mapping") -> DataFrame:
-    """``key, column, concept_id, unit_id`` rows of mapping configurations.
+def config_compatibility(mappings: DataFrame, metadata: DataFrame, key: str) -> DataFrame:
+    """``key, ok, message, name_hint`` where the configurations are in tables of their own."""
+    return mappings.select(key, "mapping").join(metadata.select(key, "metadata"), key).select(
+        key, F.inline(F.array(compatibility(F.col("mapping"), F.col("metadata")))))
+
+
+def column_entries(mapping: Column) -> Column:
+    """Array of struct(column, concept_id, unit_id) of a mapping configuration.
 
-    An entry ``<column>_unit`` gives the unit of ``<column>`` when that column
-    is mapped too or not; one row per column results.
+    An entry ``<column>_unit`` gives the unit of ``<column>``, whether that column
+    is mapped too or not; there is one struct per column.
     """
-    entries = df.select(key, F.explode(f"{mapping}.column_mappings").alias("name", "iri"))
-    is_unit = F.col("name").endswith("_unit")
-    return (
-        entries.select(
-            key,
-            F.when(is_unit, F.regexp_replace("name", "_unit$", "")).otherwise(F.col("name"))
-            .alias("column"), is_unit.alias("unit"), "iri")
-        .groupBy(key, "column")
-        .agg(F.max(F.when(~F.col("unit"), F.col("iri"))).alias("concept_id"),
-             F.max(F.when(F.col("unit"), F.col("iri"))).alias("unit_id"))
-    )
+    iris = mapping["column_mappings"]
+    columns = F.array_distinct(F.transform(F.map_keys(iris), lambda n: F.regexp_replace(n, "_unit$", "")))
+    return F.transform(columns, lambda c: F.struct(
+        c.alias("column"), F.when(~c.endswith("_unit"), F.try_element_at(iris, c)).alias("concept_id"),
+        F.try_element_at(iris, F.concat(c, F.lit("_unit"))).alias("unit_id")))
+
+
+def column_mappings(df: DataFrame, key: str, mapping: str = "mapping") -> DataFrame:
+    """``key, column, concept_id, unit_id`` rows of mapping configurations, from within each row."""
+    return df.select(key, F.inline(column_entries(F.col(mapping))))
 
 
 def file_info(df: DataFrame, key: str, mapping: str = "mapping") -> DataFrame:

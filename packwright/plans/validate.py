@@ -231,7 +231,7 @@ def validate_all(datasets: list[Dataset], parity: bool = False) -> tuple[DataFra
     described = descriptor_table(datasets)
     meta = catalog.explode_findings(
         described, "dataset",
-        catalog.descriptor_findings(F.col("descriptor"), F.col("key_types")))
+        catalog.descriptor_findings(F.col("descriptor"), F.col("key_types"), resource_types=F.col("resource_types")))
     findings = meta.select(*FINDING_COLUMNS).unionByName(data_findings(datasets, parity))
     return findings, catalog.compliance_level(findings, described)
 

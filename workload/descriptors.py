@@ -397,6 +397,29 @@ def meta_type(spark, sf_dir):
     return found.where(F.col("check") == "meta_type").select("dataset", "subject", "message")
 
 
+@query("resource_types", """WITH j AS (SELECT p_partkey AS dataset, p_partkey % 4 AS k FROM part)
+SELECT dataset, 'Resource ''' || CASE k WHEN 0 THEN '7' ELSE 'data' END || '''' AS scope, CASE k WHEN 0 THEN 'name'
+    WHEN 1 THEN 'path' ELSE 'format' END AS subject, 'Expected string, got ' || CASE k WHEN 0 THEN 'int'
+    WHEN 1 THEN 'list' ELSE 'bool' END AS message FROM j WHERE k < 3
+UNION ALL SELECT dataset, 'Resource ''' || CASE k WHEN 0 THEN '7' ELSE 'data' END || '''', 'size',
+  'Numeric fields MUST have units specified' FROM j WHERE dataset % 3 = 0""")
+def resource_types(spark, sf_dir):
+    """Values of the wrong type below the top level, and units as text, in catalogues of JSON."""
+    key = F.col("p_partkey")
+    k = key % 4
+    unit = F.when(key % 3 == 1, ', "unit": "cm"').when(key % 3 == 2, ', "unit": {"name": "cm"}').otherwise("")
+    docs = table(spark, sf_dir, "part").select(key.alias("dataset"), F.concat(
+        F.lit('{"resources": [{"name": '), F.when(k == 0, "7").otherwise('"data"'), F.lit(', "path": '),
+        F.when(k == 1, '["a"]').otherwise('"data.parquet"'), F.lit(', "format": '), F.when(k == 2, "true").otherwise('"parquet"'),
+        F.lit(', "schema": {"fields": [{"name": "size", "type": "integer", "description": "Size"'), unit,
+        F.lit("}]}}]}")).alias("json"))
+    parsed = catalog.parse_descriptors(docs, "json")
+    found = catalog.explode_findings(parsed, "dataset", catalog.descriptor_findings(
+        F.col("descriptor"), F.col("key_types"), resource_types=F.col("resource_types")))
+    return found.where((F.col("severity") == "error") & (F.col("scope") != "metadata")).select(
+        "dataset", "scope", "subject", "message")
+
+
 # ------------------------------------------------------- building and configs
 @query("descriptor_build", f"""WITH {_BASE}
 SELECT dataset, CASE
@@ -476,10 +499,9 @@ def config_check(spark, sf_dir):
         descriptors.metadata_config_check(F.col("metadata_json"))["ok"].alias("metadata_ok"),
         descriptors.parse_mapping_config(F.col("mapping_json")).alias("mapping"),
         descriptors.parse_metadata_config(F.col("metadata_json")).alias("metadata"))
-    pairs = descriptors.config_compatibility(configs, configs, "c_custkey")
-    return configs.join(pairs, "c_custkey").select(
+    return configs.withColumn("v", descriptors.compatibility(F.col("mapping"), F.col("metadata"))).select(
         "c_custkey", F.col("a.ok").alias("mapping_ok"), F.col("a.message").alias("mapping_message"),
-        "metadata_ok", F.col("ok").alias("compatible"), "message", "name_hint")
+        "metadata_ok", F.col("v.ok").alias("compatible"), "v.message", "v.name_hint")
 
 
 @query("config_split", """WITH c AS (SELECT * FROM customer WHERE c_custkey % 10 <> 9 AND c_custkey % 4 <> 0)
@@ -492,11 +514,9 @@ def config_split(spark, sf_dir):
         "c_custkey", descriptors.parse_mapping_config(F.col("mapping_json")).alias("mapping"),
         descriptors.general_details(descriptors.parse_metadata_config(F.col("metadata_json")))
         .alias("details"))
-    return (
-        descriptors.column_mappings(configs, "c_custkey")
-        .join(descriptors.file_info(configs, "c_custkey"), "c_custkey")
-        .join(configs.select("c_custkey", F.col("details.title").alias("title")), "c_custkey")
-    )
+    return configs.select(
+        "c_custkey", F.inline(descriptors.column_entries(F.col("mapping"))), "mapping.file_info.original_file",
+        "mapping.file_info.sheet_name", F.col("details.title").alias("title"))
 
 
 @query("config_build", """SELECT c_custkey, 'mapping' AS mapping_type, lower(c_name) || '.csv' AS original_file,
