@@ -6,11 +6,12 @@ import datetime
 import json
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from packwright import standard as S
-from packwright.operators import catalog, consistency, descriptors, schema_match, vocab
+from packwright.operators import catalog, descriptors, schema_match, vocab
+from packwright.operators.constraints import Constraint
 from packwright.plans.validate import Dataset, validate_all
 from packwright.session import local_table
 from packwright.sources.package import pack_write
@@ -39,9 +40,12 @@ def resource_name(file_name: str, sheet_name: str) -> str:
 def build_descriptor(df: DataFrame, mappings: dict[str, str], details: dict, file_name: str,
                      sheet_name: str, labels: dict[str, str] | None = None,
                      descriptions: dict[str, str] | None = None,
-                     raw_columns: tuple[str, ...] = ()) -> dict:
+                     raw_columns: tuple[str, ...] = (), constraints: tuple[Constraint, ...] = (),
+                     primary_key: tuple[str, ...] = ()) -> dict:
     """The descriptor of a package; raises ``ExportRefused`` if it cannot be built.
 
+    Constraints go into the field definitions and the key into the schema.
+
     Only the schema of the table is looked at, so all lists are as long as the
     table is wide.
     """
@@ -53,20 +57,26 @@ def build_descriptor(df: DataFrame, mappings: dict[str, str], details: dict, fil
         mapped, local_table(spark, list((labels or {}).items()), LABEL_SCHEMA),
         local_table(spark, [("_", k, v) for k, v in (descriptions or {}).items()],
                             DESCRIPTION_SCHEMA), sheet_name)
+    rules: dict[str, dict] = {}
+    for c in constraints:
+        rules.setdefault(c.column, {}).update({k: v for k, v in (
+            ("required", c.required), ("unique", c.unique), ("minimum", c.minimum),
+            ("maximum", c.maximum), ("pattern", c.pattern), ("enum", list(c.enum))) if v not in (None, False, [])})
     fields = []
     for r in sorted(rows.collect(), key=lambda r: r.pos):
         unit = {k: v for k, v in (("name", r.unit_name), ("longName", r.unit_long_name),
                                   ("path", r.unit_path)) if v}
         fields.append({k: v for k, v in (
             ("name", r.name), ("type", r.type), ("description", r.description), ("unit", unit),
-            ("rdfType", r.rdf_type), ("taxonomyUrl", r.taxonomy_url)) if v})
+            ("rdfType", r.rdf_type), ("taxonomyUrl", r.taxonomy_url),
+            ("constraints", rules.get(r.name))) if v})
     name = resource_name(file_name, sheet_name)
     resource = {
         "name": name, "path": f"{name}.parquet", "title": details.get("title", file_name),
         "description": details.get("description", f"Data from {sheet_name}"),
         "format": S.PREFERRED_FORMAT, "mediatype": "application/vnd.apache.parquet",
         "encoding": S.DEFAULT_ENCODING, "profile": "tabular-data-resource",
-        "schema": {"fields": fields},
+        "schema": {"fields": fields, **({"primaryKey": list(primary_key)} if primary_key else {})},
     }
     given = local_table(
         spark, [(json.dumps(details), json.dumps([resource]))],
@@ -84,27 +94,27 @@ def build_descriptor(df: DataFrame, mappings: dict[str, str], details: dict, fil
 def export_package(df: DataFrame, mappings: dict[str, str], details: dict, file_name: str,
                    sheet_name: str, path: str, labels: dict[str, str] | None = None,
                    descriptions: dict[str, str] | None = None, row_id: str | None = None,
-                   raw_columns: tuple[str, ...] = ()) -> tuple[str, str, DataFrame]:
+                   raw_columns: tuple[str, ...] = (), constraints: tuple[Constraint, ...] = (),
+                   primary_key: tuple[str, ...] = (),
+                   rules: tuple[tuple[str, str, Column], ...] = ()) -> tuple[str, str, DataFrame]:
     """Run all gates, write the package and return ``(path, level, findings)``.
 
-    Gates: a table with rows and a package name; no raw column of mixed types;
-    a descriptor that can be built; a validation without errors.
+    Gates: a table with rows and a package name; a descriptor that can be built; no raw
+    column of mixed types; a validation without errors. All but the first come from one
+    validation. Constraints and the key are written into the descriptor and enforced; ``rules`` are enforced only.
     """
     if df.isEmpty():
         raise ExportRefused("Validation failed: the table is empty")
-    if raw_columns:
-        cells = consistency.typed_cells(df, row_id, list(raw_columns))
-        mixed = consistency.mixed_type_columns(consistency.type_tally(cells)).collect()
-        if mixed:
-            raise ExportRefused("Data quality issues found that prevent Parquet conversion: "
-                                + "; ".join(r.message for r in mixed))
     descriptor = build_descriptor(df, mappings, details, file_name, sheet_name, labels,
-                                  descriptions, raw_columns)
-    findings, levels = validate_all([Dataset(
-        details["name"], df, descriptor, row_id, raw_columns)])
+                                  descriptions, raw_columns, constraints, primary_key)
+    findings, _ = validate_all([Dataset(
+        details["name"], df, descriptor, row_id, raw_columns, rules=tuple(rules))])
     # A dataset has a bounded number of findings; the level is worked out from one run.
     kept = findings.sparkSession.createDataFrame(findings.collect(), findings.schema)
     errors = kept.where("severity = 'error'").collect()
+    mixed = [r.message for r in errors if r.check == "mixed_types"]
+    if mixed:
+        raise ExportRefused("Data quality issues found that prevent Parquet conversion: " + "; ".join(mixed), kept)
     if errors:
         raise ExportRefused("STANDARD VALIDATION FAILED: " + "; ".join(
             f"[{r.subject}] {r.message}" for r in errors), kept)

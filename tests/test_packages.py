@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from packwright.operators import vocab
+from packwright.operators.constraints import Constraint
 from packwright.plans import ExportRefused, export_package
 from packwright.sources import (
     annotate,
@@ -135,6 +136,23 @@ def test_export(spark, tmp_path):
     assert flow["unit"] == {"name": long_name, "longName": long_name, "path": "http://v/unit/Q"}
 
 
+def test_export_with_constraints(spark, tmp_path):
+    df = spark.createDataFrame([("Ems", 12), ("Oder", 31)], "river string, locks int")
+    rules = (Constraint("locks", required=True, maximum=40), Constraint("river", unique=True, pattern="[A-Z]"))
+
+    def run(**kw):
+        return export_package(df, {"river": "http://v/river"}, DETAILS, "g.csv", "S", str(tmp_path / "g"), **kw)
+
+    path, _, _ = run(constraints=rules, primary_key=("river",))
+    schema = pack_read(spark, path)[1]["resources"][0]["schema"]
+    assert schema["primaryKey"] == ["river"]
+    assert [f["constraints"] for f in schema["fields"]] == [{"unique": True, "pattern": "[A-Z]"}, {"required": True, "maximum": 40.0}]
+    with pytest.raises(ExportRefused, match="maximum"):
+        run(constraints=(Constraint("locks", maximum=20),))
+    with pytest.raises(ExportRefused, match="many locks"):
+        run(rules=(("many locks", "error", F.col("locks") > 30),))
+
+
 def test_export_gates(spark, tmp_path):
     df = spark.createDataFrame([(1, "a"), (2, "1")], "i long, s string")
 
