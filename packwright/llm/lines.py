@@ -59,7 +59,8 @@ def drop_spread_lines(df: DataFrame, text: str = "text", site: str = "source", m
     never counted. A null site is no site. A document that would lose more than ``max_loss`` of the
     characters of its lines is left whole. A null text stays null, an empty one empty. Repeated rows are treated alike; very
     long texts are read whole. An empty table gives none. Columns that ``df`` has besides are kept
-    whatever their names; two are added as a struct ``line_dedup``: n_lines and n_removed (0 for null).
+    whatever their names; two are added as a struct ``line_dedup`` (in place of a column of that name): n_lines and n_removed
+    (0 for null).
     """
     spread = spread_lines(df, text, site, min_sites)
     # Which hashes a text holds depends on the text alone, so equal texts share one entry.
@@ -82,7 +83,7 @@ def drop_spread_lines(df: DataFrame, text: str = "text", site: str = "source", m
     out = out.select("row", F.when(F.col("cut"), F.array_join("tidy", "\n")).otherwise(body).alias("body"),
                      F.when(F.col("cut"), F.size("lines") - F.size("tidy")).otherwise(0).alias("n_removed"))
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(_lines(body)))
-    return out.select(*(F.col("body").alias(text) if c == text else F.col("row")[c].alias(c) for c in df.columns),
+    return out.select(*(F.col("body").alias(text) if c == text else F.col("row")[c].alias(c) for c in df.columns if c != "line_dedup"),
                       F.struct(n_lines.alias("n_lines"), "n_removed").alias("line_dedup"))
 
 
