@@ -15,7 +15,7 @@ from packwright.session import shared_dir
 
 #: Texts are taken from an Arrow batch in pieces of about so many characters, so that
 #: working arrays stay small whatever the size of the batch.
-PIECE_CHARS = 1 << 20
+PIECE_CHARS = 1 << 19
 
 
 def materialize(df: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, MapType, StringType, StructField, StructType
 
 from packwright.llm.chars import code_points, letters, runs
 from packwright.llm.common import pieces
@@ -156,23 +157,29 @@ def mixtures(texts: list[str], model: LanguageModel, penalty: float = PENALTY) -
     return out
 
 
+_RESULT = StructType([StructField("lang_pred", StringType()), StructField("score", DoubleType()),
+                      StructField("proportions", MapType(StringType(), DoubleType()))])
+
+
 def _predict(model: LanguageModel, penalty: float):
     names = np.array([*model.languages, UNKNOWN], object)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            share = np.zeros((0, len(model.languages)))
-            for _, texts in pieces(batch.column("__text").to_pylist()):
-                share = np.vstack([share, mixtures(texts, model, penalty)])
-            known = share.sum(axis=1) > 0
-            top = np.where(known, share.argmax(axis=1) if model.languages else 0, len(model.languages))
-            score = np.where(known, share.max(axis=1) if model.languages else 0.0, 0.0)
-            mix = [{names[j]: float(row[j]) for j in np.flatnonzero(row)} for row in share]
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(c) for c in batch.schema.names if c != "__text"), pa.array(names[top].tolist(), pa.string()),
-                 pa.array(np.minimum(score, 1.0)), pa.array([list(m.items()) for m in mix], pa.map_(pa.string(), pa.float64()))],
-                [*(c for c in batch.schema.names if c != "__text"), "lang_pred", "score", "proportions"])
-    return run
+    def run(column: pa.Array) -> pa.Array:
+        share = np.vstack([np.zeros((0, len(model.languages))),
+                           *(mixtures(texts, model, penalty) for _, texts in pieces(column.to_pylist()))])
+        known = share.sum(axis=1) > 0
+        top = np.where(known, share.argmax(axis=1) if model.languages else 0, len(model.languages))
+        score = np.where(known, share.max(axis=1) if model.languages else 0.0, 0.0)
+        row, language = np.nonzero(share)
+        mix = pa.MapArray.from_arrays(
+            pa.array(np.searchsorted(row, np.arange(len(share) + 1)), pa.int32()),
+            pa.array(names[language].tolist(), pa.string()), pa.array(share[row, language]))
+        return pa.StructArray.from_arrays(
+            [pa.array(names[top].tolist(), pa.string()), pa.array(np.minimum(score, 1.0)), mix], ["lang_pred", "score", "proportions"])
+
+    # Hints are looked at as they are, and this module keeps its own as text.
+    run.__annotations__ = {"column": pa.Array, "return": pa.Array}
+    return F.arrow_udf(run, _RESULT)
 
 
 def identify(df: DataFrame, model: LanguageModel, *keep: str, text: str = "text", penalty: float = PENALTY) -> DataFrame:
@@ -181,13 +188,12 @@ def identify(df: DataFrame, model: LanguageModel, *keep: str, text: str = "text"
     lang_pred is the language with the largest proportion, score that proportion, proportions
     (map) those of the selected set. A null or empty text, one without a letter, or any text under a model without languages is
     ``und`` with score 0 and no proportions. Ties go to the language first in order. Rows are judged one by one, so
-    repeated rows get equal results; very long texts are read whole; an empty table gives no rows.
+    repeated rows get equal results; very long texts are read whole; an empty table gives no rows. Only the text
+    goes to Python and only the verdict comes back.
     """
-    chosen = df.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text).alias("__text"))
-    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in chosen.schema if f.name != "__text")
-    out = chosen.mapInArrow(_predict(model, penalty),
-                            (kinds + ", " if kinds else "") + "lang_pred string, score double, proportions map<string,double>")
-    return out.select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "lang_pred", "score", "proportions")
+    own = df.select(F.struct(*keep).alias("kept") if keep else F.lit(None).alias("kept"),
+                    _predict(model, penalty)(F.col(text)).alias("verdict"))
+    return own.select(*(F.col("kept")[c].alias(c) for c in keep), "verdict.*")
 
 
 def held_out(key: Column, mod: int, rest: int) -> Column:

@@ -21,7 +21,7 @@ from packwright.llm.common import list_array, pieces, starts_of, take_runs, work
 SPACE = "▁"
 UNKNOWN_TEXT = " ⁇ "
 #: Words whose ids a worker keeps for later texts; others are encoded again.
-KEPT_WORDS = 300_000
+KEPT_WORDS = 200_000
 _NONE = np.int32(1 << 30)
 _PROBES = ["", " ", "  a b   c", "Hello, wörld!\n\n\tx", "日本 \U0001d4b3", "aaaaaaaaaaaaaaaa" * 3, " " * 40 + "z", "<s> <0x41> ▁"]
 
@@ -82,7 +82,7 @@ class PieceCodec:
                 self.astral[ord(c)] = i
         # Where no piece goes on with a space after something else, words are encoded on their own.
         self.split = not any(SPACE in p.lstrip(SPACE) for p in normal)
-        self.words: dict[str, tuple[int, ...]] = {}
+        self.words: dict[str, bytes] = {}
         flat, starts = self.encode(_PROBES)
         for i, probe in enumerate(_PROBES):
             if flat[starts[i]:starts[i + 1]].tolist() != model.encode(probe):
@@ -215,12 +215,12 @@ class PieceCodec:
         new = [w for w, ids in zip(place, known) if ids is None]
         flat, starts = self.encode_words(new)
         if len(self.words) + len(new) <= KEPT_WORDS:
-            listed, edges = flat.tolist(), starts.tolist()
-            self.words.update((w, tuple(listed[a:b])) for w, a, b in zip(new, edges, edges[1:]))
+            raw, edges = flat.tobytes(), (4 * starts).tolist()
+            self.words.update((w, raw[a:b]) for w, a, b in zip(new, edges, edges[1:]))
         # Ids of the known words, then those of the new ones.
         had = [ids for ids in known if ids is not None]
-        sizes = np.array([len(ids) for ids in had], np.int64)
-        store = np.concatenate([np.fromiter((i for ids in had for i in ids), np.int32, int(sizes.sum())), flat])
+        sizes = np.fromiter(map(len, had), np.int64, len(had)) // 4
+        store = np.concatenate([np.frombuffer(b"".join(had), np.int32), flat])
         begin, size = np.zeros(len(known), np.int64), np.zeros(len(known), np.int64)
         old = np.array([ids is not None for ids in known], bool)
         begin[old], size[old] = np.cumsum(sizes) - sizes, sizes
@@ -283,12 +283,13 @@ def codec(path: str) -> PieceCodec:
     return kept[path]
 
 
-def encode(df: DataFrame, path: str, *keep: str, text: str = "text") -> DataFrame:
+def encode(df: DataFrame, path: str, *keep: str, text: str = "text", decoded: bool = False) -> DataFrame:
     """The columns ``keep`` of every row of ``df`` with ``ids`` (array of int), as the sentencepiece library encodes the whole
     text with the BPE model in ``path``, without begin and end.
 
     A null text counts as an empty one and has no ids. Repeated rows get equal ids; very long texts and words are read whole; an
-    empty table gives no rows. ``path`` must be there on every executor.
+    empty table gives no rows. ``path`` must be there on every executor. With ``decoded`` the ids are decoded
+    in the same pass, into a column of that name, which spares a second set of Python workers.
     """
     chosen = df.select(*(F.col(c).alias(f"_{i}") for i, c in enumerate(keep)), F.col(text).alias("__text"))
     kinds = "".join(f"{f.name} {f.dataType.simpleString()}, " for f in chosen.schema if f.name != "__text")
@@ -299,11 +300,13 @@ def encode(df: DataFrame, path: str, *keep: str, text: str = "text") -> DataFram
             names = [c for c in batch.schema.names if c != "__text"]
             for at, texts in pieces(batch.column("__text").to_pylist()):
                 flat, starts = own.encode(texts)
+                back = [pa.array(own.decode(flat, starts), pa.string())] if decoded else []
                 yield pa.RecordBatch.from_arrays(
-                    [*(batch.column(c).slice(at, len(texts)) for c in names), list_array(pa.array(flat, pa.int32()), starts)],
-                    [*names, "ids"])
+                    [*(batch.column(c).slice(at, len(texts)) for c in names), list_array(pa.array(flat, pa.int32()), starts), *back],
+                    [*names, "ids", *["decoded"] * decoded])
 
-    return chosen.mapInArrow(run, kinds + "ids array<int>").select(*(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "ids")
+    return chosen.mapInArrow(run, kinds + "ids array<int>" + ", decoded string" * decoded).select(
+        *(F.col(f"_{i}").alias(c) for i, c in enumerate(keep)), "ids", *["decoded"] * decoded)
 
 
 def decode(df: DataFrame, path: str, *keep: str, ids: str = "ids", text: str = "decoded") -> DataFrame:

@@ -88,8 +88,7 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents as SentencePiece ids and back again."""
     path = public_tokenizers.path("piece_bpe_32k.model")
-    ids = piece.encode(table(spark, sf_dir, "documents"), path, "doc_id")
-    return piece.decode(ids, path, "doc_id", "ids").select(
+    return piece.encode(table(spark, sf_dir, "documents"), path, "doc_id", decoded=True).select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))

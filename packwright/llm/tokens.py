@@ -285,7 +285,7 @@ def write(df: DataFrame, folder: str, path: str, key: str = "doc_id", text: str
         schema = pa.schema([("part", pa.int32()), ("number", pa.int32()), ("file", pa.string()), ("docs", pa.int64()), ("ids", pa.int64())])
         for batch in batches:
             keys = batch.column("key").to_pylist()
-            for at, texts in pieces(batch.column("text").to_pylist(), 2 * PIECE_CHARS):
+            for at, texts in pieces(batch.column("text").to_pylist(), 4 * PIECE_CHARS):
                 flat, starts = own.encode(texts)
                 ends = starts[1:]
                 held.append((keys[at:at + len(texts)], np.insert(flat, ends, end_id), np.diff(starts) + 1))
