@@ -170,8 +170,13 @@ def keep_one(df: DataFrame, key: str = "doc_id", text: str = "text") -> DataFram
     Null keys come last; ties go to one text, and of equal rows one stays. Columns are those of ``df``.
     """
     rows = fingerprints(df, key, text)
+    return keep_first(df, rows, _labels(rows), key, text)
+
+
+def keep_first(df: DataFrame, rows: DataFrame, labels: DataFrame, key: str, text: str) -> DataFrame:
+    """The first row of ``df`` of each label, from the fingerprints (key, text_hash, fp) and their labels (fp, label)."""
     first = F.min(F.struct(F.col("key").isNull().alias("none"), "key", "text_hash")).alias("first")
-    per_print = rows.groupBy("fp").agg(first).join(_labels(rows), "fp")
+    per_print = rows.groupBy("fp").agg(first).join(labels, "fp")
     chosen = per_print.groupBy("label").agg(F.min("first").alias("first")).select("first.key", "first.text_hash")
     times = rows.groupBy("key", "text_hash").agg(F.count("*").alias("times"))
     chosen = materialize(chosen.alias("c").join(times.alias("t"), F.col("c.key").eqNullSafe(F.col("t.key"))
