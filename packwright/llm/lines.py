@@ -52,12 +52,12 @@ def spread_lines(df: DataFrame, text: str = "text", site: str = "source", min_si
 
 
 def drop_spread_lines(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
-                      max_loss: float = MAX_LOSS) -> DataFrame:
+                      max_loss: float | None = MAX_LOSS) -> DataFrame:
     """``df`` with the lines that ``min_sites`` sites or more share cut out of ``text``; all rows stay.
 
     Lines end at a line feed and are compared without the spaces around them; blank lines are kept and
     never counted. A null site is no site. A document that would lose more than ``max_loss`` of the
-    characters of its lines is left whole. A null text stays null, an empty one empty. Repeated rows are treated alike; very
+    characters of its lines is left whole; if that is None, only one whose lines would all go is. A null text stays null, an empty one empty. Repeated rows are treated alike; very
     long texts are read whole. An empty table gives none. Columns that ``df`` has besides are kept
     whatever their names; two are added as a struct ``line_dedup`` (in place of a column of that name): n_lines and n_removed
     (0 for null).
@@ -78,8 +78,9 @@ def drop_spread_lines(df: DataFrame, text: str = "text", site: str = "source", m
                                      lambda n, line: n + F.length(_trimmed(line)))
     out = joined.select("row", "spread", F.when(held_some, _lines(body)).alias("lines"))
     out = out.select("row", "lines", F.when(held_some, F.filter("lines", lambda line: ~cut(line))).alias("tidy"))
-    out = out.select("row", "lines", "tidy", F.coalesce(
-        chars(F.col("lines")) - chars(F.col("tidy")) <= max_loss * chars(F.col("lines")), F.lit(False)).alias("cut"))
+    left = chars(F.col("tidy"))
+    fits = left > 0 if max_loss is None else chars(F.col("lines")) - left <= max_loss * chars(F.col("lines"))
+    out = out.select("row", "lines", "tidy", F.coalesce(fits, F.lit(False)).alias("cut"))
     out = out.select("row", F.when(F.col("cut"), F.array_join("tidy", "\n")).otherwise(body).alias("body"),
                      F.when(F.col("cut"), F.size("lines") - F.size("tidy")).otherwise(0).alias("n_removed"))
     n_lines = F.when(body.isNull(), 0).otherwise(F.size(_lines(body)))

@@ -1,5 +1,6 @@
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from packwright.llm.lines import drop_spread_lines
 
 
@@ -31,3 +32,12 @@ def test_near_threshold_is_exact(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r.doc_id: r.line_dedup.n_removed for r in drop_spread_lines(df).collect()}
     assert got == {d: int(d // 100 >= 5) for d, _, _ in rows}
+
+
+def test_pipeline_cuts_whatever_the_share(spark):
+    """Short texts under a long banner lose it; only copies, which have no line of their own, stay whole."""
+    banner = "Accept all of the cookies of this site and of its many partners"
+    rows = [(i, f"{banner}\nown {i}", f"s{i}") for i in range(6)] + [(7, f" {banner}\n\n{banner}", "s0"), (8, banner, "s1"), (9, None, "s2")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").selectExpr("*", "length(text) AS n_chars")
+    got = {r.doc_id: (r.text, r.n_chars) for r in corpus_pipeline.repeated_lines(spark, docs, "").collect()}
+    assert got == {i: (f"own {i}", 5) for i in range(6)} | {i: (t, t and len(t)) for i, t, _ in rows[6:]}
