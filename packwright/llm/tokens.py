@@ -174,19 +174,22 @@ class WordTokenizer:
                          for p in self.PROBES)
         # Words of common Latin letters need no normalising beyond lower case, so the model can be asked
         # at once, if that gives what the tokenizer gives; letters are written as the model knows them.
-        seen = {c: "".join(t for t, _ in self.whole.pre_tokenizer.pre_tokenize_str(c)) for c in map(chr, range(0xDF, 0x100)) if c.isalpha()}
-        self.letters = str.maketrans(seen)
+        latin = [c for c in map(chr, range(0x80, 0x100)) if c.isalpha()]
+        self.letters = str.maketrans({c: "".join(t for t, _ in self.whole.pre_tokenizer.pre_tokenize_str(c)) for c in latin})
         self.model = self.whole.model
         self.words: dict[str, bytes] = {}
         self.fold = False
+        self.odd: set[str] = set()
         probes = [w + s for w in ("Ab", "the", "WORDS", "xyzzyq", "Été", "ñandú", "Straße", "ÄÖÜ") for s in ("", ".", ",", "!!", "?;")]
         self.fold = self.split and all(self._apart(w) == _raw(one(w)) for w in probes)
+        # Letters that the tokenizer normalises in some other way, alone or within words, are left to it.
+        self.odd = {c for c in latin if self.fold and any(self._apart(w) != _raw(one(w)) for w in (c, f"n{c}", f"{c}m", f"n{c}m", f"a{c}{c}."))}
         self.words.clear()
 
     def _apart(self, word: str) -> bytes | None:
         """Ids of a word of common Latin letters with the marks behind it, None for any other."""
         core = word.rstrip(".,!?;:")
-        if not core.isalpha() or not (core.isascii() or max(core) <= "ÿ"):
+        if not core.isalpha() or not (core.isascii() or max(core) <= "ÿ" and self.odd.isdisjoint(core)):
             return None
         low = core.lower()
         ids = self.words.get(low)

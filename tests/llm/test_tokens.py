@@ -59,6 +59,17 @@ def test_words_are_the_library():
             assert flat[a:b].tolist() == whole.encode(t, add_special_tokens=False).ids, repr(t[:60])
 
 
+def test_every_latin_letter_is_the_library():
+    own, whole = WordTokenizer(PATH), Tokenizer.from_file(PATH)
+    letters = [c for c in map(chr, range(0x100)) if c.isalpha()]
+    words = [w for c in letters for w in (c, f"n{c}", f"{c}m", f"N{c}m", f"de{c}{c}x", f"{c}.", f"1{c}", f"É{c}ñ,")]
+    assert {"ª", "µm", "nº"} <= set(words)
+    flat, starts = own.encode(words)
+    for w, a, b in zip(words, starts, starts[1:]):
+        assert flat[a:b].tolist() == whole.encode(w, add_special_tokens=False).ids, w
+    assert own.fold and all(own._apart(w) is not None for w in ("the", "Été", "straße"))
+
+
 def same(df, got):
     whole, start, n = Tokenizer.from_file(PATH), 0, 0
     rows = sorted(df.select("doc_id", "text").collect(), key=lambda r: (r[0] is not None, r[0] or 0))
