@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import decontam, embed, langid, lines, piece, repeats, shards, simhash, tokens, toxicity
+from packwright.llm import decontam, embed, fim, langid, lines, piece, repeats, shards, simhash, tokens, toxicity, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -106,3 +106,15 @@ def op8_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repeats.remove_repeats(table(spark, sf_dir, "documents"), "doc_id")
     return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).cast("long").alias("n_removed"),
                       F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
+@query("op12_whitening")
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors on the leading components of their covariance, with unit variance."""
+    return whiten.whiten(table(spark, sf_dir, "embeddings"), "vec_id")
+
+
+@query("op13_fill_middle")
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in fill-in-middle form and put together again."""
+    return fim.digests(table(spark, sf_dir, "documents"))
