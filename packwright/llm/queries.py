@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.llm import decontam, embed, fim, langid, lines, piece, repeats, shards, simhash, tokens, toxicity, whiten
+from packwright.llm import ctw, decontam, embed, fim, langid, lines, piece, repeats, shards, simhash, tokens, toxicity, whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -118,3 +118,9 @@ def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in fill-in-middle form and put together again."""
     return fim.digests(table(spark, sf_dir, "documents"))
+
+
+@query("op11_context_trees")
+def op11_context_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The log-probability of all documents by context trees and by words, learned from six sevenths of them."""
+    return ctw.score(table(spark, sf_dir, "documents"), langid.held_out(F.col("doc_id"), 7, 2), "doc_id")
