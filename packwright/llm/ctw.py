@@ -10,7 +10,7 @@ is a context of some depth with the decision's place in the byte (the leading bi
 rolled up to a shallower context by a mask.
 
 The model grows with the corpus and is never held in one place. Every task lists the distinct grams and words of its
-rows; grams are counted and get their log-probability by subtrees of ``SUBTREE`` bytes of context; and every block of rows is sent
+rows, a block; grams are counted and get their log-probability by subtrees of ``SUBTREE`` bytes of context; and every block is sent
 the values of its own grams and words only.
 """
 
@@ -20,23 +20,27 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from packwright.llm.common import materialize, starts_of
+from packwright.llm.common import discard, materialize, starts_of
 
 #: Bytes of context, and of the contexts whose subtrees one task works out; a subtree has at most 2 ** 16 contexts.
 DEPTH, SUBTREE = 5, 3
 #: Begins and ends every text.
 MARK = b"\xff"
-#: Bytes of text worked on at a time; entries that a task collects before it hands them on; bytes of text of one block.
+#: Bytes of text worked on at a time; entries that a task collects before it hands them on; bytes of text below which
+#: partitions are put together to one block; entries sent in one row.
 WINDOW = 1 << 22
-HELD = 1 << 21
+HELD = 1 << 20
 BLOCK_BYTES = 1 << 26
+PACKED = 1 << 16
 #: Grams whose subtrees are worked out together, in whole subtrees.
 CHUNK = 1 << 18
-_GRAM, _WORD, _BYTES, _TEXTS = range(4)
+_GRAM, _WORD, _TEXTS = range(3)
+_DEALT = "rows of the table come in other partitions than before; write the table first"
 _LN2 = float(np.log(2.0))
 
 
@@ -82,7 +86,7 @@ def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[begins], np.diff(np.append(begins, len(keys)))
 
 
-_LISTED = pa.schema([("piece", pa.int32()), ("kind", pa.int8()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
+_LISTED = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("gram", pa.int64()), ("word", pa.binary()), ("n", pa.int64())])
 
 
 class _Listing:
@@ -91,10 +95,9 @@ class _Listing:
     def __init__(self) -> None:
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
         self.words: dict[bytes, int] = {}
-        self.size = self.bytes = self.texts = 0
+        self.size = self.texts = 0
 
     def add(self, texts: list[bytes], trained: bool) -> None:
-        self.bytes += sum(map(len, texts))
         self.texts += trained * len(texts)
         for grams, _ in gram_runs(texts):
             keys, n = _distinct(grams)
@@ -106,20 +109,20 @@ class _Listing:
                 words[w] = words.get(w, 0) + trained
 
     def full(self) -> bool:
-        if self.size > 2 * HELD:
+        if self.size > 4 * HELD:
             self.grams = [add_up(*map(np.concatenate, zip(*self.grams)))]
             self.size = len(self.grams[0][0])
-        return self.size > HELD or len(self.words) > HELD
+        return self.size > 2 * HELD or len(self.words) > HELD
 
-    def rows(self, piece: int) -> Iterator[pa.RecordBatch]:
+    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         keys, n = add_up(*map(np.concatenate, zip(*self.grams))) if self.grams else (np.zeros(0, np.int64),) * 2
         words = sorted(self.words)
         for kind, gram, word, count in (
                 (_GRAM, pa.array(keys), None, pa.array(n)),
                 (_WORD, None, pa.array(words, pa.binary()), pa.array([self.words[w] for w in words], pa.int64())),
-                (_BYTES, None, None, pa.array([self.bytes], pa.int64())), (_TEXTS, None, None, pa.array([self.texts], pa.int64()))):
+                (_TEXTS, None, None, pa.array([self.texts], pa.int64()))):
             size = len(count)
-            columns = [pa.array(np.full(size, piece, np.int32)), pa.array(np.full(size, kind, np.int8)),
+            columns = [pa.array(np.full(size, block, np.int32)), pa.array(np.full(size, kind, np.int8)),
                        pa.nulls(size, pa.int64()) if gram is None else gram, pa.nulls(size, pa.binary()) if word is None else word, count]
             for at in range(0, size, 1 << 16):
                 yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in columns], schema=_LISTED)
@@ -141,26 +144,26 @@ def _windows(sizes: list[int]) -> Iterator[tuple[int, int]]:
 
 
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """What the texts of one piece hold."""
-    listing, piece = _Listing(), None
+    """What the texts of one block hold."""
+    listing, block = _Listing(), None
     waiting: dict[bool, list[bytes]] = {True: [], False: []}
     for batch in batches:
         held = batch.column("held").to_pylist()
         for own, text in zip(held, _raw(batch, "text")):
             waiting[not own].append(text)
-        piece = batch.column("piece")[0].as_py() if piece is None and batch.num_rows else piece
+        block = batch.column("block")[0].as_py() if block is None and batch.num_rows else block
         for trained, texts in waiting.items():
             if sum(map(len, texts)) >= WINDOW:
                 listing.add(texts, trained)
                 texts.clear()
                 if listing.full():
-                    yield from listing.rows(piece)
+                    yield from listing.rows(block)
                     listing = _Listing()
     for trained, texts in waiting.items():
         if texts:
             listing.add(texts, trained)
-    if piece is not None:
-        yield from listing.rows(piece)
+    if block is not None:
+        yield from listing.rows(block)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -293,7 +296,9 @@ def gram_values(counted: DataFrame) -> DataFrame:
                            (F.col("one0") + part * (F.col("b") + 0.5)).alias("one"), (F.col("rest0") * (1 - F.col("share"))).alias("rest"))
     tops = mixed.select(F.shiftright("node", 8).alias("subtree"), "*")
     both = grams.unionByName(tops, allowMissingColumns=True)
-    return both.repartition("subtree").sortWithinPartitions("subtree", "gram").mapInArrow(_downward, "gram long, value double")
+    out = materialize(both.repartition("subtree").sortWithinPartitions("subtree", "gram").mapInArrow(_downward, "gram long, value double"))
+    discard(*levels.values())
+    return out
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, grams: np.ndarray) -> np.ndarray:
@@ -305,60 +310,132 @@ def look_up(keys: np.ndarray, values: np.ndarray, grams: np.ndarray) -> np.ndarr
         ordered = (packed >> np.uint64(16)).astype(np.int64)
         place = np.minimum(np.searchsorted(keys, ordered), len(keys) - 1)
         if (keys[place] != ordered).any():
-            raise ValueError("rows of the table come in other partitions than before; write the table first")
+            raise ValueError(_DEALT)
         out[at + (packed & np.uint64(0xFFFF)).astype(np.int64)] = values[place]
     return out
 
 
+_SENT = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("keys", pa.binary()), ("values", pa.binary()), ("types", pa.int64())])
+_SENT_DDL = "block int, kind byte, keys binary, values binary, types long"
+
+
+def _pack(kind: int, key: str, joined, number):
+    """Rows sorted by block as few rows: keys and numbers of a block as bytes, with how many words of training texts come first here."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        block, size = None, 0
+
+        def sent() -> Iterator[pa.RecordBatch]:
+            if held:
+                rows = pa.Table.from_batches(held)
+                types = int(np.count_nonzero(rows["first"].to_numpy() & (rows["n"].to_numpy() > 0))) if kind == _WORD else 0
+                values = rows["n" if kind == _WORD else "value"].to_numpy().astype(number)
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
+                    ([block], [kind], [joined(rows[key])], [values.tobytes()], [types]), _SENT)], schema=_SENT)
+
+        for batch in batches:
+            blocks = batch.column("block").to_numpy()
+            begins = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
+            for low, high in zip(begins.tolist(), [*begins[1:].tolist(), len(blocks)]):
+                if int(blocks[low]) != block or size >= PACKED:
+                    yield from sent()
+                    block, held, size = int(blocks[low]), [], 0
+                held.append(batch.slice(low, high - low))
+                size += high - low
+        yield from sent()
+
+    return run
+
+
 def _score(known_texts: int, train_tokens: int, types: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = float(np.log10(train_tokens + types + 1.0))
-        end = float(np.log10(known_texts + 1.0))
-        block = keys = values = None
-        grams: list = []
-        logs: dict[bytes, float] = {}
+        total, end = float(np.log10(train_tokens + types + 1.0)), float(np.log10(known_texts + 1.0))
+        block, model = None, _Block()
         for batch in batches:
-            kinds, blocks = batch.column("kind").to_numpy(), batch.column("block").to_numpy()
-            for low in np.flatnonzero(np.diff(kinds + 4 * blocks.astype(np.int64), prepend=-1)).tolist():
-                kind, own = kinds[low], blocks[low]
-                rows = batch.slice(low, int(np.searchsorted(4 * blocks[low:].astype(np.int64) + kinds[low:], 4 * int(own) + kind, side="right")))
-                if own != block:
-                    block, keys, grams, logs = own, None, [], {}
-                if kind == _GRAM:
-                    grams.append((rows.column("gram").to_numpy(), rows.column("value").to_numpy()))
-                elif kind == _WORD:
-                    counts = np.log10(rows.column("value").to_numpy() + 1.0)
-                    logs.update(zip(rows.column("word").to_pylist(), counts.tolist()))
+            kinds, blocks = batch.column("kind").to_numpy().astype(np.int64), batch.column("block").to_numpy().astype(np.int64)
+            runs = 4 * blocks + kinds
+            begins = np.flatnonzero(np.diff(runs, prepend=-1))
+            for low, high in zip(begins.tolist(), [*begins[1:].tolist(), len(runs)]):
+                if blocks[low] != block:
+                    block, model = blocks[low], _Block()
+                rows = batch.slice(low, high - low)
+                if kinds[low] == _TEXTS:
+                    texts = rows.column("text").cast(pa.binary())
+                    for a, b in _windows(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                        yield model.scored(rows.slice(a, b - a), total, end)
                 else:
-                    if keys is None:
-                        keys, values = map(np.concatenate, zip(*grams))
-                        order = np.argsort(keys)
-                        keys, values, grams = keys[order], values[order], []
-                    yield _scored(rows, keys, values, logs, total, end)
+                    model.take(kinds[low], rows)
     return run
 
 
-def _scored(rows: pa.RecordBatch, keys: np.ndarray, values: np.ndarray, logs: dict[bytes, float], total: float, end: float) -> pa.RecordBatch:
-    texts = _raw(rows, "text")
-    sizes = [len(t) for t in texts]
-    score = np.zeros(len(texts))
-    for low, high in _windows(sizes):
-        for grams, text in gram_runs(texts[low:high]):
-            score[low:high] += np.bincount(text, look_up(keys, values, grams), high - low)
-    tokens, known, base = [], [], []
-    for text in texts:
-        words = text.split()
-        try:
-            own = np.fromiter(map(logs.__getitem__, words), float, len(words))
-        except KeyError:
-            raise ValueError("rows of the table come in other partitions than before; write the table first") from None
-        tokens.append(len(words) + 1)
-        known.append(int(np.count_nonzero(own)) + (end > 0))
-        base.append(float(own.sum()) + end - total * (len(words) + 1))
-    return pa.RecordBatch.from_arrays(
-        [rows.column("row"), rows.column("held"), pa.array(tokens, pa.int64()), pa.array(known, pa.int64()), pa.array(base), pa.array(score),
-         pa.array(np.array(sizes, np.int64))],
-        ["row", "held", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+class _Block:
+    """What one block was sent: values of its grams and words."""
+
+    def __init__(self) -> None:
+        self.grams: list[tuple[np.ndarray, np.ndarray]] = []
+        self.words: list[pa.Array] = []
+        self.logs: list[np.ndarray] = []
+        self.ready = False
+
+    def take(self, kind: int, rows: pa.RecordBatch) -> None:
+        for keys, values in zip(rows.column("keys"), rows.column("values")):
+            if kind == _GRAM:
+                self.grams.append((np.frombuffer(keys.as_py(), np.int64), np.frombuffer(values.as_py())))
+            else:
+                self.words.append(pa.array(keys.as_py().split(), pa.binary()))
+                self.logs.append(np.log10(np.frombuffer(values.as_py(), np.int64) + 1.0))
+
+    def _settle(self) -> None:
+        if not self.ready:
+            keys, values = map(np.concatenate, zip(*self.grams))
+            order = np.argsort(keys)
+            self.keys, self.values, self.ready = keys[order], values[order], True
+            self.known = pa.concat_arrays([pa.array([], pa.binary()), *self.words])
+            self.known_logs = np.concatenate([np.zeros(0), *self.logs])
+            self.grams, self.words, self.logs = [], [], []
+
+    def scored(self, rows: pa.RecordBatch, total: float, end: float) -> pa.RecordBatch:
+        self._settle()
+        texts = _raw(rows, "text")
+        score = np.zeros(len(texts))
+        for grams, text in gram_runs(texts):
+            score += np.bincount(text, look_up(self.keys, self.values, grams), len(texts))
+        base, known, tokens = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
+        for low, high, words in _word_runs(texts):
+            of = np.repeat(np.arange(low, high), [len(w) for w in words])
+            found = pc.index_in(pa.array([w for own in words for w in own], pa.binary()), value_set=self.known)
+            if found.null_count:
+                raise ValueError(_DEALT)
+            logs = self.known_logs[found.to_numpy()]
+            base += np.bincount(of, logs, len(texts))
+            known += np.bincount(of[logs > 0], minlength=len(texts))
+            tokens += np.bincount(of, minlength=len(texts))
+        tokens += 1
+        return pa.RecordBatch.from_arrays(
+            [rows.column("row"), rows.column("held"), pa.array(tokens), pa.array(known + (end > 0)), pa.array(base + end - total * tokens),
+             pa.array(score), pa.array([len(t) for t in texts], pa.int64())],
+            ["row", "held", "n_tokens", "n_known", "base_score", "score", "n_bytes"])
+
+
+def _word_runs(texts: list[bytes]) -> Iterator[tuple[int, int, list[list[bytes]]]]:
+    """Words of texts, of some texts at a time; those of a very long text come in several runs."""
+    low, held, size = 0, [], 0
+    for i, text in enumerate(texts):
+        if len(text) > WINDOW:
+            if held:
+                yield low, i, held
+            found = text.split()
+            for at in range(0, len(found), WINDOW // 4):
+                yield i, i + 1, [found[at:at + WINDOW // 4]]
+            low, held, size = i + 1, [], 0
+            continue
+        held.append(text.split())
+        size += len(text)
+        if size >= WINDOW:
+            yield low, i + 1, held
+            low, held, size = i + 1, [], 0
+    if held:
+        yield low, len(texts), held
 
 
 def score(df: DataFrame, held_out: Column, *keep: str, text: str = "text") -> DataFrame:
@@ -372,34 +449,37 @@ def score(df: DataFrame, held_out: Column, *keep: str, text: str = "text") -> Da
 
     The table is read twice and must come in the same partitions both times, as written tables do; this is checked, and others raise.
     """
-    rows = df.select(F.spark_partition_id().alias("piece"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("text"),
-                     F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep))).alias("row"))
-    listed = materialize(rows.select("piece", "held", "text").mapInArrow(_list, "piece int, kind byte, gram long, word binary, n long"))
-    totals = {r["kind"]: (r["n"], r["pieces"]) for r in listed.where(F.col("kind") != _GRAM).groupBy("kind").agg(
-        F.sum("n").alias("n"), F.countDistinct("piece").alias("pieces")).collect()}
-    n_bytes, pieces = totals.get(_BYTES, (0, 0))
-    texts = totals.get(_TEXTS, (0, 0))[0]
-    train_tokens = totals.get(_WORD, (0, 0))[0] + texts
-    together = max(1, int(BLOCK_BYTES * max(1, pieces) // max(1, n_bytes)))
-    block = F.floor(F.col("piece") / together).cast("int")
-
+    sizes = df.select(F.spark_partition_id().alias("part"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")).groupBy("part").agg(
+        F.sum("n").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    blocks = max(1, min(sizes[0], -(-sizes[1] // BLOCK_BYTES)))
+    rows = df.coalesce(blocks).select(
+        F.spark_partition_id().alias("block"), F.coalesce(held_out, F.lit(False)).alias("held"), F.col(text).cast("string").alias("text"),
+        F.struct(F.lit(0).alias("_"), *(F.col(c).alias(f"_{i}") for i, c in enumerate(keep))).alias("row"))
+    listed = materialize(rows.select("block", "held", "text").mapInArrow(_list, "block int, kind byte, gram long, word binary, n long"))
+    totals = {r["kind"]: r["n"] for r in listed.where(F.col("kind") != _GRAM).groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    texts = totals.get(_TEXTS, 0)
+    train_tokens = totals.get(_WORD, 0) + texts
+
+    # A word has one row a block or a few; the sum of a very common one streams by.
     per_word = W.partitionBy("word")
-    words = listed.where(F.col("kind") == _WORD).select(
-        block.alias("block"), "word", F.sum("n").over(per_word).alias("n"), (F.min("piece").over(per_word) == F.col("piece")).alias("first"))
-    words = materialize(words.groupBy("word", "block").agg(F.max("n").alias("n"), F.max("first").alias("first")))
-    types = words.where(F.col("first") & (F.col("n") > 0)).count() + (texts > 0)
+    words = (listed.where(F.col("kind") == _WORD).groupBy("word", "block").agg(F.sum("n").alias("n"))
+             .select("block", "word", F.sum("n").over(per_word).alias("n"), (F.min("block").over(per_word) == F.col("block")).alias("first")))
+    words = materialize(words.sortWithinPartitions("block", "word").mapInArrow(
+        _pack(_WORD, "word", lambda c: b" ".join(c.to_pylist()), np.int64), _SENT_DDL))
+    types = words.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0] + (texts > 0)
 
     grams = listed.where(F.col("kind") == _GRAM)
     counted = materialize(grams.groupBy("gram").agg(F.sum("n").alias("n")))
-    valued = materialize(gram_values(counted))
-    sent = grams.select(block.alias("block"), "gram").join(valued, "gram").groupBy("gram", "block").agg(F.max("value").alias("value"))
-
-    together_rows = (
-        sent.select("block", F.lit(_GRAM).cast("byte").alias("kind"), "gram", "value")
-        .unionByName(words.select("block", F.lit(_WORD).cast("byte").alias("kind"), "word", F.col("n").cast("double").alias("value")), allowMissingColumns=True)
-        .unionByName(rows.select(block.alias("block"), F.lit(_TEXTS).cast("byte").alias("kind"), "held", "text", "row"), allowMissingColumns=True))
+    valued = gram_values(counted)
+    sent = materialize(grams.select("block", "gram").join(valued, "gram").groupBy("gram", "block").agg(F.max("value").alias("value"))
+                       .sortWithinPartitions("block", "gram").mapInArrow(
+                           _pack(_GRAM, "gram", lambda c: c.to_numpy().tobytes(), np.float64), _SENT_DDL))
+    discard(listed, counted, valued)
+
+    together = sent.unionByName(words).drop("types").unionByName(
+        rows.select("block", F.lit(_TEXTS).cast("byte").alias("kind"), "held", "text", "row"), allowMissingColumns=True)
     kind = rows.schema["row"].dataType.simpleString()
-    out = together_rows.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
+    out = together.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
         _score(texts, train_tokens, types), f"row {kind}, held boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
     return out.select(
         *(F.col(f"row._{i}").alias(c) for i, c in enumerate(keep)), F.col("held").alias("held_out"), "n_tokens", "n_known",
