@@ -31,10 +31,10 @@ from packwright.llm.common import discard, materialize, starts_of
 DEPTH, SUBTREE = 5, 3
 #: Begins and ends every text.
 MARK = b"\xff"
-#: Bytes of text worked on at a time; entries that a task collects before it hands them on; bytes of text below which
-#: partitions are put together to one block; entries sent in one row.
-WINDOW = 1 << 22
-HELD = 1 << 20
+#: Bytes of text worked on at a time; words, and a quarter of the grams, that a task collects before it hands them on; bytes of text
+#: below which partitions are put together to one block; entries sent in one row.
+WINDOW = 1 << 21
+HELD = 1 << 19
 BLOCK_BYTES = 1 << 26
 PACKED = 1 << 16
 #: Grams whose subtrees are worked out together, in whole subtrees.
@@ -74,7 +74,7 @@ def gram_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
 
 def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, with the sums of their counts."""
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     begins = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
     return keys[begins], np.add.reduceat(counts, begins) if len(begins) else counts
@@ -109,10 +109,10 @@ class _Listing:
                 words[w] = words.get(w, 0) + trained
 
     def full(self) -> bool:
-        if self.size > 4 * HELD:
+        if self.size > 6 * HELD:
             self.grams = [add_up(*map(np.concatenate, zip(*self.grams)))]
             self.size = len(self.grams[0][0])
-        return self.size > 2 * HELD or len(self.words) > HELD
+        return self.size > 4 * HELD or len(self.words) > HELD
 
     def rows(self, block: int) -> Iterator[pa.RecordBatch]:
         keys, n = add_up(*map(np.concatenate, zip(*self.grams))) if self.grams else (np.zeros(0, np.int64),) * 2
@@ -133,8 +133,9 @@ def _raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
     return [(t or b"").lower() for t in batch.column(column).cast(pa.binary()).to_pylist()]
 
 
-def _windows(sizes: list[int]) -> Iterator[tuple[int, int]]:
-    """Runs of rows of about ``WINDOW`` bytes."""
+def _windows(batch: pa.RecordBatch) -> Iterator[tuple[int, int]]:
+    """Runs of rows of about ``WINDOW`` bytes of text."""
+    sizes = pc.fill_null(pc.binary_length(batch.column("text").cast(pa.binary())), 0).to_pylist()
     start = size = 0
     for i, n in enumerate(sizes):
         size += n
@@ -146,22 +147,17 @@ def _windows(sizes: list[int]) -> Iterator[tuple[int, int]]:
 def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """What the texts of one block hold."""
     listing, block = _Listing(), None
-    waiting: dict[bool, list[bytes]] = {True: [], False: []}
     for batch in batches:
-        held = batch.column("held").to_pylist()
-        for own, text in zip(held, _raw(batch, "text")):
-            waiting[not own].append(text)
-        block = batch.column("block")[0].as_py() if block is None and batch.num_rows else block
-        for trained, texts in waiting.items():
-            if sum(map(len, texts)) >= WINDOW:
-                listing.add(texts, trained)
-                texts.clear()
-                if listing.full():
-                    yield from listing.rows(block)
-                    listing = _Listing()
-    for trained, texts in waiting.items():
-        if texts:
-            listing.add(texts, trained)
+        for low, high in _windows(batch):
+            rows = batch.slice(low, high - low)
+            block = rows.column("block")[0].as_py() if block is None else block
+            for held in (False, True):
+                texts = _raw(rows.filter(pc.equal(rows.column("held"), held)), "text")
+                if texts:
+                    listing.add(texts, not held)
+            if listing.full():
+                yield from listing.rows(block)
+                listing = _Listing()
     if block is not None:
         yield from listing.rows(block)
 
@@ -360,8 +356,7 @@ def _score(known_texts: int, train_tokens: int, types: int):
                     block, model = blocks[low], _Block()
                 rows = batch.slice(low, high - low)
                 if kinds[low] == _TEXTS:
-                    texts = rows.column("text").cast(pa.binary())
-                    for a, b in _windows(pc.fill_null(pc.binary_length(texts), 0).to_pylist()):
+                    for a, b in _windows(rows):
                         yield model.scored(rows.slice(a, b - a), total, end)
                 else:
                     model.take(kinds[low], rows)
