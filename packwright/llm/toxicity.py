@@ -16,13 +16,18 @@ from pyspark.sql import functions as F
 
 from packwright.llm.chars import code_points, letters, run_hashes, runs
 from packwright.llm.common import list_array, materialize, pieces, starts_of
+from packwright.llm.whiten import add_lines
 
 #: Terms are hashed to so many buckets, as a power of two.
 BUCKET_BITS = 26
 #: Labelled rows that a model is fitted on: about so many are drawn by a hash of the key, all if fewer.
 TRAIN_ROWS = 20_000
-#: Terms that a model knows: those that tell the classes apart best.
+#: Terms that a model knows: those that tell the classes apart best alone.
 TERMS = 4096
+#: Besides, terms that tell them apart in pairs: all pairs of so many terms are looked at, those that split the texts most evenly.
+PAIRED_TERMS = 1024
+#: Chi-squared of a pair (both there, or just one) that it must reach, and by what factor that must surpass its terms alone.
+MIN_PAIR_CHI2, PAIR_GAIN = 30.0, 1.5
 #: Texts of the sample in which a term must occur.
 MIN_TEXTS = 5
 #: Chi-squared of a term against the class that it must reach.
@@ -87,6 +92,56 @@ def _terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 [list_array(pa.array(flat), starts), batch.column(1).slice(at, len(texts))], ["terms", "y"])
 
 
+def _placed(kept: np.ndarray):
+    """Terms as places among the terms kept; what is not kept stays in the task."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column(0)
+            flat = lists.flatten().to_numpy()
+            place = np.searchsorted(kept, flat)
+            hit = place < len(kept)
+            hit[hit] = kept[place[hit]] == flat[hit]
+            starts = starts_of(hit)[starts_of(lists.value_lengths().to_numpy())]
+            yield pa.RecordBatch.from_arrays([list_array(pa.array(place[hit].astype(np.int32)), starts), batch.column(1)], ["places", "y"])
+    return run
+
+
+def _pair_counts(kept: np.ndarray):
+    """Texts of either class that hold both of two terms, as lines of a matrix; the lines of class 1 come after those of class 0."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        size = len(kept)
+        total = np.zeros((2, size, size))
+        for batch in _placed(kept)(batches):
+            lists, y = batch.column("places"), batch.column("y").to_numpy()
+            starts = starts_of(lists.value_lengths().to_numpy())
+            flat = lists.flatten().to_numpy()
+            for at in range(0, len(y), 1 << 11):
+                end = min(len(y), at + (1 << 11))
+                x = np.zeros((end - at, size), np.float32)
+                x[np.repeat(np.arange(end - at), np.diff(starts[at:end + 1])), flat[starts[at]:starts[end]]] = 1
+                for label in (0, 1):
+                    own = x[y[at:end] == label]
+                    total[label] += own.T @ own
+        lines = total.reshape(2 * size, size)
+        yield pa.RecordBatch.from_arrays([pa.array(range(2 * size), pa.int32()), pa.array([r.tobytes() for r in lines], pa.binary())], ["i", "line"])
+    return run
+
+
+def chi2(toxic: np.ndarray, all_: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """Chi-squared of a feature, found in ``toxic`` of ``all_`` texts, against the class."""
+    gap = toxic * n - all_ * n_toxic
+    return gap * gap / np.maximum(1.0, all_ * (n - all_ + 1.0) * max(1, n_toxic * (n - n_toxic)) / max(1, n))
+
+
+def telling_pairs(counts: np.ndarray, n: int, n_toxic: int) -> np.ndarray:
+    """Indices of terms that stand in a telling pair, from the numbers of texts of both classes that hold each two terms."""
+    toxic, both = counts[1], counts.sum(axis=0)
+    alone = chi2(np.diag(toxic), np.diag(both), n, n_toxic)
+    either, either_toxic = (np.add.outer(np.diag(m), np.diag(m)) - 2 * m for m in (both, toxic))
+    best = np.maximum(chi2(toxic, both, n, n_toxic), chi2(either_toxic, either, n, n_toxic))
+    return np.flatnonzero(((best >= MIN_PAIR_CHI2) & (best > PAIR_GAIN * np.maximum.outer(alone, alone))).any(axis=1))
+
+
 def _margin(model: FactorizationMachine, cols: np.ndarray, starts: np.ndarray):
     """bias + linear + pairwise part for texts given by their terms' places, and the sums of factors."""
     sizes = np.diff(starts)
@@ -122,8 +177,8 @@ def _train(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Factoriz
             err = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y[pick]) * np.where(y[pick] > 0, RARE, 1.0) / len(pick)
             grads[0] = np.array([err.sum()])
             grads[1] = np.bincount(cols, err[of], len(terms)) + DECAY[0] * m.weights
-            g = np.zeros_like(m.factors)
-            np.add.at(g, cols, err[of][:, None] * (sums[of] - m.factors[cols]))
+            each = err[of][:, None] * (sums[of] - m.factors[cols])
+            g = np.stack([np.bincount(cols, each[:, k], len(terms)) for k in range(FACTORS)], axis=1)
             grads[2] = g + DECAY[1] * m.factors
             step += 1
             new = []
@@ -139,7 +194,8 @@ def _train(terms: np.ndarray, rows: list[np.ndarray], y: np.ndarray) -> Factoriz
 def fit(df: DataFrame, text: str = "text", label: str = "toxic", rows: int = TRAIN_ROWS, terms: int = TERMS) -> FactorizationMachine:
     """A model of the 0/1 column ``label`` from about ``rows`` rows of ``df`` with a text and a label.
 
-    Terms are counted by Spark; the driver gets the ``terms`` most telling of them and the bounded sample in those terms.
+    Terms are counted by Spark; the driver gets the ``terms`` most telling of them, the counts of all pairs of ``PAIRED_TERMS``
+    terms, and the bounded sample in places of the terms kept.
     Equal texts of the sample count once. Without rows of both classes every text gets the same score.
     """
     labelled = df.select(F.col(text).alias("text"), F.col(label).cast("int").alias("y")).where(
@@ -155,15 +211,19 @@ def fit(df: DataFrame, text: str = "text", label: str = "toxic", rows: int = TRA
     gap = F.col("toxic") * float(n) - F.col("n") * float(toxic)
     against = F.col("n") * (float(n) - F.col("n") + 1) * max(1.0, float(toxic) * (n - toxic)) / max(1.0, float(n))
     telling = seen.withColumn("chi2", gap * gap / against).where(F.col("chi2") >= MIN_CHI2)
-    kept = np.array(sorted(r["term"] for r in telling.orderBy(F.desc("chi2"), "term").limit(terms).collect()), np.int64)
-    found = sample.toArrow()
-    lists = found["terms"].combine_chunks()
+    alone = {r["term"] for r in telling.orderBy(F.desc("chi2"), "term").limit(terms).collect()}
+    spread = F.col("n") * (float(n) - F.col("n"))
+    common = np.array(sorted(r["term"] for r in seen.orderBy(F.desc(spread), "term").limit(PAIRED_TERMS).collect()), np.int64)
+    counts = np.zeros((2 * len(common), len(common)))
+    if len(common):
+        for r in sample.mapInArrow(_pair_counts(common), "i int, line binary").repartition("i").mapInArrow(add_lines, "i int, line binary").toLocalIterator():
+            counts[r["i"]] = np.frombuffer(r["line"])
+    paired = common[telling_pairs(counts.reshape(2, len(common), len(common)), n, toxic)]
+    kept = np.array(sorted(alone | set(paired.tolist())), np.int64)
+    found = sample.mapInArrow(_placed(kept), "places array<int>, y int").toArrow()
+    lists = found["places"].combine_chunks()
     flat, starts = lists.flatten().to_numpy(), lists.offsets.to_numpy()
-    place = np.searchsorted(kept, flat)
-    hit = place < len(kept)
-    hit[hit] = kept[place[hit]] == flat[hit]
-    per_row = [place[a:b][hit[a:b]] for a, b in zip(starts, starts[1:])]
-    return _train(kept, per_row, found["y"].to_numpy().astype(float))
+    return _train(kept, [flat[a:b] for a, b in zip(starts, starts[1:])], found["y"].to_numpy().astype(float))
 
 
 def score_texts(model: FactorizationMachine, texts: list[str]) -> np.ndarray:

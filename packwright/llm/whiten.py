@@ -132,7 +132,8 @@ def _products(model: Whitening):
     return run
 
 
-def _added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def add_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines of doubles, as bytes, added up by their index."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for i, line in zip(batch.column("i").to_pylist(), batch.column("line")):
@@ -156,7 +157,7 @@ def fit(groups: DataFrame, dims: int, components: int = COMPONENTS) -> Whitening
     model = Whitening(n, sums, np.zeros(0), np.zeros((dims, 0)), 0.0)
     if not n or not dims:
         return model
-    lines = groups.mapInArrow(_products(model), "i int, line binary").repartition("i").mapInArrow(_added, "i int, line binary")
+    lines = groups.mapInArrow(_products(model), "i int, line binary").repartition("i").mapInArrow(add_lines, "i int, line binary")
     cov = np.zeros((dims, dims))
     for r in lines.toLocalIterator():
         cov[r["i"]] = np.frombuffer(r["line"])

@@ -1,8 +1,9 @@
+import math
 import random
 
 from pyspark.sql import functions as F
 
-from packwright.llm.toxicity import fit, score, score_texts
+from packwright.llm.toxicity import _buckets, fit, score, score_texts
 
 
 def corpus(n, seed):
@@ -41,3 +42,21 @@ def test_odd_rows(spark):
     assert score(df.limit(0), model, "doc_id").count() == 0
     flat = fit(train.limit(0))
     assert {r.score for r in score(df, flat, "doc_id").collect()} == {0.5}
+
+
+def test_what_only_pairs_tell_is_learned(spark):
+    """Toxic is one of two words without the other; each word alone stands in as many toxic texts as others."""
+    rows = [(i, t, int(("oaf" in t) != ("marsians" in t))) for i, t, _ in ((i, t.lower(), y) for i, t, y in corpus(3000, 7))]
+    model = fit(spark.createDataFrame(rows[:2200], "doc_id long, text string, toxic int"))
+    got = score_texts(model, [t for _, t, _ in rows[2200:]])
+    right = [(s >= 0.5) == y for s, (_, _, y) in zip(got, rows[2200:])]
+    assert sum(right) / len(right) >= 0.9
+
+
+def test_scores_are_the_plain_sum_over_pairs(spark):
+    model = fit(spark.createDataFrame(corpus(400, 3), "doc_id long, text string, toxic int"))
+    for text in ("oaf marsians", "Oaf, oaf!", "", "bcdlm " * 9 + "marsians"):
+        terms, _ = _buckets([text], model.terms)
+        z = model.bias + sum(model.weights[t] for t in terms)
+        z += sum(float(model.factors[s] @ model.factors[t]) for i, s in enumerate(terms) for t in terms[:i])
+        assert abs(score_texts(model, [text])[0] - 1 / (1 + math.exp(-z))) < 1e-12
