@@ -13,9 +13,6 @@ MIN_SITES = 5
 SKETCH_BITS = 10
 #: Lines whose estimate is within this share of the threshold are counted exactly: over ten standard errors.
 BAND = 0.5
-#: A document that would lose more of its characters than this is a copy of others, not a page with
-#: boilerplate around its text: it stays whole, for near-duplicate detection to judge.
-MAX_LOSS = 0.5
 
 
 def _trimmed(line: Column) -> Column:
@@ -52,13 +49,13 @@ def spread_lines(df: DataFrame, text: str = "text", site: str = "source", min_si
 
 
 def drop_spread_lines(df: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES,
-                      max_loss: float | None = MAX_LOSS) -> DataFrame:
+                      max_loss: float | None = None) -> DataFrame:
     """``df`` with the lines that ``min_sites`` sites or more share cut out of ``text``; all rows stay.
 
     Lines end at a line feed and are compared without the spaces around them; blank lines are kept and
-    never counted. A null site is no site. A document that would lose more than ``max_loss`` of the
-    characters of its lines is left whole; if that is None, only one whose lines would all go is. A null text stays null, an empty one empty. Repeated rows are treated alike; very
-    long texts are read whole. An empty table gives none. Columns that ``df`` has besides are kept
+    never counted. A null site is no site. A document whose lines would all go is a copy of others and left whole, for
+    near-duplicate detection to judge; with ``max_loss`` one that would lose more than this share of its characters is as well. A null
+    text stays null, an empty one empty. Repeated rows are treated alike; very long texts are read whole. An empty table gives none. Columns that ``df`` has besides are kept
     whatever their names; two are added as a struct ``line_dedup`` (in place of a column of that name): n_lines and n_removed
     (0 for null).
     """
@@ -101,8 +98,7 @@ marked AS (
   SELECT n.*, s.line IS NOT NULL AS cut FROM numbered n LEFT JOIN spread s ON trim(n.line, ' ') = s.line),
 judged AS (
   SELECT doc_id, text, count(*) AS n_lines, count(*) FILTER (WHERE cut) AS n_cut,
-         coalesce(sum(length(trim(line, ' '))) FILTER (WHERE cut), 0)
-           <= {MAX_LOSS} * sum(length(trim(line, ' '))) AS fits,
+         coalesce(sum(length(trim(line, ' '))) FILTER (WHERE NOT cut), 0) > 0 AS fits,
          coalesce(string_agg(line, chr(10) ORDER BY pos) FILTER (WHERE NOT cut), '') AS tidy
   FROM marked GROUP BY doc_id, text)
 SELECT doc_id, n_lines, CASE WHEN fits THEN n_cut ELSE 0 END AS n_removed,
