@@ -9,9 +9,10 @@ from packwright.sources.package import (
     pack_write,
     read_descriptor,
 )
+from packwright.sources.records import BadRecords, CsvRecords, read_csv_records
 from packwright.sources.readers import audit_sizes, file_size_audit, load, read_csv, read_parquet
 
 __all__ = [
-    "DESCRIPTOR_KEY", "annotate", "audit_sizes", "file_size_audit", "load", "make_dir",
-    "pack_catalog", "pack_read", "pack_write", "read_csv", "read_descriptor", "read_parquet",
+    "BadRecords", "CsvRecords", "DESCRIPTOR_KEY", "annotate", "audit_sizes", "file_size_audit", "load", "make_dir",
+    "pack_catalog", "pack_read", "pack_write", "read_csv", "read_csv_records", "read_descriptor", "read_parquet",
 ]
