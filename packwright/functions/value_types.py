@@ -81,9 +81,14 @@ def is_numeric_type(data_type: T.DataType) -> bool:
     return isinstance(data_type, T.NumericType)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, which may hold dots and backquotes."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def blank_nan(name: str, data_type: T.DataType) -> Column:
     """The column with NaN turned into null, as both count as missing."""
-    c = F.col(f"`{name}`")
+    c = column(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return F.when(~F.isnan(c), c)
     return c
@@ -91,7 +96,7 @@ def blank_nan(name: str, data_type: T.DataType) -> Column:
 
 def is_missing(name: str, data_type: T.DataType) -> Column:
     """Null, or NaN in a float column."""
-    c = F.col(f"`{name}`")
+    c = column(name)
     if isinstance(data_type, (T.FloatType, T.DoubleType)):
         return c.isNull() | F.isnan(c)
     return c.isNull()

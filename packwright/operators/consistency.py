@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from packwright.functions.value_types import filled_value_type
+from packwright.functions.value_types import column, filled_value_type
 
 
 def typed_cells(df: DataFrame, row_id: str, raw_columns: list[str]) -> DataFrame:
     """Cells with a value in long form: ``row, column, value, value_type``."""
     return (
-        df.select(F.col(row_id).alias("row"), *raw_columns)
-        .unpivot(["row"], raw_columns, "column", "value")
+        df.select(column(row_id).alias("row"), F.inline(F.array(*[
+            F.struct(F.lit(name).alias("column"), column(name).alias("value")) for name in raw_columns])))
         .where(F.col("value").isNotNull())
         .withColumn("value_type", filled_value_type(F.col("value")))
     )

@@ -12,7 +12,7 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from packwright.functions.value_types import is_missing
+from packwright.functions.value_types import column as named, is_missing
 from packwright.operators.duplicates import row_key
 from packwright.operators.profile import Check, count_checks
 
@@ -36,14 +36,22 @@ class Constraint:
 
 def _check_pattern(pattern: str) -> None:
     """Refuse a pattern that Spark, in whose dialect it is matched, does not take."""
+    fault = pattern_fault(pattern)
+    if fault is not None:
+        raise ValueError(f"Invalid regex pattern: {fault}")
+
+
+def pattern_fault(pattern: str) -> str | None:
+    """Why a regular expression is not taken by the JVM that will match it; None if it is. No job is run."""
     session = SparkSession.getActiveSession()
     try:
         if session is None:
             re.compile(pattern)
         else:
-            session.sql("SELECT rlike('', :pattern)", args={"pattern": pattern}).collect()
-    except Exception as problem:
-        raise ValueError(f"Invalid regex pattern: {str(problem).splitlines()[0]}") from problem
+            session._jvm.java.util.regex.Pattern.compile(pattern)
+    except Exception as problem:  # of either engine
+        return str(problem).splitlines()[0]
+    return None
 
 
 def predicates(df: DataFrame, constraints: list[Constraint]) -> list[tuple[str, str, Column]]:
@@ -51,7 +59,7 @@ def predicates(df: DataFrame, constraints: list[Constraint]) -> list[tuple[str,
     types = {f.name: f.dataType for f in df.schema.fields}
     out = []
     for c in constraints:
-        value = F.col(f"`{c.column}`")
+        value = named(c.column)
         present = ~is_missing(c.column, types[c.column])
         if c.required:
             out.append((c.column, "required", ~present))
@@ -96,10 +104,10 @@ def constraint_violations(df: DataFrame, row_id: str, constraints: list[Constrai
     """Every violating cell: ``row, column, check, value``; a row-by-row pass without a shuffle."""
     hits = [
         F.when(violated, F.struct(F.lit(column).alias("column"), F.lit(check).alias("check"),
-                                  F.col(f"`{column}`").cast("string").alias("value")))
+                                  named(column).cast("string").alias("value")))
         for column, check, violated in predicates(df, constraints)
     ]
-    return df.select(F.col(row_id).alias("row"),
+    return df.select(named(row_id).alias("row"),
                      F.inline(F.array_compact(F.array(*hits))))
 
 
@@ -107,9 +115,9 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
     """Keys held by more than one row, with ``n``; keys with a null part do not count."""
     complete = None
     for name in key:
-        part = F.col(name).isNotNull()
+        part = named(name).isNotNull()
         complete = part if complete is None else complete & part
-    return df.where(complete).groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    return df.where(complete).groupBy(*map(named, key)).agg(F.count(F.lit(1)).alias("n")).where("n > 1")
 
 
 def key_profile(df: DataFrame, key: list[str]) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from packwright import standard as S
-from packwright.functions.value_types import blank_nan
+from packwright.functions.value_types import blank_nan, column
 
 def _text_form(c: Column, kind: T.DataType) -> Column:
     """A value as text that is equal for equal values of the type."""
@@ -67,14 +67,14 @@ def flag_duplicates(df: DataFrame, row_id: str, columns: list[str]) -> DataFrame
     of one large group are spread evenly instead of meeting in one task.
     """
     firsts = (
-        df.select(F.col(row_id).alias("_row"), row_key(df, columns).alias("_key"))
-        .groupBy("_key").agg(F.min("_row").alias(row_id))
-        .select(row_id, F.lit(True).alias("_first"))
+        df.select(column(row_id).alias("_row"), row_key(df, columns).alias("_key"))
+        .groupBy("_key").agg(F.min("_row").alias("_row"))
+        .select("_row", F.lit(True).alias("_first"))
     )
-    ids = df.groupBy(row_id).agg(F.count(F.lit(1)).alias("_rows")).join(firsts, row_id, "left")
+    ids = df.groupBy(column(row_id).alias("_row")).agg(F.count(F.lit(1)).alias("_rows")).join(firsts, "_row", "left")
     wrong = F.raise_error(F.lit(f"{row_id} must be unique and not null")).cast("boolean")
     return (
-        df.join(ids, row_id, "left")
+        df.join(ids, column(row_id) == F.col("_row"), "left")
         .withColumn("is_duplicate", F.when(F.coalesce("_rows", F.lit(0)) != 1, wrong).otherwise(F.col("_first").isNull()))
-        .drop("_first", "_rows")
+        .drop("_first", "_rows", "_row")
     )

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from packwright import standard as S
+from packwright.functions.value_types import column
 
 SKETCH_ACCURACY = 10_000
 _QUARTILES = (0.25, 0.75)
@@ -23,7 +24,7 @@ def quartiles(df: DataFrame, value: str, by: str) -> DataFrame:
 
     Rows without a group form a group of their own, named null.
     """
-    data = df.select(F.col(by).alias("g"), F.col(value).cast("double").alias("v")).where(
+    data = df.select(column(by).alias("g"), column(value).cast("double").alias("v")).where(
         F.col("v").isNotNull() & ~F.isnan("v"))
     # A quartile's rank lies within 1/accuracy of the sketched one; the bracket takes
     # four times that, and a rank more for the neighbours of a small group.
@@ -96,18 +97,18 @@ def iqr_fences(df: DataFrame, value: str, by: str, fence: float = S.OUTLIER_FENC
 
 def iqr_outliers(df: DataFrame, value: str, by: str, fence: float = S.OUTLIER_FENCE) -> DataFrame:
     """Rows whose value lies outside the fence of their group, with ``low`` and ``high``."""
-    fences = iqr_fences(df, value, by, fence).select(F.col(by).alias("_group"), "low", "high")
-    return df.join(fences, F.col(by).eqNullSafe(F.col("_group"))).drop("_group").where(
-        (F.col(value) < F.col("low")) | (F.col(value) > F.col("high")))
+    fences = iqr_fences(df, value, by, fence).select(column(by).alias("_group"), "low", "high")
+    return df.join(fences, column(by).eqNullSafe(F.col("_group"))).drop("_group").where(
+        (column(value) < F.col("low")) | (column(value) > F.col("high")))
 
 
 def outlier_profile(df: DataFrame, value: str, by: str, fence: float = S.OUTLIER_FENCE) -> DataFrame:
     """Per group: fences and the number of rows outside them (0 where there are none)."""
     fences = iqr_fences(df, value, by, fence).withColumnRenamed(by, "_group")
-    outside = (F.col(value) < F.col("low")) | (F.col(value) > F.col("high"))
+    outside = (column(value) < F.col("low")) | (column(value) > F.col("high"))
     return (
-        df.select(by, value).join(fences, F.col(by).eqNullSafe(F.col("_group")))
-        .groupBy(by)
+        df.select(column(by), column(value)).join(fences, column(by).eqNullSafe(F.col("_group")))
+        .groupBy(column(by))
         .agg(F.max("n").alias("n"), F.max("q1").alias("q1"), F.max("q3").alias("q3"),
              F.max("low").alias("low"), F.max("high").alias("high"),
              F.count_if(outside).alias("outliers"))

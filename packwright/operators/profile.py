@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from packwright import standard as S
-from packwright.functions.value_types import is_missing
+from packwright.functions.value_types import column, is_missing
 
 # Conditions counted per aggregate. A longer list is cut into slices, each of which
 # reads only its own columns; that keeps every generated method small.
@@ -127,9 +127,9 @@ def column_samples(df: DataFrame, row_id: str, columns: list[str] | None = None,
     """
     types = {f.name: f.dataType for f in df.schema.fields}
     names = columns or [c for c in df.columns if c != row_id]
-    cells = df.select(F.col(row_id).alias("row_id"), F.inline(F.array(*[
+    cells = df.select(column(row_id).alias("row_id"), F.inline(F.array(*[
         F.struct(F.lit(name).alias("column"),
-                 F.when(~is_missing(name, types[name]), F.col(f"`{name}`").cast("string")).alias("value"))
+                 F.when(~is_missing(name, types[name]), column(name).cast("string")).alias("value"))
         for name in names])))
     first = W.partitionBy("column").orderBy("row_id", "value")
     return (

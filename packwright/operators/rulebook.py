@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from packwright import standard as S
 from packwright.functions.names import check_resource_name
 from packwright.functions.value_types import variant_value_type
+from packwright.operators.constraints import pattern_fault
 from packwright.operators.joins import salted_join
 from packwright.session import local_table
 
@@ -103,9 +104,8 @@ def rule_faults(rules: DataFrame) -> DataFrame:
 
     Every distinct pattern is compiled once by the JVM that will match it, on the driver; a standard has a few.
     """
-    spark = rules.sparkSession
     patterns = [r.pattern for r in rules.where((F.col("kind") == "pattern") & F.col("pattern").isNotNull()).select("pattern").distinct().collect()]
-    bad = [p for p in patterns if pattern_fault(spark, p)]
+    bad = [p for p in patterns if pattern_fault(p)]
     path = r"^\$(\.[A-Za-z_][A-Za-z0-9_]*|\[\d+\])*$"
 
     def lacks(part: str) -> Column:
@@ -125,15 +125,6 @@ def rule_faults(rules: DataFrame) -> DataFrame:
     return rules.select("version", "pos", F.explode(faults).alias("fault"))
 
 
-def pattern_fault(spark: SparkSession, pattern: str) -> str | None:
-    """Why Java does not take a regular expression; None if it does."""
-    try:
-        spark._jvm.java.util.regex.Pattern.compile(pattern)
-    except Exception as problem:
-        return str(problem.java_exception.getMessage()).splitlines()[0] if hasattr(problem, "java_exception") else str(problem)
-    return None
-
-
 def _elements(document: Column) -> Column:
     """What rules look at: the descriptor, its resources and their fields, each with its label and the subject of field rules."""
     none = F.lit(None).cast("string")

@@ -15,10 +15,12 @@ from packwright.operators.constraints import (
     constraint_checks,
     constraint_counts,
     key_profile,
+    pattern_fault,
 )
 from packwright.session import local_table
 
 FINDING_COLUMNS = ["dataset", "scope", "subject", "check", "severity", "message"]
+FINDING_SCHEMA = ", ".join(f"{c} string" for c in FINDING_COLUMNS)
 
 
 @dataclass
@@ -50,23 +52,74 @@ def union_all(parts: list[DataFrame]) -> DataFrame:
 
 def declared_fields(dataset: Dataset) -> list[dict]:
     """Field definitions of the first resource."""
-    resources = dataset.descriptor.get("resources") or []
-    schema = (resources[0].get("schema") or {}) if resources else {}
-    return schema.get("fields") or []
+    fields = _first_schema(dataset).get("fields")
+    return [f for f in fields if isinstance(f, dict)] if isinstance(fields, list) else []
+
+
+def _first_schema(dataset: Dataset) -> dict:
+    """The schema of the first resource; empty where something else stands, which is a finding."""
+    resources = dataset.descriptor.get("resources")
+    first = resources[0] if isinstance(resources, list) and resources else None
+    schema = first.get("schema") if isinstance(first, dict) else None
+    return schema if isinstance(schema, dict) else {}
+
+
+_BOUNDS = {"minimum": "a number", "maximum": "a number", "required": "true or false", "unique": "true or false",
+           "pattern": "a regular expression", "enum": "a list"}
+
+
+def _takes(key: str, value) -> bool:
+    """Whether a declared constraint can be evaluated."""
+    if key in ("minimum", "maximum"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    if key in ("required", "unique"):
+        return isinstance(value, bool)
+    if key == "pattern":
+        return isinstance(value, str) and pattern_fault(value) is None
+    return isinstance(value, list)
+
+
+def declaration_faults(dataset: Dataset) -> list[tuple[str, str | None, str, str, str, str]]:
+    """Findings on a schema that cannot be read as declared: no list of fields, fields that are none, constraints without a valid value."""
+    def line(subject, check, message):
+        return dataset.name, "schema_matching", subject, check, "error", message
+
+    out = []
+    resources = dataset.descriptor.get("resources")
+    first = resources[0] if isinstance(resources, list) and resources else {}
+    for what, value, wanted in (("resources", resources, list), ("the first resource", first, dict),
+                                ("schema", first.get("schema") if isinstance(first, dict) else None, dict),
+                                ("fields", _first_schema(dataset).get("fields"), list)):
+        if value is not None and not isinstance(value, wanted):
+            out.append(line(what, "schema_unreadable", f"Expected {'a list' if wanted is list else 'an object'} for {what}, got {type(value).__name__}"))
+    fields = _first_schema(dataset).get("fields")
+    for i, f in enumerate(fields if isinstance(fields, list) else []):
+        if not isinstance(f, dict):
+            out.append(line(f"field_{i}", "schema_unreadable", f"Expected an object for field_{i}, got {type(f).__name__}"))
+            continue
+        own = f.get("constraints")
+        if own is not None and not isinstance(own, dict):
+            out.append(line(f.get("name"), "constraint_invalid", f"Expected an object for constraints, got {type(own).__name__}"))
+        for key, wanted in _BOUNDS.items():
+            value = own.get(key) if isinstance(own, dict) else None
+            if value is not None and not _takes(key, value):
+                out.append(line(f.get("name"), "constraint_invalid", f"Constraint '{key}' must be {wanted}, got {json.dumps(value)}"))
+    return out
 
 
 def declared_constraints(dataset: Dataset) -> tuple[Constraint, ...]:
     """Constraints of the dataset and those in the field definitions of its descriptor.
 
-    Those of columns that the table lacks are left out; a missing column is a finding of its own.
+    Those of columns that the table lacks are left out, as a missing column is a finding of its own; so are those without a
+    valid value, see ``declaration_faults``.
     """
     found = list(dataset.constraints)
     for f in declared_fields(dataset):
-        own = f.get("constraints") or {}
-        keep = {k: own[k] for k in ("required", "unique", "minimum", "maximum", "pattern") if own.get(k) is not None}
-        if own.get("enum"):
-            keep["enum"] = tuple(str(v) for v in own["enum"])
-        c = Constraint(f.get("name") or "", **keep)
+        own = f.get("constraints") if isinstance(f.get("constraints"), dict) else {}
+        keep = {k: own[k] for k in _BOUNDS if own.get(k) is not None and _takes(k, own[k])}
+        if "enum" in keep:
+            keep["enum"] = tuple(str(v) for v in keep["enum"])
+        c = Constraint(f["name"] if isinstance(f.get("name"), str) else "", **keep)
         if keep and c.column in dataset.df.columns and c not in found:
             found.append(c)
     return tuple(found)
@@ -74,9 +127,8 @@ def declared_constraints(dataset: Dataset) -> tuple[Constraint, ...]:
 
 def unique_keys(dataset: Dataset) -> list[list[str]]:
     """Columns and keys that must be unique: those of constraints, of the dataset and of its descriptor's schema."""
-    resources = dataset.descriptor.get("resources") or [{}]
-    declared = (resources[0].get("schema") or {}).get("primaryKey") or []
-    declared = [declared] if isinstance(declared, str) else list(declared)
+    declared = _first_schema(dataset).get("primaryKey") or []
+    declared = [declared] if isinstance(declared, str) else [k for k in declared if isinstance(k, str)] if isinstance(declared, list) else []
     keys = [[c.column] for c in declared_constraints(dataset) if c.unique]
     keys += [list(k) for k in (dataset.primary_key, declared) if k and set(k) <= set(dataset.df.columns)]
     return [k for i, k in enumerate(keys) if k not in keys[:i]]
@@ -87,7 +139,10 @@ def fields_table(datasets: list[Dataset]) -> DataFrame:
     def unit_name(unit) -> str | None:
         return unit.get("name") if isinstance(unit, dict) else unit
 
-    rows = [(d.name, f.get("name"), f.get("type"), unit_name(f.get("unit")))
+    def text(value) -> str | None:
+        return value if value is None or isinstance(value, str) else json.dumps(value)
+
+    rows = [(d.name, text(f.get("name")), text(f.get("type")), text(unit_name(f.get("unit"))))
             for d in datasets for f in declared_fields(d)]
     return local_table(datasets[0].df.sparkSession, rows,
                        "dataset string, name string, type string, unit_name string")
@@ -163,7 +218,8 @@ def schema_findings(datasets: list[Dataset]) -> DataFrame | None:
     return found.withColumn("scope", F.lit("schema_matching")).select(*FINDING_COLUMNS)
 
 
-def _constraint_findings(counts: DataFrame) -> DataFrame:
+def constraint_findings(counts: DataFrame) -> DataFrame:
+    """Broken constraints and user rules, from the result of ``count_checks`` with a dataset."""
     is_rule = F.col("check") == "custom_rule"
     return _finding_rows(
         constraint_counts(counts, "dataset").where("violations > 0"), "constraints",
@@ -176,6 +232,13 @@ def _constraint_findings(counts: DataFrame) -> DataFrame:
                                    "subject", "check", "violations", "rows")))
 
 
+def key_findings(profiles: DataFrame) -> DataFrame:
+    """Keys that are not unique, from key profiles with ``dataset`` and ``key``."""
+    return _finding_rows(
+        profiles.where("repeated_keys > 0"), "constraints", F.col("key"), "constraint_unique", "error",
+        F.format_string("Key is held by more than one row for %d keys", "repeated_keys"))
+
+
 def data_findings(datasets: list[Dataset], parity: bool = False) -> DataFrame:
     """Findings on the data of datasets.
 
@@ -199,18 +262,18 @@ def data_findings(datasets: list[Dataset], parity: bool = False) -> DataFrame:
         profile.null_counts(all_counts, "dataset"), _named(duplicate), parity=parity)
         .withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS)]
     if any(declared_constraints(d) or d.rules for d in datasets):
-        parts.append(_constraint_findings(all_counts))
+        parts.append(constraint_findings(all_counts))
     if keys:
-        parts.append(_finding_rows(
-            _named(keys).where("repeated_keys > 0"), "constraints", F.col("key"),
-            "constraint_unique", "error",
-            F.format_string("Key is held by more than one row for %d keys", "repeated_keys")))
+        parts.append(key_findings(_named(keys)))
     if tallies:
         declared = fields_table(datasets).select("dataset", F.col("name").alias("column"), "type")
         parts.append(raw_findings(_named(tallies), declared).select(*FINDING_COLUMNS))
     from_schema = schema_findings(datasets)
     if from_schema is not None:
         parts.append(from_schema)
+    faults = [line for d in datasets for line in declaration_faults(d)]
+    if faults:
+        parts.append(local_table(datasets[0].df.sparkSession, faults, FINDING_SCHEMA))
     return union_all(parts)
 
 

@@ -52,9 +52,21 @@ def _filesystem(path: str) -> tuple[pafs.FileSystem, str]:
     return pafs.LocalFileSystem(), path
 
 
+def qualified(spark: SparkSession, path: str) -> str:
+    """The path with its file system; one without a scheme is on the cluster's default file system, as for Spark's own readers and writers."""
+    own = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return own.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(own).toString()
+
+
+def _on_cluster(path: str) -> str:
+    """The same for the active session; tasks and programs without one are given whole paths."""
+    spark = SparkSession.getActiveSession()
+    return path if spark is None else qualified(spark, path)
+
+
 def make_dir(path: str) -> None:
     """Create a folder, with those above it."""
-    fs, target = _filesystem(path)
+    fs, target = _filesystem(_on_cluster(path))
     fs.create_dir(target, recursive=True)
 
 
@@ -163,6 +175,7 @@ def pack_write(df: DataFrame, descriptor: dict, path: str, mode: str = "overwrit
     """Write a table as a package. The folder above ``path`` must exist."""
     if not isinstance(descriptor, dict):
         raise TypeError("descriptor must be a dictionary")
+    path = qualified(df.sparkSession, path)
     fs, target = _filesystem(path)
     parent = posixpath.dirname(target.rstrip("/"))
     if fs.get_file_info(parent).type != pafs.FileType.Directory:
@@ -194,7 +207,7 @@ def _descriptor_text(metadata: dict | None) -> str | None:
 
 def read_descriptor(path: str) -> dict:
     """Descriptor of a package from one footer; ``{}`` where it has none."""
-    fs, target = _filesystem(path)
+    fs, target = _filesystem(_on_cluster(path))
     info = fs.get_file_info(target)
     if info.type == pafs.FileType.NotFound:
         raise FileNotFoundError(f"The file {path} does not exist.")

@@ -7,6 +7,7 @@ from workload import (  # noqa: F401  (importing registers the queries)
     names,
     packages,
     profiling,
+    publishing,
     records,
     rules,
     schema,
