@@ -84,17 +84,23 @@ def test_findings_equal_those_of_a_validation(spark, tmp_path):
     assert sorted(map(str, got.select(*columns).collect())) == want and len(want) > 5
 
 
-@pytest.mark.parametrize("fields,checks", [
-    ("nope", {("fields", "schema_unreadable")}), (["x", 3], {("field_0", "schema_unreadable"), ("field_1", "schema_unreadable")}),
-    ([{"name": "v.x", "type": "number", "constraints": {"minimum": "abc", "pattern": "(", "enum": "a", "required": "yes", "maximum": True}}],
-     {("v.x", "constraint_invalid")}), ([{"name": "v.x", "constraints": [1]}], {("v.x", "constraint_invalid")}), ([{"name": 7, "type": ["a"], "unit": 4}], set())])
-def test_faulty_declarations_are_findings(spark, fields, checks):
-    descriptor = {**DESCRIPTOR, "resources": [{"name": "r", "schema": {"fields": fields, "primaryKey": {"a": 1}}}]}
-    found, levels = validate_all([Dataset("d", readings(spark), descriptor), dataset(readings(spark))])
-    got = [(r.subject, r.check) for r in found.collect() if r.check in ("schema_unreadable", "constraint_invalid")]
-    assert set(got) == checks and levels.count() == 2
-    for resources in ("x", [3], [{"schema": "s"}], {}, None):
-        assert validate_all([Dataset("d", readings(spark), {**DESCRIPTOR, "resources": resources})])[0].count() > 0
+def test_faulty_declarations_are_findings(spark):
+    odd = {"minimum": "abc", "pattern": "(", "enum": "a", "required": "yes", "maximum": True}
+    fields = {
+        "text": ("nope", {("fields", "schema_unreadable")}), "scalars": (["x", 3], {("field_0", "schema_unreadable"), ("field_1", "schema_unreadable")}),
+        "bounds": ([{"name": "v.x", "type": "number", "constraints": odd}], {("v.x", "constraint_invalid")}),
+        "list": ([{"name": "v.x", "constraints": [1]}], {("v.x", "constraint_invalid")}), "types": ([{"name": 7, "type": ["a"], "unit": 4}], set())}
+    df = readings(spark)
+    given = [Dataset(name, df, {**DESCRIPTOR, "resources": [{"name": "r", "schema": {"fields": f, "primaryKey": {"a": 1}}}]}) for name, (f, _) in fields.items()]
+    given += [Dataset(f"resources {i}", df, {**DESCRIPTOR, "resources": r}) for i, r in enumerate(("x", [3], [{"schema": "s"}], {}, None))]
+    found, levels = validate_all([*given, dataset(df)])
+    rows = found.where("check IN ('schema_unreadable', 'constraint_invalid')").collect()
+    for name, (_, checks) in fields.items():
+        assert {(r.subject, r.check) for r in rows if r.dataset == name} == checks
+    assert sum(r.dataset == "bounds" for r in rows) == len(odd)
+    assert {r.dataset: r.subject for r in rows if r.dataset.startswith("resources")} == {
+        "resources 0": "resources", "resources 1": "the first resource", "resources 2": "schema", "resources 3": "resources"}
+    assert levels.count() == len(given) + 1 and levels.where("dataset = 'readings'").first().level == "strict"
 
 
 def test_names_with_dots(spark):
