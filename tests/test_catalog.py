@@ -8,18 +8,18 @@ from packwright.operators import catalog, descriptors
 from packwright.plans.report import findings_report, report_text
 
 FULL = {
-    "name": "electricity-mix", "title": "Electricity mix of five countries",
-    "description": "Carbon intensity of electricity in five countries, one year each.",
-    "version": "1.0.0", "keywords": ["energy", "carbon", "grid"],
-    "homepage": "https://example.org", "repository": "https://example.org/code",
-    "created": "2025-10-15",
-    "licenses": [{"name": "CC-BY-4.0", "path": "https://spdx.org/licenses/CC-BY-4.0.html"}],
-    "contributors": [{"name": "A", "role": "author"}], "sources": [{"title": "S"}],
+    "name": "hive-scales", "title": "Hourly weights of bee hives",
+    "description": "Weights of hives on scales beside a wood, with the temperature inside, taken hourly.",
+    "version": "2.3.1", "keywords": ["bees", "hives", "weight"],
+    "homepage": "https://example.org/hives", "repository": "https://example.org/hives/code",
+    "created": "2024-06-30",
+    "licenses": [{"name": "MIT", "path": "https://spdx.org/licenses/MIT.html"}],
+    "contributors": [{"name": "B. Keeper", "role": "author"}], "sources": [{"title": "Scales"}],
     "resources": [{
-        "name": "mix", "path": "mix.parquet", "format": "parquet", "title": "Mix", "description": "Mix",
+        "name": "scales", "path": "scales.parquet", "format": "parquet", "title": "Scales", "description": "One row an hour",
         "encoding": "utf-8", "schema": {"fields": [
-            {"name": "country", "type": "string", "description": "Country code"},
-            {"name": "year", "type": "integer", "description": "Year", "unit": {"name": "year"}}]}}],
+            {"name": "hive", "type": "string", "description": "Name of the hive"},
+            {"name": "weight", "type": "number", "description": "Weight with frames", "unit": {"name": "KiloGM"}}]}}],
 }
 
 
@@ -56,7 +56,7 @@ def test_nearly_empty_descriptor(spark):
 
 
 def test_units_as_text(spark):
-    fields = [{"name": "year", "type": "integer", "description": "Year", "unit": "year"},
+    fields = [{"name": "weight", "type": "integer", "description": "Weight", "unit": "KiloGM"},
               {"name": "n", "type": "number", "description": "N", "unit": {"name": "kg"}},
               {"name": "m", "type": "number", "description": "M"}]
     ((_, found),) = check(spark, resource(schema={"fields": fields}))
@@ -103,12 +103,12 @@ def test_resource_and_field_warnings(spark):
     got = check(spark, *docs)
     assert ("warning", "Resource 'Bad Name!'", "name",
             "Resource name 'Bad Name!' contains invalid characters. Suggested name: 'bad_name'") in got[0][1]
-    assert got[1] == ("standard", [("warning", "Resource 'mix'", "format",
+    assert got[1] == ("standard", [("warning", "Resource 'scales'", "format",
                                     "Format 'csv' is acceptable, but 'parquet' is preferred")])
     assert got[2][1][0][3] == "Recommended field 'encoding' is missing"
     assert got[3][1][0][3] == "Schema with field definitions improves data quality"
     assert [f[3] for f in got[4][1]] == [S.FIELD_UNIT_MESSAGE, S.FIELD_DESCRIPTION_MESSAGE]
-    assert got[5][1] == [("error", "Resource 'mix'", "unknown", S.FIELD_NAME_MESSAGE)]
+    assert got[5][1] == [("error", "Resource 'scales'", "unknown", S.FIELD_NAME_MESSAGE)]
     assert got[6][1][0][3].startswith("Invalid type 'decimal'. Must be one of: string, number")
 
 
