@@ -11,12 +11,17 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from packwright.functions.value_types import column as named, is_missing
 from packwright.operators.duplicates import row_key
 from packwright.operators.profile import Check, count_checks
 
 
+# Types whose values take a few bytes, so that a digest saves nothing.
+_NARROW = (T.IntegralType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)
+
+
 @dataclass(frozen=True)
 class Constraint:
     """Constraints of one column, as in a field definition."""
@@ -123,13 +128,15 @@ def repeated_keys(df: DataFrame, key: list[str]) -> DataFrame:
 def key_profile(df: DataFrame, key: list[str]) -> DataFrame:
     """``rows, null_keys, repeated_keys, surplus_rows`` of a unique column or primary key.
 
-    Keys are compared by digest, see ``row_key``.
+    Keys of whole numbers, dates and the like are compared as they are, others by digest, see ``row_key``.
     """
     types = {f.name: f.dataType for f in df.schema.fields}
+    narrow = all(isinstance(types[name], _NARROW) for name in key)
+    own = F.struct(*map(named, key)) if narrow else row_key(df, key)
     missing = F.lit(False)
     for name in key:
         missing = missing | is_missing(name, types[name])
-    groups = df.select(row_key(df, key).alias("key"), missing.alias("_null")).groupBy("key", "_null").agg(
+    groups = df.select(own.alias("key"), missing.alias("_null")).groupBy("key", "_null").agg(
         F.count(F.lit(1)).alias("n"))
     return groups.agg(
         F.coalesce(F.sum("n"), F.lit(0)).alias("rows"),

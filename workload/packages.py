@@ -82,12 +82,11 @@ def write_package(spark, sf_dir):
     return spark.read.parquet(path + "/supplier")
 
 
-@query("pack_read", "SELECT o_orderkey, o_orderstatus, o_orderdate, 'shop-tables' AS package FROM orders")
+@query("pack_read", "SELECT *, 'shop-tables' AS package FROM orders")
 def read_package(spark, sf_dir):
     path = shared_dir(spark)
     make_dir(path)
-    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus", "o_orderdate")
-    pack_write(orders, DETAILS, path + "/orders")
+    pack_write(table(spark, sf_dir, "orders"), DETAILS, path + "/orders")
     df, descriptor = pack_read(spark, path + "/orders")
     return df.withColumn("package", F.lit(descriptor["name"]))
 
