@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from packwright.operators.constraints import Constraint
 from packwright.functions import field_type_of
+from packwright.functions.value_types import VALUE_TYPES
 from packwright.plans import Dataset, export_package, validate_all, with_level
 from packwright.session import shared_dir
 from packwright.sources import (
@@ -228,17 +229,30 @@ def validation_findings(spark, sf_dir):
 # ------------------------------------------------------------------- streaming
 _DAY_SQL = """SELECT time_bucket(INTERVAL '1 day', ts) AS window_start, event_type,
   count(*) AS rows, CAST(0 AS BIGINT) AS nulls,
-  count(CASE WHEN value < 1.0 OR value > 100.0 THEN 1 END) AS out_of_range, count(*) AS raw_ints
-FROM events GROUP BY ALL"""
+  count(CASE WHEN value < 1.0 OR value > 100.0 THEN 1 END) AS out_of_range,
+  count(CASE WHEN kind = 'int' THEN 1 END) AS raw_ints, """ + ", ".join(
+    f"count(CASE WHEN kind = '{t}' THEN 1 END) AS types_{t}" for t in VALUE_TYPES) + """
+FROM (SELECT *, CASE WHEN event_id % 97 = 0 THEN 'str' WHEN event_id % 41 = 0 THEN 'bool' WHEN event_id % 89 = 0 THEN 'float'
+  ELSE 'int' END AS kind FROM events) GROUP BY ALL"""
+
+
+def _raw():
+    """A raw value of an event; most are whole numbers."""
+    i = F.col("event_id")
+    return F.when(i % 97 == 0, "n/a").when(i % 41 == 0, "true").when(i % 89 == 0, "2.5").otherwise(F.get_json_object("props", "$.k"))
+
+
+def _types_apart(counts):
+    """The counts of every type as a column of its own."""
+    return counts.select("*", *(F.col("raw_types")[t].alias(f"types_{t}") for t in VALUE_TYPES)).drop("raw_types")
 
 
 @query("stream_quality", _DAY_SQL)
 def streamed(spark, sf_dir):
     schema = table(spark, sf_dir, "events").schema
     path = shared_dir(spark)
-    counts = stream_quality(read_files(spark, sf_dir, schema, "events.parquet"), "ts", "value",
-                            F.get_json_object("props", "$.k"), "event_type", 1.0, 100.0)
-    run_updates(counts.drop("raw_types"), path + "/counts", path + "/state")
+    counts = stream_quality(read_files(spark, sf_dir, schema, "events.parquet"), "ts", "value", _raw(), "event_type", 1.0, 100.0)
+    run_updates(_types_apart(counts), path + "/counts", path + "/state")
     return latest(spark.read.parquet(path + "/counts"), ["window_start", "event_type"])
 
 
@@ -255,5 +269,4 @@ def without_repeats(spark, sf_dir):
 
 @query("batch_quality", _DAY_SQL)
 def batched(spark, sf_dir):
-    return stream_quality(table(spark, sf_dir, "events"), "ts", "value",
-                          F.get_json_object("props", "$.k"), "event_type", 1.0, 100.0).drop("raw_types")
+    return _types_apart(stream_quality(table(spark, sf_dir, "events"), "ts", "value", _raw(), "event_type", 1.0, 100.0))
