@@ -144,6 +144,43 @@ def test_quartiles_are_exact(spark):
         assert got[g].q3 == pytest.approx(np.quantile(values, 0.75), rel=1e-12)
 
 
+@pytest.mark.parametrize("values", [
+    np.arange(50_000) + 0.5,                                                        # all different
+    np.nextafter(1.0, 2.0) + np.arange(40_000) * 2.0**-52,                          # neighbouring doubles
+    -np.random.default_rng(5).lognormal(0, 40, 20_000),                             # all below zero, every size
+    np.r_[np.zeros(999), np.full(501, 5e-324), np.full(500, -5e-324)],              # the least doubles there are
+    np.r_[np.full(300, -np.inf), np.arange(900.0), np.full(600, np.inf)],
+    np.r_[np.full(7, 3.0), 1e308, -1e308],
+    np.array([1.0, 2.0]),
+])
+def test_quartiles_of_odd_values(spark, values):
+    rows = pd.DataFrame({"v": np.random.default_rng(1).permutation(values)})
+    df = spark.createDataFrame(rows).withColumn("g", F.lit("a"))
+    got = outliers.quartiles(df.repartition(6), "v", "g").first()
+    ranked = np.sort(values)
+    for q, value in ((0.25, got.q1), (0.75, got.q3)):
+        at = (len(ranked) - 1) * q
+        a, b = ranked[int(np.floor(at))], ranked[int(np.ceil(at))]
+        assert value == pytest.approx(a if a == b else a + (b - a) * (at % 1), rel=1e-15, abs=0)
+
+
+def test_a_group_without_a_number_has_no_fences(spark):
+    df = spark.createDataFrame([("a", 1.0), ("b", None), ("b", NAN)], "g string, v double")
+    got = {r.g: (r.n, r.q1, r.outliers) for r in outliers.outlier_profile(df, "v", "g").collect()}
+    assert got == {"a": (1, 1.0, 0), "b": (0, None, 0)}
+    assert outliers.quartiles(df.limit(0), "v", "g").collect() == []
+
+
+def test_histogram_of_a_group_is_bounded(spark):
+    """No step hands on more cells of a group than the histograms have, however many values there are."""
+    df = spark.range(2_000_000).select(F.lit("a").alias("g"), (F.rand(3) + 1).alias("v"))
+    cells = df.groupBy(outliers._octave_cell(F.col("v")).alias("c")).count()
+    assert cells.count() == outliers.OCTAVE_CELLS
+    wide = spark.createDataFrame(pd.DataFrame({"v": np.random.default_rng(2).lognormal(0, 200, 50_000)}))
+    got = wide.select("v", outliers._octave_cell(F.col("v")).alias("c")).toPandas().sort_values("v")
+    assert got.c.is_monotonic_increasing
+
+
 def test_outliers_match_brute_force(spark):
     rows = [(i, *r) for i, r in enumerate(_groups())]
     df = spark.createDataFrame(rows, "id long, g string, v double")
