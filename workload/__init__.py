@@ -4,6 +4,7 @@ from workload.registry import ORACLES, QUERIES
 from workload import (  # noqa: F401  (importing registers the queries)
     consistency,
     descriptors,
+    footers,
     names,
     packages,
     profiling,
