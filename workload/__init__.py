@@ -5,6 +5,7 @@ from workload import (  # noqa: F401  (importing registers the queries)
     consistency,
     descriptors,
     footers,
+    growing,
     names,
     packages,
     profiling,
