@@ -13,6 +13,7 @@ from workload import (  # noqa: F401  (importing registers the queries)
     records,
     rules,
     schema,
+    spelling,
     vocabulary,
 )
 
