@@ -154,7 +154,8 @@ def value_type_match(spark, sf_dir):
     return schema_match.value_type_match(_tally(spark, sf_dir), _declared(spark))
 
 
-_TEXTS = ["l_orderkey", "l_quantity", "l_returnflag", "l_shipdate"]
+_TEXTS = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_extendedprice", "l_discount", "l_tax",
+          "l_returnflag", "l_linestatus", "l_shipdate"]
 
 
 @query("infer_fields_from_values", f"""WITH cells AS (

@@ -4,6 +4,8 @@ from pyspark.sql import functions as F
 
 from packwright.operators import profile, vocab
 from packwright.plans.report import information_lines, mapping_lines
+from packwright.session import local_table
+from workload.profiling import customers
 from workload.registry import query, table
 from workload.schema import _COLUMNS_SQL, part_columns
 
@@ -235,33 +237,51 @@ def concept_definition_listed(spark, sf_dir):
         "page_id", vocab.concept_definition(listed, "en").alias("value"))
 
 
-@query("column_view", """WITH cells AS (
-  SELECT 'c_name' AS "column", c_custkey AS k, c_name AS value FROM customer
-  UNION ALL SELECT 'c_mktsegment', c_custkey, c_mktsegment FROM customer),
+_VIEWED = {"c_custkey": "c_custkey", "c_name": "c_name", "c_nationkey": "c_nationkey",
+           "c_acctbal": "CAST(c_acctbal AS DECIMAL(15, 2))", "c_mktsegment": "c_mktsegment"}
+
+
+@query("column_view", f"""WITH cells AS ({" UNION ALL ".join(
+    f"""SELECT '{c}' AS "column", c_custkey AS k, CAST({v} AS VARCHAR) AS value FROM customer WHERE {c} IS NOT NULL"""
+    for c, v in _VIEWED.items())}),
 first3 AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY "column" ORDER BY k) AS nth FROM cells)
   WHERE nth <= 3),
-seg AS (SELECT *, row_number() OVER (ORDER BY label) AS nth FROM (
-  SELECT DISTINCT lower(c_mktsegment) AS label FROM customer))
-SELECT "column", string_agg(value, '|' ORDER BY k) AS "values",
-  CASE WHEN "column" = 'c_mktsegment' THEN (SELECT string_agg(label, '|' ORDER BY nth) FROM seg WHERE nth <= 5) END
-    AS suggestions,
-  CASE WHEN "column" = 'c_mktsegment' THEN (SELECT 's/' || label FROM seg WHERE nth = 2) ELSE 's/none' END AS selected_id,
-  CASE WHEN "column" = 'c_mktsegment' THEN (SELECT label FROM seg WHERE nth = 2) END AS selected_label
-FROM first3 GROUP BY "column" """)
+concepts AS (SELECT 's/' || c_mktsegment AS id, 'c_mktsegment ' || c_mktsegment AS label FROM customer
+  UNION SELECT 'b/' || c_mktsegment, 'Balance c_acctbal ' || c_mktsegment FROM customer
+  UNION SELECT 'n/' || n_nationkey, 'c_nationkey ' || n_name FROM nation),
+options AS (SELECT * FROM (
+  SELECT c."column", id, label, row_number() OVER (PARTITION BY c."column" ORDER BY label, id) AS nth
+  FROM (SELECT DISTINCT "column" FROM first3) c JOIN concepts ON list_contains(string_split(label, ' '), c."column"))
+  WHERE nth <= 5),
+picked AS (SELECT c."column", coalesce(o.id, 'none/' || c."column") AS id, o.label
+  FROM (SELECT DISTINCT "column" FROM first3) c
+  LEFT JOIN options o ON o."column" = c."column" AND o.nth = 1 + length(c."column") % 5)
+SELECT f."column", string_agg(value, '|' ORDER BY k) AS "values",
+  (SELECT string_agg(label, '|' ORDER BY nth) FROM options o WHERE o."column" = f."column") AS suggestions,
+  max(p.id) AS selected_id, max(p.label) AS selected_label
+FROM first3 f JOIN picked p ON p."column" = f."column" GROUP BY f."column" """)
 def column_view(spark, sf_dir):
-    customer = table(spark, sf_dir, "customer")
-    samples = profile.column_samples(customer, "c_custkey", ["c_name", "c_mktsegment"], 3)
-    concepts = customer.select(F.lower("c_mktsegment").alias("label")).distinct()
-    options = (
-        concepts.orderBy("label").limit(5)
-        .agg(F.array_sort(F.collect_list("label")).alias("l"))
-        .select(F.lit("c_mktsegment").alias("column"), F.posexplode("l").alias("at", "label"))
-        .select("column", (F.col("at") + 1).alias("ordinal"),
-                F.concat(F.lit("s/"), "label").alias("id"), "label")
+    """All columns of a table with the concepts suggested for their names; which one is selected follows from the name."""
+    customer = customers(spark, sf_dir)
+    samples = profile.column_samples(customer, "c_custkey", list(_VIEWED), 3)
+    segment = F.col("c_mktsegment")
+
+    def concept(df, id_, label):
+        return df.select(id_.alias("id"), label.alias("label"), F.lit("en").alias("lang"))
+
+    concepts = (
+        concept(customer, F.concat(F.lit("s/"), segment), F.concat(F.lit("c_mktsegment "), segment))
+        .unionByName(concept(customer, F.concat(F.lit("b/"), segment), F.concat(F.lit("Balance c_acctbal "), segment)))
+        .unionByName(concept(table(spark, sf_dir, "nation"), F.concat(F.lit("n/"), F.col("n_nationkey").cast("string")),
+                             F.concat(F.lit("c_nationkey "), "n_name")))
+        .distinct()
     )
-    selected = options.where("ordinal = 2").select("column", F.col("id").alias("concept_id")).unionByName(
-        spark.createDataFrame([("c_name", "s/none")], "column string, concept_id string"))
-    view = vocab.column_view(samples, options, selected)
+    names = local_table(spark, [(c,) for c in _VIEWED], "column string")
+    options = vocab.suggest_concepts(names, concepts, "column", "en")
+    picked = options.where(F.col("ordinal") == 1 + F.length("column") % 5).select("column", "id")
+    selected = names.join(picked, "column", "left").select(
+        "column", F.coalesce("id", F.concat(F.lit("none/"), "column")).alias("concept_id"))
+    view = vocab.column_view(samples, options.drop("score"), selected)
     return view.select(
         "column", F.array_join("values", "|").alias("values"),
         F.array_join(F.transform("suggestions", lambda s: s["label"]), "|").alias("suggestions"),
