@@ -82,21 +82,29 @@ def predicates(df: DataFrame, constraints: list[Constraint]) -> list[tuple[str,
 
 
 def constraint_checks(df: DataFrame, constraints: list[Constraint],
-                      rules: list[tuple[str, str, Column]] = ()) -> list[Check]:
-    """Countable checks of constraints and user rules; a rule is ``(name, severity, violated)``."""
+                      rules: list[tuple[str, str, Column]] = (),
+                      table_rules: list[tuple[str, str, Column]] = ()) -> list[Check]:
+    """Countable checks of constraints and user rules; a rule is ``(name, severity, violated)``.
+
+    ``violated`` is a condition on a row, in table rules one on aggregates of the table. Aggregates over
+    different values make Spark copy every row, so estimates (``approx_count_distinct``) are cheaper there.
+    """
     found = [(column, check, "error", violated) for column, check, violated in
              predicates(df, constraints)]
     found += [(name, "custom_rule", severity, violated) for name, severity, violated in rules]
-    return [Check("constraint", i, *parts) for i, parts in enumerate(found)]
+    checks = [Check("constraint", i, *parts) for i, parts in enumerate(found)]
+    return checks + [Check("constraint", i, name, "table_rule", severity, violated, True)
+                     for i, (name, severity, violated) in enumerate(table_rules, len(checks))]
 
 
 def constraint_profile(df: DataFrame, constraints: list[Constraint],
-                       rules: list[tuple[str, str, Column]] = ()) -> DataFrame:
+                       rules: list[tuple[str, str, Column]] = (),
+                       table_rules: list[tuple[str, str, Column]] = ()) -> DataFrame:
     """``subject, check, severity, violations`` per constraint and user rule, in one pass.
 
-    A user rule is ``(name, severity, violated)``.
+    A user rule is ``(name, severity, violated)``; a broken table rule has one violation.
     """
-    return constraint_counts(count_checks(df, constraint_checks(df, constraints, rules))).drop("rows")
+    return constraint_counts(count_checks(df, constraint_checks(df, constraints, rules, table_rules))).drop("rows")
 
 
 def constraint_counts(counts: DataFrame, *keep: str) -> DataFrame:

@@ -18,7 +18,10 @@ CHECKS_PER_PASS = 200
 
 @dataclass(frozen=True)
 class Check:
-    """A condition on one row of a table whose occurrences are counted."""
+    """A condition on one row of a table whose occurrences are counted, or, if ``whole``, one on aggregates of all rows.
+
+    A condition on aggregates counts once where it holds; one that is null, as over an empty table, does not hold.
+    """
 
     kind: str
     pos: int
@@ -26,6 +29,11 @@ class Check:
     check: str
     severity: str
     condition: Column
+    whole: bool = False
+
+    def counted(self) -> Column:
+        """How often the condition holds, as an aggregate."""
+        return F.coalesce(self.condition, F.lit(False)).cast("long") if self.whole else F.count_if(self.condition)
 
 
 def count_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
@@ -44,7 +52,7 @@ def count_checks(df: DataFrame, checks: list[Check]) -> DataFrame:
 def _count_slice(df: DataFrame, checks: list[Check]) -> DataFrame:
     counts = df.agg(
         F.count(F.lit(1)).alias("rows"),
-        *[F.count_if(c.condition).alias(f"n{i}") for i, c in enumerate(checks)],
+        *[c.counted().alias(f"n{i}") for i, c in enumerate(checks)],
     )
     lines = F.array(*[
         F.struct(F.lit(c.kind).alias("kind"), F.lit(c.pos).alias("pos"),

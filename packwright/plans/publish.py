@@ -39,15 +39,15 @@ class Published:
 
 
 def row_checks(dataset: Dataset) -> list[Check]:
-    """All checks of a dataset that look at one row."""
-    return profile.null_checks(dataset.df) + constraint_checks(dataset.df, V.declared_constraints(dataset), dataset.rules)
+    """All checks of a dataset that one pass over its rows can count."""
+    return profile.null_checks(dataset.df) + constraint_checks(dataset.df, V.declared_constraints(dataset), dataset.rules, dataset.table_rules)
 
 
 def observe_checks(dataset: Dataset, checks: list[Check]) -> tuple[DataFrame, Observation]:
     """The table with an observation of its checks and of the types of its raw columns, taken as its rows stream by."""
     types = {f"_type_{i}": value_type(F.col(f"`{c}`")) for i, c in enumerate(dataset.raw_columns)}
     row = F.col(f"`{dataset.row_id}`") if dataset.row_id else F.lit(None).cast("long")
-    metrics = [F.count(F.lit(1)).alias("rows"), *(F.count_if(c.condition).alias(f"n{i}") for i, c in enumerate(checks))]
+    metrics = [F.count(F.lit(1)).alias("rows"), *(c.counted().alias(f"n{i}") for i, c in enumerate(checks))]
     for name in types:
         for k, kind in enumerate(VALUE_TYPES):
             metrics += [F.count_if(F.col(name) == kind).alias(f"{name}_{k}"), F.min(F.when(F.col(name) == kind, row)).alias(f"{name}_{k}_first")]
@@ -90,6 +90,7 @@ def audit(dataset: Dataset, checks: list[Check], seen: dict, staged: DataFrame)
     faults = V.declaration_faults(dataset)
     if faults:
         parts.append(local_table(spark, faults, V.FINDING_SCHEMA))
+    parts += V.metadata_rule_findings([dataset], described)
     return V.union_all(parts)
 
 

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -29,7 +30,9 @@ class Dataset:
 
     ``raw_columns`` are text columns whose values are typed one by one;
     ``row_id`` is a unique key used to name rows; ``rules`` are those of the
-    user, as ``(name, severity, violated)``.
+    user on rows, as ``(name, severity, violated)``. ``table_rules`` are the same with a
+    condition on aggregates of the table, ``metadata_rules`` with a function that makes
+    one from the descriptor, a VARIANT.
     """
 
     name: str
@@ -40,6 +43,8 @@ class Dataset:
     constraints: tuple[Constraint, ...] = ()
     primary_key: tuple[str, ...] = ()
     rules: tuple[tuple[str, str, Column], ...] = ()
+    table_rules: tuple[tuple[str, str, Column], ...] = ()
+    metadata_rules: tuple[tuple[str, str, Callable[[Column], Column]], ...] = ()
 
 
 def union_all(parts: list[DataFrame]) -> DataFrame:
@@ -220,14 +225,15 @@ def schema_findings(datasets: list[Dataset]) -> DataFrame | None:
 
 def constraint_findings(counts: DataFrame) -> DataFrame:
     """Broken constraints and user rules, from the result of ``count_checks`` with a dataset."""
-    is_rule = F.col("check") == "custom_rule"
+    is_rule = F.col("check").isin("custom_rule", "table_rule")
     return _finding_rows(
         constraint_counts(counts, "dataset").where("violations > 0"), "constraints",
         F.col("subject"),
         F.when(is_rule, F.col("check")).otherwise(F.concat(F.lit("constraint_"), "check")),
         F.col("severity"),
-        F.when(is_rule, F.format_string("Rule '%s' is broken in %d of %d rows", "subject",
-                                        "violations", "rows"))
+        F.when(F.col("check") == "table_rule", F.format_string("Rule '%s' is broken by the table of %d rows", "subject", "rows"))
+        .when(is_rule, F.format_string("Rule '%s' is broken in %d of %d rows", "subject",
+                                       "violations", "rows"))
         .otherwise(F.format_string("Column '%s' breaks its %s constraint in %d of %d rows",
                                    "subject", "check", "violations", "rows")))
 
@@ -249,7 +255,7 @@ def data_findings(datasets: list[Dataset], parity: bool = False) -> DataFrame:
     """
     counts, duplicate, tallies, keys = [], [], [], []
     for d in datasets:
-        checks = profile.null_checks(d.df) + constraint_checks(d.df, declared_constraints(d), d.rules)
+        checks = profile.null_checks(d.df) + constraint_checks(d.df, declared_constraints(d), d.rules, d.table_rules)
         counts.append((d.name, profile.count_checks(d.df, checks)))
         duplicate.append((d.name, duplicates.duplicate_profile(d.df)))
         if d.raw_columns:
@@ -261,7 +267,7 @@ def data_findings(datasets: list[Dataset], parity: bool = False) -> DataFrame:
     parts = [profile.quality_info(
         profile.null_counts(all_counts, "dataset"), _named(duplicate), parity=parity)
         .withColumn("scope", F.lit("data_quality")).select(*FINDING_COLUMNS)]
-    if any(declared_constraints(d) or d.rules for d in datasets):
+    if any(declared_constraints(d) or d.rules or d.table_rules for d in datasets):
         parts.append(constraint_findings(all_counts))
     if keys:
         parts.append(key_findings(_named(keys)))
@@ -285,6 +291,18 @@ def descriptor_table(datasets: list[Dataset]) -> DataFrame:
         local_table(spark, rows, "dataset string, descriptor_json string"), "descriptor_json")
 
 
+def metadata_rule_findings(datasets: list[Dataset], described: DataFrame) -> list[DataFrame]:
+    """Findings of the users' rules on descriptors, in one narrow pass; a rule that is null is not broken."""
+    document = F.try_parse_json("descriptor_json")
+    lines = [
+        F.when((F.col("dataset") == d.name) & violated(document), F.struct(
+            F.lit("metadata").alias("scope"), F.lit(name).alias("subject"), F.lit("metadata_rule").alias("check"),
+            F.lit(severity).alias("severity"), F.lit(f"Rule '{name}' is broken by the descriptor").alias("message")))
+        for d in datasets for name, severity, violated in d.metadata_rules
+    ]
+    return [described.select("dataset", F.inline(F.array_compact(F.array(*lines)))).select(*FINDING_COLUMNS)] if lines else []
+
+
 def validate_all(datasets: list[Dataset], parity: bool = False) -> tuple[DataFrame, DataFrame]:
     """``(findings, levels)`` of the datasets: descriptor, resources and data.
 
@@ -295,7 +313,8 @@ def validate_all(datasets: list[Dataset], parity: bool = False) -> tuple[DataFra
     meta = catalog.explode_findings(
         described, "dataset",
         catalog.descriptor_findings(F.col("descriptor"), F.col("key_types"), resource_types=F.col("resource_types")))
-    findings = meta.select(*FINDING_COLUMNS).unionByName(data_findings(datasets, parity))
+    findings = union_all([meta.select(*FINDING_COLUMNS), *metadata_rule_findings(datasets, described),
+                          data_findings(datasets, parity)])
     return findings, catalog.compliance_level(findings, described)
 
 

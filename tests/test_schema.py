@@ -163,6 +163,27 @@ def test_rules_in_the_descriptor(spark):
     assert data_findings([again]).where("severity = 'error'").count() == 3
 
 
+def test_rules_on_aggregates_and_descriptors(spark, tmp_path):
+    from packwright.plans import publish, validate_all
+    rules = dict(
+        table_rules=(("many", "error", F.count(F.lit(1)) > 9), ("mean", "warning", F.avg("id") > 100), ("half", "info", F.max("id") == 9)),
+        metadata_rules=(("title", "warning", lambda d: F.try_variant_get(d, "$.title", "string").isNull()),
+                        ("name", "error", lambda d: F.try_variant_get(d, "$.name", "string") == "bad")))
+    ten, none = Dataset("ten", spark.range(10), {"name": "ten"}, **rules), Dataset("none", spark.range(0), {"title": "T", "name": "bad"}, **rules)
+    findings, levels = validate_all([ten, none])
+    own = F.col("check").isin("table_rule", "metadata_rule")
+    got = {(r.dataset, r.subject, r.severity) for r in findings.where(own).collect()}
+    assert got == {("ten", "many", "error"), ("ten", "half", "info"), ("ten", "title", "warning"), ("none", "name", "error")}
+    counted = {r.dataset: r.errors for r in levels.collect()}
+    plain = {r.dataset: r.errors for r in validate_all([Dataset("ten", spark.range(10), {"name": "ten"}),
+                                                        Dataset("none", spark.range(0), {"title": "T", "name": "bad"})])[1].collect()}
+    assert counted == {"ten": plain["ten"] + 1, "none": plain["none"] + 1}
+    done = publish(ten, str(tmp_path / "out"), str(tmp_path / "findings"))
+    assert not done.published
+    written = {r.subject for r in spark.read.parquet(str(tmp_path / "findings")).where(own).collect()}
+    assert written == {"many", "half", "title"}
+
+
 def test_custom_rule(spark):
     df = spark.range(10)
     got = constraints.constraint_profile(df, [], [("even", "warning", F.col("id") % 2 == 0)]).first()

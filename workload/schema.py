@@ -4,7 +4,7 @@ from pyspark.sql import functions as F
 
 from packwright.operators import constraints, profile, schema_match
 from packwright.operators.constraints import Constraint
-from packwright.plans.validate import union_all
+from packwright.plans.validate import Dataset, union_all, validate_all
 from workload.profiling import LABELLED_SQL, labelled
 from workload.registry import query, table
 
@@ -221,6 +221,33 @@ def constraint_violations(spark, sf_dir):
     ])
 
 
+@query("table_rules", """WITH n AS (SELECT count(*) AS rows, avg(l_discount) AS share, sum(l_quantity) AS total,
+  max(l_shipdate) AS latest, count(CASE WHEN l_returnflag = 'R' THEN 1 END) AS returned FROM lineitem)
+SELECT 'constraints' AS scope, 'returns' AS subject, 'table_rule' AS "check", 'error' AS severity,
+  'Rule ''returns'' is broken by the table of ' || rows || ' rows' AS message FROM n WHERE returned > 0.2 * rows
+UNION ALL SELECT 'constraints', 'average_discount', 'table_rule', 'warning',
+  'Rule ''average_discount'' is broken by the table of ' || rows || ' rows' FROM n WHERE share > 0.9
+UNION ALL SELECT 'constraints', 'stale', 'table_rule', 'info',
+  'Rule ''stale'' is broken by the table of ' || rows || ' rows' FROM n WHERE latest < TIMESTAMP '2030-01-01'
+UNION ALL SELECT 'constraints', 'large_lots', 'custom_rule', 'warning', 'Rule ''large_lots'' is broken in ' || k || ' of ' || rows || ' rows'
+FROM n, (SELECT count(*) AS k FROM lineitem WHERE l_quantity > 45) WHERE k > 0
+UNION ALL SELECT 'metadata', 'has_keywords', 'metadata_rule', 'warning', 'Rule ''has_keywords'' is broken by the descriptor'""")
+def table_rules(spark, sf_dir):
+    """Rules of the user on rows, on aggregates and on the descriptor, in one validation of a whole table."""
+    rows = F.count(F.lit(1))
+    dataset = Dataset(
+        "lines", table(spark, sf_dir, "lineitem"), {"name": "lines", "title": "Lines"},
+        rules=(("large_lots", "warning", F.col("l_quantity") > 45),),
+        table_rules=(
+            ("returns", "error", F.count_if(F.col("l_returnflag") == "R") > rows * F.lit(0.2)),
+            ("average_discount", "warning", F.avg("l_discount") > 0.9),
+            ("stale", "info", F.max("l_shipdate") < F.lit("2030-01-01").cast("timestamp_ntz"))),
+        metadata_rules=(
+            ("has_keywords", "warning", lambda d: F.try_variant_get(d, "$.keywords[0]", "string").isNull()),
+            ("has_title", "error", lambda d: F.length(F.try_variant_get(d, "$.title", "string")) < 3)))
+    return validate_all([dataset])[0].where(F.col("check").isin("table_rule", "custom_rule", "metadata_rule")).drop("dataset")
+
+
 @query("custom_rule", """
 SELECT 'ships_discounted' AS subject, 'custom_rule' AS "check", 'warning' AS severity,
   count(CASE WHEN l_shipdate >= TIMESTAMP '1999-01-01' AND l_discount > 0.08 THEN 1 END) AS violations
