@@ -16,6 +16,7 @@ the values of its own grams and words only.
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,13 +58,14 @@ def gram_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for at in range(0, len(raw), WINDOW):
         end = min(len(raw), at + WINDOW)
         low = max(0, at - DEPTH)
-        own = raw[low:end].astype(np.int64)
+        own = raw[low:end]
         skip = at - low
-        grams = own[skip:].copy()
-        for j in range(1, DEPTH + 1):
+        grams = np.zeros(end - at, "<i8")
+        placed = grams.view(np.uint8).reshape(-1, 8)
+        for j in range(DEPTH + 1):
             # The first bytes of all are no symbols, so what they lack before them does not matter.
             shifted = own[max(0, skip - j):len(own) - j]
-            grams[len(grams) - len(shifted):] |= shifted << (8 * j)
+            placed[end - at - len(shifted):, j] = shifted
         first, last = np.searchsorted(starts, at, side="right") - 1, np.searchsorted(starts, end)
         inner = np.ones(end - at, bool)
         pads = (starts[first:last, None] + place - at).ravel()
@@ -94,7 +96,7 @@ class _Listing:
 
     def __init__(self) -> None:
         self.grams: list[tuple[np.ndarray, np.ndarray]] = []
-        self.words: dict[bytes, int] = {}
+        self.words: Counter[bytes] = Counter()
         self.size = self.texts = 0
 
     def add(self, texts: list[bytes], trained: bool) -> None:
@@ -103,10 +105,12 @@ class _Listing:
             keys, n = _distinct(grams)
             self.grams.append((keys, n if trained else np.zeros(len(keys), np.int64)))
             self.size += len(keys)
-        words = self.words
         for text in texts:
-            for w in text.split():
-                words[w] = words.get(w, 0) + trained
+            if trained:
+                self.words.update(text.split())
+            else:
+                for w in text.split():
+                    self.words.setdefault(w, 0)
 
     def full(self) -> bool:
         if self.size > 6 * HELD:
@@ -298,19 +302,35 @@ def gram_values(counted: DataFrame) -> DataFrame:
 
 
 def look_up(keys: np.ndarray, values: np.ndarray, grams: np.ndarray) -> np.ndarray:
-    """The value of every gram; ``keys`` are sorted. Grams are sorted in runs with their places, which is faster than searching as they come."""
+    """The value of every gram; ``keys`` are sorted. Each distinct gram is searched for once; from those, which are few, values go out by a hash table."""
+    distinct = np.sort(grams)
+    distinct = distinct[np.flatnonzero(np.diff(distinct, prepend=distinct[:1] - 1))]
+    place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+    if (keys[place] != distinct).any():
+        raise ValueError(_DEALT)
+    found = values[place]
+    bits = len(distinct).bit_length() + 1
+    slots = _slots(distinct, bits)
+    order = np.argsort(slots)
+    distinct, found = distinct[order], found[order]
+    # Grams of a slot follow one another.
+    first = np.concatenate([[0], np.cumsum(np.bincount(slots, minlength=1 << bits))])
     out = np.empty(len(grams))
-    for at in range(0, len(grams), 1 << 16):
-        run = grams[at:at + (1 << 16)]
-        packed = np.sort((run.astype(np.uint64) << np.uint64(16)) | np.arange(len(run), dtype=np.uint64))
-        ordered = (packed >> np.uint64(16)).astype(np.int64)
-        place = np.minimum(np.searchsorted(keys, ordered), len(keys) - 1)
-        if (keys[place] != ordered).any():
-            raise ValueError(_DEALT)
-        out[at + (packed & np.uint64(0xFFFF)).astype(np.int64)] = values[place]
+    for at in range(0, len(grams), 1 << 15):
+        run = grams[at:at + (1 << 15)]
+        place = np.take(first, _slots(run, bits), mode="clip")
+        left = np.flatnonzero(np.take(distinct, place, mode="clip") != run)
+        while len(left):
+            place[left] += 1
+            left = left[distinct[place[left]] != run[left]]
+        np.take(found, place, mode="clip", out=out[at:at + (1 << 15)])
     return out
 
 
+def _slots(grams: np.ndarray, bits: int) -> np.ndarray:
+    return ((grams.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - bits)).view(np.int64)
+
+
 _SENT = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("keys", pa.binary()), ("values", pa.binary()), ("types", pa.int64())])
 _SENT_DDL = "block int, kind byte, keys binary, values binary, types long"
 

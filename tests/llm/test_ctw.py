@@ -141,3 +141,20 @@ def test_documents(spark):
 def test_gamma():
     x = np.array([0.5, 1, 1.5, 2, 7.5, 100, 1e6 + .5, 1e12])
     assert np.allclose(ctw._lgamma(x), [math.lgamma(v) for v in x], rtol=1e-13, atol=1e-12)
+
+
+def test_each_distinct_gram_is_searched_once(monkeypatch):
+    rng = np.random.default_rng(2)
+    keys = np.unique(rng.integers(0, 1 << 48, 1000))
+    grams = rng.choice(keys[::2], 1 << 18)
+    searched, search = [], np.searchsorted
+    monkeypatch.setattr(np, "searchsorted", lambda a, v, *rest, **more: searched.append(np.size(v)) or search(a, v, *rest, **more))
+    assert (ctw.look_up(keys, keys / 2, grams) == grams / 2).all() and sum(searched) == len(np.unique(grams))
+    assert not len(ctw.look_up(keys, keys / 2, grams[:0]))
+
+
+def test_words_of_held_out_texts_count_nothing():
+    listing = ctw._Listing()
+    for texts, trained in (([b"a b", b"c"], False), ([b"b c b", b""], True), ([b"b d"], False)):
+        listing.add(texts, trained)
+    assert listing.words == {b"a": 0, b"b": 2, b"c": 1, b"d": 0} and listing.texts == 2
