@@ -5,10 +5,11 @@ from __future__ import annotations
 import sys
 import types
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from packwright.session import shared_dir
@@ -39,6 +40,20 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, size: int) -> Iterator[None]:
+    """Arrow batches of about ``size`` bytes at most for the jobs that run inside; a session that sets a limit itself keeps it."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, None) is not None:
+        yield
+        return
+    spark.conf.set(key, f"{size}b")
+    try:
+        yield
+    finally:
+        spark.conf.unset(key)
+
+
 def bytes_of(text: Column) -> Column:
     """A text's UTF-8 bytes; those of a null text are empty."""
     return F.coalesce(text, F.lit(""))

@@ -26,18 +26,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
-from packwright.llm.common import discard, materialize, starts_of
+from packwright.llm.common import arrow_batches, discard, materialize, starts_of
 
 #: Bytes of context, and of the contexts whose subtrees one task works out; a subtree has at most 2 ** 16 contexts.
 DEPTH, SUBTREE = 5, 3
 #: Begins and ends every text.
 MARK = b"\xff"
-#: Bytes of text worked on at a time; words, and a quarter of the grams, that a task collects before it hands them on; bytes of text
-#: below which partitions are put together to one block; entries sent in one row.
-WINDOW = 1 << 21
+#: Bytes of text worked on at a time; distinct words, and half of the distinct grams, that a task collects before it hands them on; bytes of
+#: text below which partitions are put together to one block; entries sent in one row; bytes of an Arrow batch, which the JVM holds in buffers
+#: of up to twice its size and a worker holds beside the next one.
+WINDOW = 1 << 20
 HELD = 1 << 19
 BLOCK_BYTES = 1 << 26
-PACKED = 1 << 16
+PACKED = 1 << 7
+BATCH_BYTES = 1 << 23
 #: Grams whose subtrees are worked out together, in whole subtrees.
 CHUNK = 1 << 18
 _GRAM, _WORD, _TEXTS = range(3)
@@ -70,21 +72,31 @@ def gram_runs(texts: list[bytes]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         inner = np.ones(end - at, bool)
         pads = (starts[first:last, None] + place - at).ravel()
         inner[pads[(pads >= 0) & (pads < end - at)]] = False
-        text = np.repeat(np.arange(first, last), np.diff(np.clip(starts[first:last + 1], at, end)))
-        yield grams[inner], text[inner]
+        text = np.repeat(np.arange(first, last, dtype=np.int32), np.diff(np.clip(starts[first:last + 1], at, end)))
+        grams, text = grams[inner], text[inner]
+        del placed, shifted, inner
+        yield grams, text
 
 
-def add_up(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order, with the sums of their counts."""
-    order = np.argsort(keys)
-    keys, counts = keys[order], counts[order]
-    begins = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
-    return keys[begins], np.add.reduceat(counts, begins) if len(begins) else counts
+def _begins(keys: np.ndarray) -> np.ndarray:
+    """Where each of the sorted keys comes first."""
+    return np.flatnonzero(np.concatenate([np.ones(min(1, len(keys)), bool), keys[1:] != keys[:-1]]))
+
+
+def add_up(runs: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order, with the sums of their counts, from runs of distinct keys in order."""
+    keys = np.concatenate([np.zeros(0, np.int64), *(k for k, _ in runs)])
+    keys.sort()
+    keys = keys[_begins(keys)]
+    counts = np.zeros(len(keys), np.int64)
+    for own, n in runs:
+        counts[np.searchsorted(keys, own)] += n
+    return keys, counts
 
 
 def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     keys = np.sort(keys)
-    begins = np.flatnonzero(np.diff(keys, prepend=keys[:1] - 1)) if len(keys) else np.zeros(0, np.int64)
+    begins = _begins(keys)
     return keys[begins], np.diff(np.append(begins, len(keys)))
 
 
@@ -112,24 +124,30 @@ class _Listing:
                 for w in text.split():
                     self.words.setdefault(w, 0)
 
-    def full(self) -> bool:
-        if self.size > 6 * HELD:
-            self.grams = [add_up(*map(np.concatenate, zip(*self.grams)))]
-            self.size = len(self.grams[0][0])
-        return self.size > 4 * HELD or len(self.words) > HELD
-
-    def rows(self, block: int) -> Iterator[pa.RecordBatch]:
-        keys, n = add_up(*map(np.concatenate, zip(*self.grams))) if self.grams else (np.zeros(0, np.int64),) * 2
-        words = sorted(self.words)
-        for kind, gram, word, count in (
-                (_GRAM, pa.array(keys), None, pa.array(n)),
-                (_WORD, None, pa.array(words, pa.binary()), pa.array([self.words[w] for w in words], pa.int64())),
-                (_TEXTS, None, None, pa.array([self.texts], pa.int64()))):
-            size = len(count)
-            columns = [pa.array(np.full(size, block, np.int32)), pa.array(np.full(size, kind, np.int8)),
-                       pa.nulls(size, pa.int64()) if gram is None else gram, pa.nulls(size, pa.binary()) if word is None else word, count]
-            for at in range(0, size, 1 << 16):
-                yield pa.RecordBatch.from_arrays([c.slice(at, 1 << 16) for c in columns], schema=_LISTED)
+    def rows(self, block: int, last: bool = False) -> Iterator[pa.RecordBatch]:
+        """What is handed on: grams if many of them are distinct, words likewise; in the end all that is left."""
+        if last or self.size > 4 * HELD:
+            keys, n = add_up(self.grams)
+            self.grams, self.size = [(keys, n)], len(keys)
+            if last or self.size > 2 * HELD:
+                self.grams, self.size = [], 0
+                yield from _listed(block, _GRAM, keys, None, n)
+        if last or len(self.words) > HELD:
+            words = sorted(self.words)
+            yield from _listed(block, _WORD, None, words, [self.words[w] for w in words])
+            self.words = Counter()
+        if last:
+            yield from _listed(block, _TEXTS, None, None, [self.texts])
+
+
+def _listed(block: int, kind: int, grams: np.ndarray | None, words: list[bytes] | None, counts) -> Iterator[pa.RecordBatch]:
+    for at in range(0, len(counts), 1 << 16):
+        own = pa.array(counts[at:at + (1 << 16)], pa.int64())
+        size = len(own)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array(np.full(size, block, np.int32)), pa.array(np.full(size, kind, np.int8)),
+             pa.nulls(size, pa.int64()) if grams is None else pa.array(grams[at:at + size]),
+             pa.nulls(size, pa.binary()) if words is None else pa.array(words[at:at + size], pa.binary()), own], schema=_LISTED)
 
 
 def _raw(batch: pa.RecordBatch, column: str) -> list[bytes]:
@@ -159,11 +177,9 @@ def _list(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts = _raw(rows.filter(pc.equal(rows.column("held"), held)), "text")
                 if texts:
                     listing.add(texts, not held)
-            if listing.full():
-                yield from listing.rows(block)
-                listing = _Listing()
+            yield from listing.rows(block)
     if block is not None:
-        yield from listing.rows(block)
+        yield from listing.rows(block, last=True)
 
 
 def _lgamma(x: np.ndarray) -> np.ndarray:
@@ -304,7 +320,7 @@ def gram_values(counted: DataFrame) -> DataFrame:
 def look_up(keys: np.ndarray, values: np.ndarray, grams: np.ndarray) -> np.ndarray:
     """The value of every gram; ``keys`` are sorted. Each distinct gram is searched for once; from those, which are few, values go out by a hash table."""
     distinct = np.sort(grams)
-    distinct = distinct[np.flatnonzero(np.diff(distinct, prepend=distinct[:1] - 1))]
+    distinct = distinct[_begins(distinct)]
     place = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
     if (keys[place] != distinct).any():
         raise ValueError(_DEALT)
@@ -335,30 +351,33 @@ _SENT = pa.schema([("block", pa.int32()), ("kind", pa.int8()), ("keys", pa.binar
 _SENT_DDL = "block int, kind byte, keys binary, values binary, types long"
 
 
+def _grams_joined(grams: pa.Array, begins: np.ndarray) -> pa.Array:
+    """The grams from each of the places on, as bytes."""
+    raw = np.ascontiguousarray(grams.to_numpy(), "<i8")
+    ends = pa.array(8 * np.append(begins, len(raw)), pa.int32())
+    return pa.Array.from_buffers(pa.binary(), len(begins), [None, ends.buffers()[1], pa.py_buffer(raw)])
+
+
+def _words_joined(words: pa.Array, begins: np.ndarray) -> pa.Array:
+    return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.append(begins, len(words)), pa.int32()), words), b" ")
+
+
 def _pack(kind: int, key: str, joined, number):
     """Rows sorted by block as few rows: keys and numbers of a block as bytes, with how many words of training texts come first here."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        block, size = None, 0
-
-        def sent() -> Iterator[pa.RecordBatch]:
-            if held:
-                rows = pa.Table.from_batches(held)
-                types = int(np.count_nonzero(rows["first"].to_numpy() & (rows["n"].to_numpy() > 0))) if kind == _WORD else 0
-                values = rows["n" if kind == _WORD else "value"].to_numpy().astype(number)
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(
-                    ([block], [kind], [joined(rows[key])], [values.tobytes()], [types]), _SENT)], schema=_SENT)
-
         for batch in batches:
             blocks = batch.column("block").to_numpy()
-            begins = np.flatnonzero(np.diff(blocks, prepend=blocks[:1] - 1))
-            for low, high in zip(begins.tolist(), [*begins[1:].tolist(), len(blocks)]):
-                if int(blocks[low]) != block or size >= PACKED:
-                    yield from sent()
-                    block, held, size = int(blocks[low]), [], 0
-                held.append(batch.slice(low, high - low))
-                size += high - low
-        yield from sent()
+            runs = _begins(blocks)
+            sizes = np.diff(np.append(runs, len(blocks)))
+            # Every run of a block anew in rows of PACKED entries.
+            since = np.arange(len(blocks)) - np.repeat(runs, sizes)
+            begins = np.flatnonzero(since % PACKED == 0)
+            values = batch.column("n" if kind == _WORD else "value").to_numpy().astype(number)
+            first = batch.column("first").to_numpy(zero_copy_only=False) & (values > 0) if kind == _WORD else np.zeros(len(values), bool)
+            types = np.diff(starts_of(first)[np.append(begins, len(first))])
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(blocks[begins], pa.int32()), pa.array(np.full(len(begins), kind, np.int8)), joined(batch.column(key), begins),
+                 _grams_joined(pa.array(values.view(np.int64)), begins), pa.array(types, pa.int64())], schema=_SENT)
 
     return run
 
@@ -393,21 +412,32 @@ class _Block:
         self.ready = False
 
     def take(self, kind: int, rows: pa.RecordBatch) -> None:
-        for keys, values in zip(rows.column("keys"), rows.column("values")):
-            if kind == _GRAM:
-                self.grams.append((np.frombuffer(keys.as_py(), np.int64), np.frombuffer(values.as_py())))
-            else:
-                self.words.append(pa.array(keys.as_py().split(), pa.binary()))
-                self.logs.append(np.log10(np.frombuffer(values.as_py(), np.int64) + 1.0))
+        keys, values = rows.column("keys").to_pylist(), b"".join(rows.column("values").to_pylist())
+        if kind == _GRAM:
+            self.grams.append((np.frombuffer(b"".join(keys), np.int64), np.frombuffer(values)))
+        else:
+            self.words.append(pa.array(b" ".join(keys).split(), pa.binary()))
+            self.logs.append(np.log10(np.frombuffer(values, np.int64) + 1.0))
 
     def _settle(self) -> None:
         if not self.ready:
             keys, values = map(np.concatenate, zip(*self.grams))
+            self.grams = []
             order = np.argsort(keys)
             self.keys, self.values, self.ready = keys[order], values[order], True
             self.known = pa.concat_arrays([pa.array([], pa.binary()), *self.words])
             self.known_logs = np.concatenate([np.zeros(0), *self.logs])
-            self.grams, self.words, self.logs = [], [], []
+            self.words, self.logs = [], []
+
+    def _logs(self, words: pa.Array) -> np.ndarray:
+        """Logarithms of the counts of distinct words. The table that is made anew each time is that of these, far fewer than a block's."""
+        place = pc.index_in(self.known, value_set=words)
+        at = np.flatnonzero(place.is_valid().to_numpy(zero_copy_only=False))
+        if len(at) != len(words):
+            raise ValueError(_DEALT)
+        logs = np.empty(len(words))
+        logs[place.drop_null().to_numpy()] = self.known_logs[at]
+        return logs
 
     def scored(self, rows: pa.RecordBatch, total: float, end: float) -> pa.RecordBatch:
         self._settle()
@@ -418,10 +448,8 @@ class _Block:
         base, known, tokens = np.zeros(len(texts)), np.zeros(len(texts), np.int64), np.zeros(len(texts), np.int64)
         for low, high, words in _word_runs(texts):
             of = np.repeat(np.arange(low, high), [len(w) for w in words])
-            found = pc.index_in(pa.array([w for own in words for w in own], pa.binary()), value_set=self.known)
-            if found.null_count:
-                raise ValueError(_DEALT)
-            logs = self.known_logs[found.to_numpy()]
+            coded = pa.array([w for own in words for w in own], pa.binary()).dictionary_encode()
+            logs = self._logs(coded.dictionary)[coded.indices.to_numpy()]
             base += np.bincount(of, logs, len(texts))
             known += np.bincount(of[logs > 0], minlength=len(texts))
             tokens += np.bincount(of, minlength=len(texts))
@@ -464,6 +492,11 @@ def score(df: DataFrame, held_out: Column, *keep: str, text: str = "text") -> Da
 
     The table is read twice and must come in the same partitions both times, as written tables do; this is checked, and others raise.
     """
+    with arrow_batches(df.sparkSession, BATCH_BYTES):
+        return _scored(df, held_out, keep, text)
+
+
+def _scored(df: DataFrame, held_out: Column, keep: tuple[str, ...], text: str) -> DataFrame:
     sizes = df.select(F.spark_partition_id().alias("part"), F.coalesce(F.octet_length(text), F.lit(0)).alias("n")).groupBy("part").agg(
         F.sum("n").alias("n")).agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
     blocks = max(1, min(sizes[0], -(-sizes[1] // BLOCK_BYTES)))
@@ -480,7 +513,7 @@ def score(df: DataFrame, held_out: Column, *keep: str, text: str = "text") -> Da
     words = (listed.where(F.col("kind") == _WORD).groupBy("word", "block").agg(F.sum("n").alias("n"))
              .select("block", "word", F.sum("n").over(per_word).alias("n"), (F.min("block").over(per_word) == F.col("block")).alias("first")))
     words = materialize(words.sortWithinPartitions("block", "word").mapInArrow(
-        _pack(_WORD, "word", lambda c: b" ".join(c.to_pylist()), np.int64), _SENT_DDL))
+        _pack(_WORD, "word", _words_joined, np.int64), _SENT_DDL))
     types = words.agg(F.coalesce(F.sum("types"), F.lit(0))).first()[0] + (texts > 0)
 
     grams = listed.where(F.col("kind") == _GRAM)
@@ -488,14 +521,15 @@ def score(df: DataFrame, held_out: Column, *keep: str, text: str = "text") -> Da
     valued = gram_values(counted)
     sent = materialize(grams.select("block", "gram").join(valued, "gram").groupBy("gram", "block").agg(F.max("value").alias("value"))
                        .sortWithinPartitions("block", "gram").mapInArrow(
-                           _pack(_GRAM, "gram", lambda c: c.to_numpy().tobytes(), np.float64), _SENT_DDL))
+                           _pack(_GRAM, "gram", _grams_joined, np.float64), _SENT_DDL))
     discard(listed, counted, valued)
 
     together = sent.unionByName(words).drop("types").unionByName(
         rows.select("block", F.lit(_TEXTS).cast("byte").alias("kind"), "held", "text", "row"), allowMissingColumns=True)
     kind = rows.schema["row"].dataType.simpleString()
-    out = together.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
-        _score(texts, train_tokens, types), f"row {kind}, held boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long")
+    out = materialize(together.repartition("block").sortWithinPartitions("block", "kind").mapInArrow(
+        _score(texts, train_tokens, types), f"row {kind}, held boolean, n_tokens long, n_known long, base_score double, score double, n_bytes long"))
+    discard(sent, words)
     return out.select(
         *(F.col(f"row._{i}").alias(c) for i, c in enumerate(keep)), F.col("held").alias("held_out"), "n_tokens", "n_known",
         F.lit(train_tokens).cast("long").alias("train_tokens"), "base_score", "score",

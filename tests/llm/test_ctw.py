@@ -4,10 +4,12 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from packwright.llm import ctw
+from packwright.llm.common import arrow_batches
 
 SCHEMA = "doc_id long, text string, held boolean"
 
@@ -158,3 +160,51 @@ def test_words_of_held_out_texts_count_nothing():
     for texts, trained in (([b"a b", b"c"], False), ([b"b c b", b""], True), ([b"b d"], False)):
         listing.add(texts, trained)
     assert listing.words == {b"a": 0, b"b": 2, b"c": 1, b"d": 0} and listing.texts == 2
+
+
+def listed(batches, size):
+    """Rows of a listing of one-row batches, by kind."""
+    table = pa.table({"block": pa.array([3] * len(batches), pa.int32()), "held": [False] * len(batches), "text": batches})
+    return Counter(k for b in ctw._list(iter(table.to_batches(max_chunksize=size))) for k in b.column("kind").to_pylist())
+
+
+def test_what_repeats_is_handed_on_once(monkeypatch):
+    """Grams are merged before they count as many, and many words do not hand on the grams."""
+    monkeypatch.setattr(ctw, "HELD", 100)
+    text = "".join(chr(97 + i % 26) for i in range(150))
+    grams = 0
+    for own in ctw.gram_runs([text.encode()]):
+        grams += len(np.unique(own[0]))
+    assert listed([text] * 50, 1) == {ctw._GRAM: grams, ctw._WORD: 1, ctw._TEXTS: 1}
+    assert listed([text, " ".join(map(str, range(120))), text], 1)[ctw._WORD] == 121 + 1
+
+
+def test_batches_and_packed_rows_stay_small(spark):
+    n = 10 * ctw.PACKED + 1
+    key, numbers = np.arange(n) << 30, np.arange(n) / 3
+    blocks = np.repeat([4, 9], [ctw.PACKED + 1, n - ctw.PACKED - 1]).astype(np.int32)
+    batch = pa.RecordBatch.from_arrays([pa.array(blocks), pa.array(key), pa.array(numbers)], ["block", "gram", "value"])
+    sent = pa.Table.from_batches(list(ctw._pack(ctw._GRAM, "gram", ctw._grams_joined, np.float64)(iter([batch])))).to_pylist()
+    assert max(len(r["keys"]) for r in sent) == 8 * ctw.PACKED and [r["block"] for r in sent] == [4] * 2 + [9] * 9 + [9] * (len(sent) - 11)
+    assert b"".join(r["keys"] for r in sent) == key.tobytes() and b"".join(r["values"] for r in sent) == numbers.tobytes()
+    words = pa.RecordBatch.from_arrays([pa.array(blocks), pa.array([b"w%d" % i for i in range(n)]), pa.array(np.arange(n) % 2), pa.array(np.arange(n) % 3 == 0)],
+                                       ["block", "word", "n", "first"])
+    sent = pa.Table.from_batches(list(ctw._pack(ctw._WORD, "word", ctw._words_joined, np.int64)(iter([words])))).to_pylist()
+    assert b" ".join(r["keys"] for r in sent).split() == [b"w%d" % i for i in range(n)] and sum(r["types"] for r in sent) == sum(i % 6 == 3 for i in range(n))
+
+    def sizes(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([b.nbytes])], ["n"])
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    wide = spark.range(0, 400, 1, 1).selectExpr("repeat('abcdefgh', 8192) AS t").mapInArrow(sizes, "n long")
+    with arrow_batches(spark, 1 << 20):
+        assert max(r.n for r in wide.collect()) < 1.2 * (1 << 20)
+    assert spark.conf.get(key, None) is None
+    spark.conf.set(key, "2m")
+    try:
+        with arrow_batches(spark, 1 << 20):
+            assert spark.conf.get(key) == "2m"
+        assert spark.conf.get(key) == "2m"
+    finally:
+        spark.conf.unset(key)
