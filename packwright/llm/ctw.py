@@ -41,7 +41,7 @@ BLOCK_BYTES = 1 << 26
 PACKED = 1 << 7
 BATCH_BYTES = 1 << 23
 #: Grams whose subtrees are worked out together, in whole subtrees.
-CHUNK = 1 << 18
+CHUNK = 1 << 16
 _GRAM, _WORD, _TEXTS = range(3)
 _DEALT = "rows of the table come in other partitions than before; write the table first"
 _LN2 = float(np.log(2.0))
