@@ -1,4 +1,5 @@
 import datetime
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -188,3 +189,28 @@ def test_custom_rule(spark):
     df = spark.range(10)
     got = constraints.constraint_profile(df, [], [("even", "warning", F.col("id") % 2 == 0)]).first()
     assert (got.subject, got.check, got.severity, got.violations) == ("even", "custom_rule", "warning", 5)
+
+
+def exploded_catalogue(spark):
+    """(columns, fields) of 3 000 datasets, exploded from rows that estimates take for a few bytes; some keys are null or repeated."""
+    datasets = spark.range(3002).selectExpr("CASE WHEN id IN (7, 3000) THEN NULL WHEN id = 3001 THEN 5 ELSE id END AS dataset")
+    columns = datasets.selectExpr(
+        "dataset", "stack(3, 0, 'size', 'string', 1, 'flow', 'number', 2, 'note', 'string') AS (pos, column, field_type)",
+    ).selectExpr("*", "field_type = 'number' AS is_numeric", "false AS is_raw")
+    fields = datasets.selectExpr(
+        "dataset", "stack(3, 'size', 'integer', 'cm', 'flow', 'number', '', 'gone', 'any', '') AS (name, type, unit_name)")
+    return columns, fields
+
+
+def counts_without_broadcast(found):
+    """How many findings each dataset has; no side of the join goes to the driver, as planned or as run."""
+    planned = found._jdf.queryExecution().executedPlan().toString()
+    counts = Counter(r.dataset for r in found.collect())
+    run = found._jdf.queryExecution().executedPlan().toString()
+    assert "isFinalPlan=true" in run and all("SortMergeJoin" in p and "Broadcast" not in p for p in (planned, run))
+    return counts
+
+
+@pytest.mark.parametrize("check", [schema_match.declared_type_match, schema_match.numeric_needs_unit])
+def test_pairs_of_a_large_catalogue_are_not_broadcast(spark, check):
+    assert counts_without_broadcast(check(*exploded_catalogue(spark))) == Counter({i: 4 if i == 5 else 1 for i in range(3000) if i != 7})
