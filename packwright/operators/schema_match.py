@@ -66,7 +66,7 @@ def extra_columns(columns: DataFrame, fields: DataFrame) -> DataFrame:
     """Warnings for columns without a declared field."""
     declared = fields.select("dataset", F.col("name").alias("column"))
     return _finding(
-        columns.join(declared, ["dataset", "column"], "left_anti"), "extra_columns", "warning",
+        columns.join(declared.hint("merge"), ["dataset", "column"], "left_anti"), "extra_columns", "warning",
         F.format_string("Column '%s' in data but not in schema definition", "column"))
 
 
@@ -74,7 +74,7 @@ def missing_columns(columns: DataFrame, fields: DataFrame) -> DataFrame:
     """Warnings for declared fields without a column."""
     declared = fields.select("dataset", F.col("name").alias("column"))
     return _finding(
-        declared.join(columns.select("dataset", "column"), ["dataset", "column"], "left_anti"),
+        declared.join(columns.select("dataset", "column").hint("merge"), ["dataset", "column"], "left_anti"),
         "missing_columns", "warning",
         F.format_string("Field '%s' defined in schema but not found in data", "column"))
 

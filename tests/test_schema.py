@@ -214,3 +214,9 @@ def counts_without_broadcast(found):
 @pytest.mark.parametrize("check", [schema_match.declared_type_match, schema_match.numeric_needs_unit])
 def test_pairs_of_a_large_catalogue_are_not_broadcast(spark, check):
     assert counts_without_broadcast(check(*exploded_catalogue(spark))) == Counter({i: 4 if i == 5 else 1 for i in range(3000) if i != 7})
+
+
+@pytest.mark.parametrize("check", [schema_match.extra_columns, schema_match.missing_columns])
+def test_rest_of_a_large_catalogue_is_not_broadcast(spark, check):
+    """Rows without a dataset match nothing, so all of them are findings."""
+    assert counts_without_broadcast(check(*exploded_catalogue(spark))) == Counter({i: 2 if i == 5 else 1 for i in range(3000) if i != 7} | {None: 6})
